@@ -59,5 +59,5 @@ def metrics_payload(component_metrics: DataFrame, keys: list[str], extra: dict[s
     if not extra:
         return grouped.select(*keys, body.alias("payload"))
     flat = F.to_json(F.struct(*[F.col(f"_x_{k}").alias(k) for k in extra]))
-    joined = F.concat(F.rtrim(body, F.lit("}")), F.lit("}},"), F.substr(flat, F.lit(2)))
+    joined = F.concat(F.rtrim(body, F.lit("}")), F.lit("},"), F.substr(flat, F.lit(2)))
     return grouped.select(*keys, joined.alias("payload"))

@@ -88,8 +88,12 @@ def running_stage_metrics(
 
 
 def stage_metrics_so_far(spark: SparkSession, path: str, keys: Sequence[str] = THREAD) -> DataFrame:
-    """Per-thread metrics of everything streamed so far, batches in the order they arrived."""
-    return combine_summaries(spark.read.parquet(path), keys, (BATCH, "chunk"))
+    """Per-thread metrics of everything streamed so far.
+
+    Chunk rows are put in log order, so files may arrive in any order as long as each holds a run
+    of the log of its own.
+    """
+    return combine_summaries(spark.read.parquet(path), keys, ("first_seq",))
 
 
 def running_progress(log: DataFrame, keys: Sequence[str] = ("transfer_id",)) -> DataFrame:
