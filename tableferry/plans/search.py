@@ -40,10 +40,11 @@ def grid_search(
     Throughput is the smallest non-zero rate, so it equals some stage's rate for some worker count.
     For such a value every stage needs at least the workers that reach it; those minimal counts are
     also the first combination in loop order with that throughput. So it is enough to test one
-    combination per (stage, workers) instead of all products.
+    combination per (stage, workers) instead of all products. A setting with an unmeasured stage
+    cannot be judged and is left out.
     """
     caps = {s: F.col(server_cap) if s in SERVER_STAGES else F.col(client_cap) for s in SEARCHED}
-    possible = df.filter((F.col(server_cap) >= 4) & (F.col(client_cap) >= 3))
+    possible = df.dropna(subset=list(STAGES)).filter((F.col(server_cap) >= 4) & (F.col(client_cap) >= 3))
     rates = possible.withColumns({f"_{s}": _rate_list(s, caps[s]) for s in SEARCHED})
     fixed = F.array(*[effective_rate(F.col(s), F.lit(1)) for s in ("send", "rcv", "write")])
     targets = F.array_distinct(F.flatten(F.array(fixed, *[F.col(f"_{s}") for s in SEARCHED])))

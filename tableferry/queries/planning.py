@@ -124,9 +124,11 @@ def throughput_bounds(spark, sf_dir):
 
 
 def _r(stage: str, workers: str) -> str:
-    return f"nullif((0.3 + (1 - 0.3) * {workers}) * {stage}, 0)"
+    return f"nullif((0.3::DOUBLE + (1 - 0.3::DOUBLE) * {workers}) * {stage}, 0)"
 
 
+KNOWN_SQL = " AND ".join(f"{s} IS NOT NULL" for s in STAGES)
+
 # Every combination is tried here, which is what the closed form must equal.
 GRID_SQL = (
     f"WITH {BOUNDS_SQL}, tried AS (SELECT {ENV_SQL}, compression, bound, r.w AS read_par, de.w AS deser_par, "
@@ -134,7 +136,7 @@ GRID_SQL = (
     f"least({_r('read', 'r.w')}, {_r('deser', 'de.w')}, {_r('comp', 'co.w')}, {_r('send', '1')}, {_r('rcv', '1')}, "
     f"{_r('decomp', 'dc.w')}, {_r('ser', 'se.w')}, {_r('write', '1')}) AS throughput FROM bounds, "
     "range(1, 20) r(w), range(1, 20) de(w), range(1, 20) co(w), range(1, 20) dc(w), range(1, 20) se(w) "
-    "WHERE skip_ser = 0 AND r.w + de.w + co.w + 1 <= server_cap AND dc.w + se.w + 1 <= client_cap) "
+    f"WHERE {KNOWN_SQL} AND skip_ser = 0 AND r.w + de.w + co.w + 1 <= server_cap AND dc.w + se.w + 1 <= client_cap) "
     f"SELECT {ENV_SQL}, compression, round(throughput, 9) AS throughput, read_par, deser_par, comp_par, decomp_par, ser_par "
     f"FROM tried WHERE throughput <= bound QUALIFY row_number() OVER (PARTITION BY {ENV_SQL} ORDER BY throughput DESC, "
     "list_position(['nocomp', 'zstd', 'lz4', 'lzo', 'snappy'], compression), read_par, deser_par, comp_par, decomp_par, "
@@ -150,7 +152,7 @@ def grid_search(spark, sf_dir):
 
 _STEPS_SQL = " UNION ALL ".join(
     f"SELECT {KEYS_SQL}, bound, server_cap, client_cap, {i} AS ord, {int(i < 4)} AS server, w, "
-    f"(0.3 + (1 - 0.3) * w) * {s} AS rate FROM bounds, range(1, 20) t(w) WHERE {s} > 0"
+    f"(0.3::DOUBLE + (1 - 0.3::DOUBLE) * w) * {s} AS rate FROM bounds, range(1, 20) t(w) WHERE {s} > 0"
     for i, s in enumerate(STAGES)
 )
 ALLOCATION_SQL = (
