@@ -2,38 +2,14 @@
 
 from __future__ import annotations
 
-import glob
-import math
 import os
 import sys
 import time
 import traceback
 
-import duckdb
-import pandas as pd
-
 from tableferry import build_session
 from tableferry.queries import ORACLES, QUERIES
-
-
-def normal(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)) or value is pd.NaT:
-        return None
-    if hasattr(value, "item") and not hasattr(value, "__len__"):
-        value = value.item()
-    if isinstance(value, bool):
-        return value
-    if type(value).__name__ == "Decimal":
-        return float(value)
-    if isinstance(value, (int, float)):
-        return float(f"{float(value):.10g}")
-    return str(value)
-
-
-def rows_of(frame: pd.DataFrame) -> list:
-    columns = sorted(frame.columns)
-    rows = [tuple(normal(v) for v in row) for row in frame[columns].itertuples(index=False, name=None)]
-    return sorted(rows, key=lambda r: tuple((v is None, str(v)) for v in r))
+from tests.compare import database, rows_of
 
 
 def main() -> int:
@@ -44,9 +20,7 @@ def main() -> int:
         "check", f"local[{os.environ.get('CHECK_CPUS', 8)}]", **{
             "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
     )
-    db = duckdb.connect()
-    for path in glob.glob(f"{folder}/*.parquet"):
-        db.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    db = database(folder)
     bad = 0
     for name, fn in QUERIES.items():
         if parts and not any(p in name for p in parts):

@@ -23,14 +23,24 @@ def pad_bytes(value: Column, size: int) -> Column:
 
 
 def two_decimals(value: Column) -> Column:
-    """``%.2f`` as C prints it: the exact binary value rounded half-even, no grouping."""
-    number = F.call_function("format_number", value, F.lit("0.00"))
-    return (
-        F.when(F.isnan(value), "nan")
-        .when(value == float("inf"), "inf")
-        .when(value == float("-inf"), "-inf")
-        .otherwise(number)
+    """``%.2f`` as C prints it: the exact binary value rounded half-even, no grouping.
+
+    Away from a tie every way of rounding agrees, so whole hundredths are printed as two integers.
+    Values near a tie, close to zero or too large for exact hundredths take the number formatter.
+    The expression is kept short: four of them in one line must still compile to machine code.
+    """
+    scaled = F.abs(value) * 100
+    certain = scaled.between(1.0, 1e13) & (F.abs(scaled - F.rint(scaled)) < 0.49)
+    cents = F.rint(scaled).cast("bigint")
+    digits = F.concat(
+        F.when(value < 0, "-").otherwise(""),
+        F.floor(cents / 100).cast("string"),
+        F.lit("."),
+        F.substring((cents % 100 + 100).cast("string"), 2, 2),
     )
+    slow = F.call_function("format_number", value, F.lit("0.00"))
+    slow = F.lower(F.replace(slow, F.lit("\u221e"), F.lit("inf")))
+    return F.when(certain, digits).otherwise(slow)
 
 
 def csv_field(field: T.StructField) -> Column:

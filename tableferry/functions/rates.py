@@ -16,10 +16,12 @@ def effective_rate(base: Column, workers: Column, serial_share: float = SERIAL_S
 def serial_fraction(single: Column, overall: Column, workers: Column) -> Column:
     """Share of the work that does not scale, clamped to 0..1; 0 for one worker.
 
-    ``single`` is the rate with one worker, ``overall`` the total rate with ``workers``.
+    ``single`` is the rate with one worker, ``overall`` the total rate with ``workers``. Without
+    a single-worker rate the share is unknown, which the clamp alone would turn into 1.
     """
     share = F.try_divide(single * workers - overall, single * (workers - 1))
-    return F.when(workers == 1, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+    return F.when(workers == 1, F.lit(0.0)).when(share.isNotNull(), clamped)
 
 
 def real_throughput(size: Column, runtime: Column) -> Column:

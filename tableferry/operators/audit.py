@@ -62,6 +62,21 @@ def manifest_violations(manifest: DataFrame, max_tuples: int, max_bytes: int) ->
     return manifest.withColumn("reasons", reasons).filter(F.col("reasons") != "")
 
 
+SHORT = (1 << 20) - 1  # 20 bits: their sum fits 64 bits for 8e12 rows
+
+
+def _content(hashed: Column) -> Column:
+    """Order-free content of many hashes: XOR of all bits, and sums of two short parts.
+
+    The XOR alone would miss values that come in pairs.
+    """
+    return F.struct(
+        F.bit_xor(hashed),
+        F.sum(hashed.bitwiseAND(SHORT)),
+        F.sum(F.shiftright(hashed, 20).bitwiseAND(SHORT)),
+    )
+
+
 def _fingerprint(df: DataFrame, columns: Sequence[str], side: str) -> DataFrame:
     """One row per column: count, non-null count, min, max and content hash, from one pass."""
     measures = [F.count("*").alias("rows")]
@@ -71,11 +86,10 @@ def _fingerprint(df: DataFrame, columns: Sequence[str], side: str) -> DataFrame:
             F.count(value).alias(f"n{i}"),
             F.min(value).cast("string").alias(f"lo{i}"),
             F.max(value).cast("string").alias(f"hi{i}"),
-            F.sum(F.xxhash64(value).cast("decimal(20,0)")).alias(f"h{i}"),
+            _content(F.xxhash64(value)).alias(f"h{i}"),
         ]
     # The whole row hashed at once catches values swapped between rows.
-    whole = F.sum(F.xxhash64(*[F.col(c) for c in columns]).cast("decimal(20,0)"))
-    measures.append(whole.alias("row_hash"))
+    measures.append(_content(F.xxhash64(*[F.col(c) for c in columns])).alias("row_hash"))
     wide = df.select(*columns).agg(*measures)
     per_column = F.array(
         *[

@@ -61,14 +61,13 @@ def best_codec(df: DataFrame, keys: Sequence[str], codec: str, throughput: str,
 
 def latest_record(lines: DataFrame, column: str = "value", fields: int = 22) -> DataFrame:
     """Fields of the log line with the highest transfer id; a wrong field count fails the job."""
-    parts = F.split(F.trim(column), ",")
-    newest = (
-        lines.select(parts.alias("fields"))
-        .withColumn("transfer_id", F.get("fields", F.lit(0)).try_cast("bigint"))
-        .filter(F.col("transfer_id").isNotNull())
-        .orderBy(F.col("transfer_id").desc(), F.col("fields").desc())
-        .limit(1)
+    # Only the id is cut out of every line; the newest line alone is split.
+    transfer_id = F.substring_index(F.trim(column), ",", 1).try_cast("bigint")
+    newest = lines.agg(
+        F.max_by(F.trim(column), F.when(transfer_id.isNotNull(), F.struct(transfer_id, F.col(column)))).alias("_line")
     )
-    message = F.concat(F.lit(f"expected {fields} values, found "), F.size("fields").cast("string"))
-    checked = F.when(F.size("fields") == fields, F.col("fields")).otherwise(F.raise_error(message))
-    return newest.select("transfer_id", checked.alias("fields"))
+    parts = F.split("_line", ",")
+    message = F.concat(F.lit(f"expected {fields} values, found "), F.size(parts).cast("string"))
+    checked = F.when(F.size(parts) == fields, parts).otherwise(F.raise_error(message))
+    found = newest.filter(F.col("_line").isNotNull()).select(checked.alias("fields"))
+    return found.select(F.get("fields", F.lit(0)).cast("bigint").alias("transfer_id"), "fields")

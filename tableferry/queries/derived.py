@@ -142,7 +142,7 @@ def _select(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transfer table: date as ``yyyy-MM-dd`` text, everything else as it is stored."""
     df = table(spark, sf_dir, "lineitem")
-    return df.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd")).select(*LINEITEM.names)
+    return df.withColumn("l_shipdate", F.col("l_shipdate").cast("date").cast("string")).select(*LINEITEM.names)
 
 
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,15 @@ from ..functions.fixed_text import csv_line
 from ..schema import enforce_schema, max_text_row
 
 
-def writer_codec(codec: str) -> str:
-    """Writer codec for the moved data's codec name; ``lzo`` has none and is refused."""
-    if codec not in WRITER_CODECS:
-        raise ValueError(f"codec {codec!r} cannot be written; choose one of {sorted(WRITER_CODECS)}")
+def writer_codec(codec: str, fmt: str = "parquet") -> str:
+    """Writer codec for the moved data's codec name.
+
+    ``lzo`` has no Spark writer, and Spark's text writer has no ``zstd``; both are refused by name
+    before a job starts.
+    """
+    usable = sorted(c for c in WRITER_CODECS if fmt != "csv" or c != "zstd")
+    if codec not in usable:
+        raise ValueError(f"codec {codec!r} cannot be written as {fmt}; choose one of {usable}")
     return WRITER_CODECS[codec]
 
 
@@ -41,7 +46,7 @@ def write_csv_lines(
 ) -> None:
     """Fixed CSV text, one file per writer, each at most ``max_file_bytes`` long if given."""
     writer = _spread(df, write_par).select(csv_line(schema).alias("value")).write.mode("overwrite")
-    writer = writer.option("compression", writer_codec(codec))
+    writer = writer.option("compression", writer_codec(codec, "csv"))
     if max_file_bytes:
         writer = writer.option("maxRecordsPerFile", rows_per_file(schema, max_file_bytes))
     writer.text(path)
@@ -62,7 +67,7 @@ def write_parquet_table(
 def copy_files(spark: SparkSession, source: str, target: str, fmt: str, codec: str = "nocomp") -> None:
     """Same-format copy. CSV lines are moved as they are, without parsing a single field."""
     if fmt == "csv":
-        spark.read.text(source).write.mode("overwrite").option("compression", writer_codec(codec)).text(target)
+        spark.read.text(source).write.mode("overwrite").option("compression", writer_codec(codec, "csv")).text(target)
     elif fmt == "parquet":
         df = spark.read.parquet(source)
         df.write.mode("overwrite").option("compression", writer_codec(codec)).parquet(target)

@@ -7,22 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# The fixed format has no quotes, escapes or header.
+PLAIN_CSV = {"header": "false", "quote": "", "escape": "", "mode": "FAILFAST"}
+
+
+def filled_text(df: DataFrame) -> DataFrame:
+    """Empty text fields as empty strings: the format has no null, but a CSV reader says null."""
+    return df.select(
+        *[
+            F.coalesce(F.col(f.name), F.lit("")).alias(f.name, metadata=f.metadata)
+            if isinstance(f.dataType, T.StringType)
+            else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )
+
+
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Headerless comma file in the fixed CSV format (no quoting, no escapes); bad rows fail the job."""
+    """Headerless comma file in the fixed CSV format; a row that does not parse fails the job."""
     return read_delimited(spark, path, schema, ",")
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = "|") -> DataFrame:
-    return (
-        spark.read.schema(schema)
-        .option("header", False)
-        .option("quote", "")
-        .option("escape", "")
-        .option("emptyValue", "")
-        .option("nullValue", "\x00")
-        .option("mode", "FAILFAST")
-        .csv(path, sep=sep)
-    )
+    return filled_text(spark.read.schema(schema).options(**PLAIN_CSV).csv(path, sep=sep))
 
 
 def read_parquet_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

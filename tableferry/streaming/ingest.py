@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..functions.fixed_text import csv_line
 from ..operators.dedup import append_new
 from ..schema import enforce_schema
+from ..sources.tables import PLAIN_CSV, filled_text
 
 
 def new_files(spark: SparkSession, folder: str, schema: T.StructType, fmt: str, per_batch: int | None = None) -> DataFrame:
@@ -17,8 +18,7 @@ def new_files(spark: SparkSession, folder: str, schema: T.StructType, fmt: str,
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch)
     if fmt == "csv":
-        reader = reader.option("quote", "").option("escape", "").option("emptyValue", "").option("nullValue", "\x00")
-        return reader.csv(folder)
+        return filled_text(reader.options(**PLAIN_CSV).csv(folder))
     return reader.format(fmt).load(folder)
 
 
