@@ -1 +1,4 @@
-"""Table operators. Every function takes and returns DataFrames and starts no job."""
+"""Table operators: DataFrames in, DataFrames out.
+
+They are lazy, except that ``ordering`` and what builds on it writes a sorted table first.
+"""

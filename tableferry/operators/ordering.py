@@ -1,8 +1,10 @@
 """Positions, curves and quantiles over a total order, without ordering anything in one task.
 
-Rows are range-partitioned and sorted, counted per partition, and each partition's start is added to
-the row's index in it. The only rows ordered in one place are the partition counts, so one hot key is
-split over as many tasks as it needs.
+Rows are range-partitioned, sorted and written to a table in the shared folder, one file per range.
+A row's position is its index in the file plus the rows of the files before, so the only rows ordered
+in one place are the files' counts, and one hot key is split over as many files as it needs. The
+table is what makes the positions safe: range bounds come from a sample, so counting one run of the
+sort and numbering another could disagree, and so could a task repeated after a lost executor.
 """
 
 from __future__ import annotations
@@ -12,44 +14,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROW_BITS = 33  # monotonically_increasing_id = partition << 33 | row
-
-
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+from ..session import work_dir
+
+
+def _numbered(df: DataFrame, order: Sequence[str | Column], partitions: int | None) -> DataFrame:
+    """The rows with ``_position`` and ``_total``. Writes the ordered table: one job now."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = work_dir(spark, "ordered")
+    df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.parquet(path)
+
+    file_number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("_file")
+    ordered = spark.read.schema(df.schema).parquet(path)
+    sizes = ordered.select(file_number).groupBy("_file").agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = sizes.select(
+        "_file",
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
+        F.sum("_rows").over(everything).alias("_total"),
+    )
+    rows = ordered.select("*", file_number, F.col("_metadata.row_index").alias("_row"))
+    # At most n rows, the number of ranges: safe to broadcast at any data size.
+    placed = rows.join(F.broadcast(starts), "_file")
+    return placed.select(*df.columns, (F.col("_start") + F.col("_row")).alias("_position"), "_total")
 
 
 def with_position(
     df: DataFrame, order: Sequence[str | Column], name: str = "position", partitions: int | None = None
 ) -> DataFrame:
-    """Add the 0-based position of each row in ``order``.
-
-    Ties get positions in no fixed order; name enough columns to make them equal rows or none.
-    A fixed partition count keeps adaptive execution from merging partitions between the two uses
-    of the sorted data (counting and numbering), which share one exchange.
-    """
-    n = partitions or _partitions(df)
-    ranged = (
-        df.repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("_id", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_id", ROW_BITS))
-    )
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_rows"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
-    index = F.col("_id").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    # At most n rows, the partition count: safe to broadcast at any data size.
-    numbered = ranged.join(F.broadcast(starts), "_part")
-    return numbered.select(*df.columns, (F.col("_start") + index).alias(name))
+    """Add the 0-based position of each row in ``order``; ties follow each other in no set order."""
+    return _numbered(df, order, partitions).select(*df.columns, F.col("_position").alias(name))
 
 
 def split_contiguous(df: DataFrame, parts: int, order: Sequence[str], name: str = "part") -> DataFrame:
     """Cut the ordered rows into ``parts`` runs of ``ceil(total / parts)`` rows, the last one short."""
-    numbered = with_position(df, order, "line_no")
-    total = df.agg(F.count("*")).scalar()
-    per_part = F.ceil(total / F.lit(parts))
-    return numbered.withColumn(name, F.floor(F.col("line_no") / per_part).cast("int"))
+    per_part = F.ceil(F.col("_total") / F.lit(parts))
+    part = F.floor(F.col("_position") / per_part).cast("int").alias(name)
+    return _numbered(df, order, None).select(*df.columns, F.col("_position").alias("line_no"), part)
 
 
 def descending_curve(df: DataFrame, value: str, tie_break: Sequence[str] = (), name: str = "idx") -> DataFrame:

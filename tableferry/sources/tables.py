@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import work_dir
+
 
 # The fixed format has no quotes, escapes or header.
 PLAIN_CSV = {"header": "false", "quote": "", "escape": "", "mode": "FAILFAST"}
@@ -75,7 +77,9 @@ def split_text_file(spark: SparkSession, path: str, parts: int, column: str = "v
     """Lines of the file(s) with their number and contiguous part, ``ceil(total / parts)`` lines per part.
 
     File order is (path, position). Lines are numbered inside each input split, and the splits are
-    put in order by where they start; only one row per split is ordered in one place.
+    put in order by where they start; only one row per split is ordered in one place. The counts are
+    written to the shared folder, so that the files are read twice and not more, and so that Spark
+    sees the table's true size when it chooses between broadcasting it and a shuffle join.
     """
     lines = spark.read.text(path).select(
         F.col("value").alias(column),
@@ -83,7 +87,10 @@ def split_text_file(spark: SparkSession, path: str, parts: int, column: str = "v
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    splits = lines.groupBy("_path", "_start").agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
+    counts = lines.groupBy("_path", "_start").agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
+    counted = work_dir(spark, "splits")
+    counts.coalesce(1).write.parquet(counted)
+    splits = spark.read.parquet(counted)
     # The window below has no partition key, but it only sees one row per input split.
     by_place = Window.orderBy("_path", "_start")
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
