@@ -20,9 +20,10 @@ from ..session import work_dir
 def _numbered(df: DataFrame, order: Sequence[str | Column], partitions: int | None) -> DataFrame:
     """The rows with ``_position`` and ``_total``. Writes the ordered table: one job now."""
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = work_dir(spark, "ordered")
-    df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.parquet(path)
+    # Without a number, adaptive execution may merge small neighbouring ranges before they are written.
+    ranges = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    ranges.sortWithinPartitions(*order).write.parquet(path)
 
     file_number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("_file")
     ordered = spark.read.schema(df.schema).parquet(path)
@@ -35,7 +36,7 @@ def _numbered(df: DataFrame, order: Sequence[str | Column], partitions: int | No
         F.sum("_rows").over(everything).alias("_total"),
     )
     rows = ordered.select("*", file_number, F.col("_metadata.row_index").alias("_row"))
-    # At most n rows, the number of ranges: safe to broadcast at any data size.
+    # One row per range, so never more than the shuffle partitions: safe to broadcast at any data size.
     placed = rows.join(F.broadcast(starts), "_file")
     return placed.select(*df.columns, (F.col("_start") + F.col("_row")).alias("_position"), "_total")
 

@@ -258,7 +258,7 @@ def running_stage_metrics(spark, sf_dir):
 def windowed_load(spark, sf_dir):
     source = work_dir(spark, "samples")
     samples = d.queue_samples(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("minute") * 60))
-    samples.repartition(3, "minute").write.parquet(source)
+    samples.repartition(2, "minute").write.parquet(source)
     stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(source)
     path = work_dir(spark, "load")
     loads = live.windowed_load(stream, _QUEUES, length="1 hour")
