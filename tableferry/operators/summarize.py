@@ -192,7 +192,3 @@ def transfer_progress(log: DataFrame, keys: Sequence[str]) -> DataFrame:
     pushes = F.count(F.when((F.col("component") == "write") & (F.col("event") == "push"), 1))
     elapsed = F.floor((F.max("ts_us") - F.min("ts_us")) / 1000).cast("bigint")
     return log.groupBy(*keys).agg(elapsed.alias("totalTime_ms"), pushes.alias("bufTransferred"))
-
-
-def as_columns(df: DataFrame, exprs: Mapping[str, Column]) -> DataFrame:
-    return df.select("*", *[c.alias(n) for n, c in exprs.items()])

@@ -102,9 +102,6 @@ def timing_files(spark, sf_dir):
     return read_timing_files(spark, path, "server", "*.csv").drop("source_file")
 
 
-_STATS_COLUMNS = ", ".join(
-    f'"{c}"' if c in d.RUN_STATS else f'NULL AS "{c}"' for c in GENERAL_STATS.names
-)
 _KNOWN_STATS = [c for c in GENERAL_STATS.names if c in d.RUN_STATS]
 
 
@@ -277,7 +274,7 @@ FILE_BYTES = 1 << 20
 
 @query(
     "snk16_file_size_limit",
-    f"SELECT count(*) AS tuples, true AS within_bytes, true AS within_rows FROM lineitem",
+    "SELECT count(*) AS tuples, true AS within_bytes, true AS within_rows FROM lineitem",
 )
 def file_size_limit(spark, sf_dir):
     path = _csv_copy(spark, sf_dir, max_file_bytes=FILE_BYTES)

@@ -68,6 +68,15 @@ def test_duplicates_with_null_keys(spark):
     assert tuple(counts) == (5, 1, 1, 3)
 
 
+def test_hot_duplicates_stay_whole(spark):
+    """2,000 copies of one key, 2,000 single keys and 1,000 pairs: hot and other keys both occur."""
+    df = spark.range(6000).selectExpr(
+        "id", "case when id < 2000 then 'hot' when id < 4000 then concat('s', id) else concat('p', id div 2) end k"
+    )
+    got = sorted(r.id for r in dedup.duplicate_members(df, ["k"]).collect())
+    assert got == [*range(2000), *range(4000, 6000)]
+
+
 def test_append_keeps_or_drops_repeats_inside_the_batch(spark):
     old = spark.createDataFrame([(1,)], "id int")
     new = spark.createDataFrame([(1,), (2,), (2,)], "id int")
