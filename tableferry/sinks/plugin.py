@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 from collections.abc import Iterator
@@ -12,49 +13,62 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
+MAX_FILE_BYTES = 64 << 20
+
 
 @dataclass
-class BlockFile(WriterCommitMessage):
-    staged: str
-    final: str
+class BlockFiles(WriterCommitMessage):
+    names: list[str]
     rows: int
 
 
 class BlockFileWriter(DataSourceArrowWriter):
-    """One Arrow IPC file per task.
+    """Arrow IPC files of bounded size.
 
-    A task writes below ``_staging`` under a name of its own, so a lost or repeated task leaves
-    nothing behind that counts; only the files of committed tasks are moved into place.
+    A task writes below ``_staging`` under names of its own, so a lost or repeated task leaves
+    nothing behind that counts; only the files of committed tasks are moved into place. A file is
+    closed once it holds ``max_file_bytes``, because a reader takes each file whole.
     """
 
-    def __init__(self, location: str, schema) -> None:
+    def __init__(self, location: str, schema, max_file_bytes: int) -> None:
         self.location = location
         self.arrow_schema = to_arrow_schema(schema)
+        self.max_file_bytes = max_file_bytes
 
     def _open(self) -> tuple[fs.FileSystem, str]:
         if "://" in self.location:
             return fs.FileSystem.from_uri(self.location)
         return fs.LocalFileSystem(), os.path.abspath(self.location)
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> BlockFile:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> BlockFiles:
         filesystem, root = self._open()
-        name = f"part-{uuid.uuid4().hex}.arrow"
-        staged = f"{root}/_staging/{name}"
         filesystem.create_dir(f"{root}/_staging", recursive=True)
-        rows = 0
-        with filesystem.open_output_stream(staged) as out, pa.ipc.new_file(out, self.arrow_schema) as sink:
-            for batch in iterator:
-                sink.write_batch(batch.cast(self.arrow_schema))
-                rows += batch.num_rows
-        return BlockFile(staged, f"{root}/{name}", rows)
-
-    def commit(self, messages: list[BlockFile | None]) -> None:
+        done = BlockFiles([], 0)
+        batches = (batch.cast(self.arrow_schema) for batch in iterator)
+        for first in batches:
+            name = f"part-{uuid.uuid4().hex}.arrow"
+            with (
+                filesystem.open_output_stream(f"{root}/_staging/{name}") as out,
+                pa.ipc.new_file(out, self.arrow_schema) as sink,
+            ):
+                size = 0
+                for batch in itertools.chain([first], batches):
+                    sink.write_batch(batch)
+                    done.rows += batch.num_rows
+                    size += batch.nbytes
+                    if size >= self.max_file_bytes:
+                        break
+            done.names.append(name)
+        return done
+
+    def commit(self, messages: list[BlockFiles | None]) -> None:
         filesystem, root = self._open()
         for done in filter(None, messages):
-            filesystem.move(done.staged, done.final)
+            for name in done.names:
+                filesystem.move(f"{root}/_staging/{name}", f"{root}/{name}")
         self._drop_staging(filesystem, root)
 
-    def abort(self, messages: list[BlockFile | None]) -> None:
+    def abort(self, messages: list[BlockFiles | None]) -> None:
         self._drop_staging(*self._open())
 
     @staticmethod
@@ -74,4 +88,5 @@ class BlockFileSink(DataSource):
     def writer(self, schema, overwrite: bool) -> BlockFileWriter:
         if overwrite:
             raise ValueError("block_files only appends; write to a new folder instead")
-        return BlockFileWriter(self.options["path"], schema)
+        limit = int(self.options.get("max_file_bytes", MAX_FILE_BYTES))
+        return BlockFileWriter(self.options["path"], schema, limit)

@@ -125,6 +125,16 @@ def test_plugin_keeps_committed_files_only(spark, rows):
     assert not os.path.exists(f"{path}/_staging")
     assert read_arrow_files(spark, path, SCHEMA).count() == 300
 
+    small = work_dir(spark, "plugin")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows.coalesce(1).write.format("block_files").option("max_file_bytes", 1).mode("append").save(small)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(glob.glob(f"{small}/*.arrow")) >= 6
+    assert read_arrow_files(spark, small, SCHEMA).count() == 300
+
     failing = rows.repartition(3).withColumn("k", F.when(F.col("k") == 299, F.raise_error(F.lit("boom"))).otherwise(F.col("k")))
     broken = work_dir(spark, "plugin")
     with pytest.raises(Exception, match="boom"):
