@@ -240,6 +240,7 @@ def scanned(docs: DataFrame, text_col: str = "text", out: str = "license") -> Da
         )
 
     all_found = run(_rule_table(), F.col(line))
+    result = fresh(docs, "_license_result")
     table = (
         docs.withColumn(words, plain_words(docs[text_col]))
         .withColumn(gate, F.size(words).cast("long"))

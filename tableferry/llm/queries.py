@@ -10,9 +10,9 @@ from . import quality
 
 WORDS_SQL = (
     "list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
-    "'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), w -> w <> '')"
+    "'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 )
-BLANK_WORDS_SQL = "list_filter(string_split_regex(coalesce({0}, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+BLANK_WORDS_SQL = "list_filter(string_split_regex(coalesce({0}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i
 lines AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT l) AS dup
           FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)
           WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY r),
-m AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+m AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
              (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g'))) AS n_symbols,
              coalesce(lines.dup, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
              coalesce(lines.n, 0) AS n_lines,
