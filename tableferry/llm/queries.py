@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate, line_dedup, quality
 from . import license as license_scan
-from . import quality
 
 WORDS_SQL = (
     "list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
@@ -19,6 +19,29 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    found = decontaminate.scanned(docs, _table(spark, sf_dir, "benchmark"), out="found")
+    hit = F.col("found")
+    return found.select(
+        "doc_id",
+        hit["n_words"].alias("n_words"),
+        hit["n_hit"].alias("n_hit"),
+        F.size(hit["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(hit["items"], ","), 256).alias("items_sha256"),
+        hit["contaminated"].alias("contaminated"),
+    )
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "source", "text")
+    return line_dedup.without_boilerplate(docs, dropped_col="n_dropped")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scanned(_docs(spark, sf_dir).select("doc_id", "text"), out="found")
     places = F.col("found")["places"]
@@ -65,5 +88,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-QUERIES = {"op9_license_scan": op9_license_scan, "op10_quality_rules": op10_quality_rules}
-ORACLES = {"op10_quality_rules": OP10_SQL}
+OP2_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL.format('text')} AS ws FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {WORDS_SQL.format('text')} AS ws FROM benchmark),
+win AS (SELECT item, array_to_string(ws[i:i + 12], ' ') AS g, least(len(ws), 13) AS n
+        FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+grams AS (SELECT r, i, n, array_to_string(ws[i:i + n - 1], ' ') AS g
+       FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes)),
+hits AS (SELECT r, i, n, item FROM grams JOIN win USING (g, n)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS l FROM hits GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+       sha256(coalesce(items.l, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
+totals AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
+lines AS (SELECT r, source, text, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS l FROM d),
+bad AS (SELECT source, l FROM (SELECT source, l, count(DISTINCT text) AS n FROM lines WHERE l <> '' GROUP BY source, l) c
+        JOIN totals t USING (source) WHERE c.n >= {line_dedup.MIN_PAGES} AND c.n > {line_dedup.RATIO} * t.n),
+lists AS (SELECT source, list(l) AS ls FROM bad GROUP BY source),
+cut AS (SELECT doc_id, source, text, ls, string_split(text, chr(10)) AS own,
+               list_filter(string_split(text, chr(10)),
+                           lambda x: NOT list_contains(ls, trim(x, ' ' || chr(9) || chr(13)))) AS stays
+        FROM d LEFT JOIN lists USING (source))
+SELECT doc_id, source, CASE WHEN text IS NULL OR ls IS NULL THEN text ELSE array_to_string(stays, chr(10)) END AS text,
+       (CASE WHEN text IS NULL OR ls IS NULL THEN 0 ELSE len(own) - len(stays) END)::BIGINT AS n_dropped
+FROM cut
+"""
+
+QUERIES = {"op2_decontamination": op2_decontamination, "op3_line_dedup": op3_line_dedup, "op9_license_scan": op9_license_scan, "op10_quality_rules": op10_quality_rules}
+ORACLES = {"op2_decontamination": OP2_SQL, "op3_line_dedup": OP3_SQL, "op10_quality_rules": OP10_SQL}
