@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality
+from . import decontaminate, line_dedup, pii, quality
 from . import license as license_scan
 
 WORDS_SQL = (
@@ -42,6 +42,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_boilerplate(docs, dropped_col="n_dropped")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scanned(_docs(spark, sf_dir).select("doc_id", "text"), out="spans")
+    spans = F.col("spans")
+
+    def joined(own):
+        return F.array_join(F.transform(own, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter(spans, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(joined(F.filter(spans, lambda x: x["kind"].isin(*pii.BASE))), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scanned(_docs(spark, sf_dir).select("doc_id", "text"), out="found")
     places = F.col("found")["places"]
@@ -121,5 +136,5 @@ SELECT doc_id, source, CASE WHEN text IS NULL OR ls IS NULL THEN text ELSE array
 FROM cut
 """
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op3_line_dedup": op3_line_dedup, "op9_license_scan": op9_license_scan, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op2_decontamination": op2_decontamination, "op3_line_dedup": op3_line_dedup, "op4_pii": op4_pii, "op9_license_scan": op9_license_scan, "op10_quality_rules": op10_quality_rules}
 ORACLES = {"op2_decontamination": OP2_SQL, "op3_line_dedup": OP3_SQL, "op10_quality_rules": OP10_SQL}
