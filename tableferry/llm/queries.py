@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, pii, quality
+from . import decontaminate, line_dedup, neardup, pii, quality
 from . import license as license_scan
 
 WORDS_SQL = (
@@ -57,6 +57,17 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    found = neardup.grouped(docs, size=4, similarity=0.8)
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.col("part").alias("component_id"),
+        F.coalesce(F.col("doc") == F.col("part"), F.lit(True)).alias("kept"),
+    )
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scanned(_docs(spark, sf_dir).select("doc_id", "text"), out="found")
     places = F.col("found")["places"]
@@ -136,5 +147,5 @@ SELECT doc_id, source, CASE WHEN text IS NULL OR ls IS NULL THEN text ELSE array
 FROM cut
 """
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op3_line_dedup": op3_line_dedup, "op4_pii": op4_pii, "op9_license_scan": op9_license_scan, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op2_decontamination": op2_decontamination, "op3_line_dedup": op3_line_dedup, "op4_pii": op4_pii, "op7_near_duplicates": op7_near_duplicates, "op9_license_scan": op9_license_scan, "op10_quality_rules": op10_quality_rules}
 ORACLES = {"op2_decontamination": OP2_SQL, "op3_line_dedup": OP3_SQL, "op10_quality_rules": OP10_SQL}
