@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, neardup, pii, quality
+from . import decontaminate, line_dedup, neardup, pii, quality, toxicity
 from . import license as license_scan
 
 WORDS_SQL = (
@@ -57,6 +57,17 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+    labels = _table(spark, sf_dir, "labels").filter(~held_out)
+    found = toxicity.scanned(docs, toxicity.trained(docs, labels), out="found")
+    score = F.col("found")["score"]
+    return found.select(
+        "doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     found = neardup.grouped(docs, size=4, similarity=0.8)
@@ -147,5 +158,5 @@ SELECT doc_id, source, CASE WHEN text IS NULL OR ls IS NULL THEN text ELSE array
 FROM cut
 """
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op3_line_dedup": op3_line_dedup, "op4_pii": op4_pii, "op7_near_duplicates": op7_near_duplicates, "op9_license_scan": op9_license_scan, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op2_decontamination": op2_decontamination, "op3_line_dedup": op3_line_dedup, "op4_pii": op4_pii, "op6_toxicity": op6_toxicity, "op7_near_duplicates": op7_near_duplicates, "op9_license_scan": op9_license_scan, "op10_quality_rules": op10_quality_rules}
 ORACLES = {"op2_decontamination": OP2_SQL, "op3_line_dedup": OP3_SQL, "op10_quality_rules": OP10_SQL}
