@@ -11,6 +11,7 @@ are taken leftmost first; repeated rows give equal rows; other columns are passe
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -65,7 +66,7 @@ def _creative_commons():
     }
     for label, name in names.items():
         yield from _versions(
-            label, "creative", f"creative commons {name}",
+            label, "creative commons", f"creative commons {name}",
             label.replace("-", " "), "1.0 2.0 2.5 3.0 4.0",
             f"creativecommons org licenses {label.removeprefix('cc-').replace('-', ' ')}",
         )
@@ -73,42 +74,42 @@ def _creative_commons():
 
 
 LICENSES = (
-    *_versions("gpl", "general", "gnu general public license", "gpl", "1.0 2.0 3.0", "gnu org licenses gpl"),
-    *_versions("lgpl", "lesser", "gnu lesser general public license", "lgpl", "2.0 2.1 3.0", "gnu org licenses lgpl"),
-    *_versions("agpl", "affero", "gnu affero general public license", "agpl", "1.0 3.0", "gnu org licenses agpl"),
-    *_versions("gfdl", "documentation", "gnu free documentation license", "gfdl", "1.1 1.2 1.3", "gnu org licenses fdl"),
+    *_versions("gpl", "general public", "gnu general public license", "gpl", "1.0 2.0 3.0", "gnu org licenses gpl"),
+    *_versions("lgpl", "lesser general", "gnu lesser general public license", "lgpl", "2.0 2.1 3.0", "gnu org licenses lgpl"),
+    *_versions("agpl", "affero general", "gnu affero general public license", "agpl", "1.0 3.0", "gnu org licenses agpl"),
+    *_versions("gfdl", "documentation license", "gnu free documentation license", "gfdl", "1.1 1.2 1.3", "gnu org licenses fdl"),
     *_versions("apache", "apache", "apache(?: software)? license", None, "1.0 1.1 2.0", "apache org licenses license"),
-    *_versions("mpl", "mozilla", "mozilla public license", "mpl", "1.0 1.1 2.0", "mozilla org mpl"),
-    *_versions("epl", "eclipse", "eclipse public license", "epl", "1.0 2.0", "eclipse org legal epl"),
-    *_versions("eupl", "european", "european union public licen[cs]e", "eupl", "1.0 1.1 1.2", None),
-    *_versions("cddl", "distribution", "common development and distribution license", "cddl", "1.0 1.1", None),
-    *_versions("osl", "open", "open software license", "osl", "1.0 2.0 2.1 3.0", None),
-    *_versions("afl", "academic", "academic free license", "afl", "1.1 2.0 2.1 3.0", None),
-    *_versions("artistic", "artistic", "artistic license", None, "1.0 2.0", "opensource org licenses artistic license"),
-    *_versions("bsl", "boost", "boost software license", None, "1.0", "boost org license"),
-    *_versions("busl", "business", "business source license", None, "1.1", None),
+    *_versions("mpl", "mozilla public", "mozilla public license", "mpl", "1.0 1.1 2.0", "mozilla org mpl"),
+    *_versions("epl", "eclipse public", "eclipse public license", "epl", "1.0 2.0", "eclipse org legal epl"),
+    *_versions("eupl", "european union", "european union public licen[cs]e", "eupl", "1.0 1.1 1.2", None),
+    *_versions("cddl", "distribution license", "common development and distribution license", "cddl", "1.0 1.1", None),
+    *_versions("osl", "open software", "open software license", "osl", "1.0 2.0 2.1 3.0", None),
+    *_versions("afl", "academic free", "academic free license", "afl", "1.1 2.0 2.1 3.0", None),
+    *_versions("artistic", "artistic license", "artistic license", None, "1.0 2.0", "opensource org licenses artistic license"),
+    *_versions("bsl", "boost software", "boost software license", None, "1.0", "boost org license"),
+    *_versions("busl", "business source", "business source license", None, "1.1", None),
     *_versions("cecill", "cecill", "cecill free software license(?: agreement)?", "cecill", "1.0 2.0 2.1", None),
-    *_versions("lppl", "latex", "latex project public license", "lppl", "1.0 1.2 1.3", None),
-    *_versions("ofl", "font", "sil open font license", None, "1.0 1.1", "scripts sil org ofl"),
-    *_versions("odbl", "database", "open (?:data commons open )?database license", "odbl", "1.0", None),
-    *_versions("python", "python", "python software foundation license", "psf license", "2.0", None),
-    *_versions("php", "php", "php license", None, "3.0 3.01", "php net license"),
-    *_versions("zpl", "zope", "zope public license", "zpl", "1.1 2.0 2.1", None),
-    *_versions("upl", "universal", "universal permissive license", None, "1.0", None),
+    *_versions("lppl", "latex project", "latex project public license", "lppl", "1.0 1.2 1.3", None),
+    *_versions("ofl", "font license", "sil open font license", None, "1.0 1.1", "scripts sil org ofl"),
+    *_versions("odbl", "database license", "open (?:data commons open )?database license", "odbl", "1.0", None),
+    *_versions("python", "python software", "python software foundation license", "psf license", "2.0", None),
+    *_versions("php", "php license", "php license", None, "3.0 3.01", "php net license"),
+    *_versions("zpl", "zope public", "zope public license", "zpl", "1.1 2.0 2.1", None),
+    *_versions("upl", "universal permissive", "universal permissive license", None, "1.0", None),
     *_creative_commons(),
-    License("mit", "mit", "mit", "(?:the )?mit license", "mit licensed", "opensource org licenses mit"),
+    License("mit", "mit license", "mit", "(?:the )?mit license", "mit licensed", "opensource org licenses mit"),
     License("bsd", "bsd", "bsd", "(?:the )?bsd license", "bsd licensed", None),
     License("bsd-2-clause", "bsd", "bsd 2 clause", "(?:simplified bsd|bsd 2 clause|2 clause bsd)(?: license)?", None, "opensource org licenses bsd 2 clause"),
     License("bsd-3-clause", "bsd", "bsd 3 clause", "(?:(?:new|modified|revised) bsd|bsd 3 clause|3 clause bsd)(?: license)?", None, "opensource org licenses bsd 3 clause"),
     License("bsd-4-clause", "bsd", "bsd 4 clause", "(?:original bsd|bsd 4 clause|4 clause bsd)(?: license)?", None, None),
-    License("isc", "isc", "isc", "isc license", None, "opensource org licenses isc"),
+    License("isc", "isc license", "isc", "isc license", None, "opensource org licenses isc"),
     License("zlib", "zlib", "zlib", "zlib(?: libpng)? license", None, "opensource org licenses zlib"),
     License("unlicense", "unlicense", "unlicense", "the unlicense", None, "unlicense org"),
     License("wtfpl", "wtfpl", "wtfpl", "do what the fuck you want to public license", "wtfpl", None),
-    License("ncsa", "ncsa", "ncsa", "(?:university of illinois )?ncsa open source license", None, None),
-    License("postgresql", "postgresql", "postgresql", "postgresql licen[cs]e", None, None),
-    License("public-domain", "domain", "public domain", "(?:dedicated to|released into|placed in(?:to)?) the public domain", None, None),
-    License("proprietary", "reserved", "proprietary", "all rights reserved", None, None),
+    License("ncsa", "ncsa open", "ncsa", "(?:university of illinois )?ncsa open source license", None, None),
+    License("postgresql", "postgresql licen", "postgresql", "postgresql licen[cs]e", None, None),
+    License("public-domain", "public domain", "public domain", "(?:dedicated to|released into|placed in(?:to)?) the public domain", None, None),
+    License("proprietary", "rights reserved", "proprietary", "all rights reserved", None, None),
 )
 
 _FULL_TEXT = (
@@ -131,20 +132,22 @@ def _rules() -> list[tuple[int, str, str, str]]:
     grant = r"(?:licen[cs]ed|released|distributed|published|available)(?: \w+){0,3}? under(?: the)?(?: terms of)?(?: the)?"
     out = []
     for x in LICENSES:
-        out.append((TAG, x.tag.split()[0], f"spdx license identifier {x.tag}", x.label))
+        out.append((TAG, "spdx license", f"spdx license identifier {x.tag}", x.label))
         out.append((GRANT, x.keyword, f"{grant} {x.name}", x.label))
         out.append((TITLE, x.keyword, x.name, x.label))
         if x.url:
-            out.append((GRANT, x.url.split()[0], f"(?:https? )?(?:www )?{x.url}", x.label))
+            out.append((GRANT, " ".join(x.url.split()[:2]), f"(?:https? )?(?:www )?{x.url}", x.label))
         if x.short:
-            out.append((SHORT, x.short.split()[0], x.short, x.label))
-            out.append((GRANT, x.short.split()[0], f"{grant} {x.short}", x.label))
+            keyword = re.match(r"[a-z ]*[a-z]", x.short)[0]
+            out.append((SHORT, keyword, x.short, x.label))
+            out.append((GRANT, keyword, f"{grant} {x.short}", x.label))
     out += [(GRANT, keyword, text, label) for label, keyword, text in _FULL_TEXT]
-    out += [(PHRASE, phrase.split()[0], phrase, label) for phrase, label in PHRASES]
+    out += [(PHRASE, phrase, phrase, label) for phrase, label in PHRASES]
     return sorted(set(out))
 
 
 RULES = tuple(_rules())
+# A rule's keyword is in every match of it, at the beginning of a word; a text without any is passed over.
 KEYWORDS = tuple(sorted({keyword for _, keyword, _, _ in RULES}))
 
 
@@ -210,11 +213,12 @@ def _kept(found: Column) -> Column:
 
 
 def _rule_table() -> Column:
-    rows = [
-        F.struct(F.lit(rank).alias("rank"), F.lit(keyword).alias("keyword"), F.lit(pattern).alias("pattern"), F.lit(label).alias("label"))
-        for rank, keyword, pattern, label in RULES
-    ]
-    return F.array(*rows)
+    """The rules by keyword, as one constant."""
+    by_keyword: dict[str, list[Column]] = {}
+    for rank, keyword, pattern, label in RULES:
+        rule = F.struct(F.lit(rank).alias("rank"), F.lit(pattern).alias("pattern"), F.lit(label).alias("label"))
+        by_keyword.setdefault(keyword, []).append(rule)
+    return F.array(*[F.struct(F.lit(" " + k).alias("keyword"), F.array(*v).alias("rules")) for k, v in by_keyword.items()])
 
 
 def scanned(docs: DataFrame, text_col: str = "text", out: str = "license") -> DataFrame:
@@ -228,7 +232,7 @@ def scanned(docs: DataFrame, text_col: str = "text", out: str = "license") -> Da
     none = F.array().cast("array<struct<s:int,e:int,rank:int,label:string>>")
 
     def run(rules: Column, line: Column) -> Column:
-        hit = F.filter(rules, lambda r: F.contains(line, F.concat(F.lit(" "), r["keyword"])))
+        hit = F.flatten(F.transform(F.filter(rules, lambda r: F.contains(line, r["keyword"])), lambda r: r["rules"]))
         return F.flatten(
             F.transform(
                 hit,
