@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, neardup, pii, quality, toxicity
+from . import decontaminate, line_dedup, neardup, pii, quality, sentencepiece, token_records, toxicity
 from . import license as license_scan
 
 WORDS_SQL = (
@@ -23,6 +23,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer_file(name: str) -> str:
+    """Where the public vocabulary files lie; they are installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _tokenizer_file("piece_bpe_32k.model")
+    ids = sentencepiece.with_ids(_docs(spark, sf_dir).select("doc_id", "text"), path)
+    both = sentencepiece.with_text(ids, path)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"),
+    )
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     found = decontaminate.scanned(docs, _table(spark, sf_dir, "benchmark"), out="found")
@@ -46,12 +65,15 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scanned(_docs(spark, sf_dir).select("doc_id", "text"), out="spans")
     spans = F.col("spans")
 
+    def number(kind):
+        return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     def joined(own):
         return F.array_join(F.transform(own, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
     return found.select(
         "doc_id",
-        *[F.size(F.filter(spans, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE],
+        *[number(k) for k in pii.BASE],
         F.sha2(joined(F.filter(spans, lambda x: x["kind"].isin(*pii.BASE))), 256).alias("base_sha256"),
         joined(spans).alias("spans"),
     )
@@ -79,6 +101,13 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, location = token_records.write(
+        _docs(spark, sf_dir).select("doc_id", "text"), _tokenizer_file("byte_bpe_50k.json")
+    )
+    return token_records.read(manifest, location, with_ids=False).withColumnRenamed("doc", "doc_id")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scanned(_docs(spark, sf_dir).select("doc_id", "text"), out="found")
     places = F.col("found")["places"]
@@ -158,5 +187,5 @@ SELECT doc_id, source, CASE WHEN text IS NULL OR ls IS NULL THEN text ELSE array
 FROM cut
 """
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op3_line_dedup": op3_line_dedup, "op4_pii": op4_pii, "op6_toxicity": op6_toxicity, "op7_near_duplicates": op7_near_duplicates, "op9_license_scan": op9_license_scan, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_decontamination": op2_decontamination, "op3_line_dedup": op3_line_dedup, "op4_pii": op4_pii, "op6_toxicity": op6_toxicity, "op7_near_duplicates": op7_near_duplicates, "op8_token_records": op8_token_records, "op9_license_scan": op9_license_scan, "op10_quality_rules": op10_quality_rules}
 ORACLES = {"op2_decontamination": OP2_SQL, "op3_line_dedup": OP3_SQL, "op10_quality_rules": OP10_SQL}
