@@ -57,16 +57,20 @@ def _tables() -> np.ndarray:
     return np.array(out)
 
 
+@lru_cache(maxsize=1)
+def _pair_tables() -> np.ndarray:
+    """The same for two bytes at once: ``[k, v]`` for the k-th pair of a group of eight."""
+    t, v = _tables(), np.arange(65_536)
+    return np.array([t[7 - 2 * k][v & 255] ^ t[6 - 2 * k][v >> 8] for k in range(4)])
+
+
 def _raw_sums(rows: np.ndarray) -> np.ndarray:
     """Sums, started at zero, of the rows of a byte matrix whose width is a multiple of eight."""
-    t, state = _tables(), np.zeros(len(rows), np.uint32)
-    for at in range(0, rows.shape[1], 8):
-        group = rows[:, at : at + 8]
-        first = [(state >> np.uint32(8 * k)) & np.uint32(255) ^ group[:, k] for k in range(4)]
-        state = t[7][first[0]] ^ t[6][first[1]] ^ t[5][first[2]] ^ t[4][first[3]]
-        for k in range(4, 8):
-            state = state ^ t[7 - k][group[:, k]]
-    return state
+    t, state = _pair_tables(), np.zeros(len(rows), np.uint64)
+    for group in np.ascontiguousarray(rows.view("<u8").T):
+        pairs = (group ^ state).view("<u2").reshape(-1, 4)
+        state = (t[0][pairs[:, 0]] ^ t[1][pairs[:, 1]] ^ t[2][pairs[:, 2]] ^ t[3][pairs[:, 3]]).astype(np.uint64)
+    return state.astype(np.uint32)
 
 
 @lru_cache(maxsize=1)
@@ -93,9 +97,8 @@ def checksums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     first = np.concatenate([[0], np.cumsum(chunks)])
     padded = np.zeros(int(first[-1]) * CHUNK, np.uint8)
     targets = first[1:] * CHUNK - sizes
-    shift = np.repeat(targets - starts, sizes)
-    source = np.arange(int(sizes.sum())) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-    padded[source + shift] = data[source]
+    for start, end, target in zip(starts.tolist(), ends.tolist(), targets.tolist()):
+        padded[target : target + end - start] = data[start:end]
     for k in range(4):
         padded[targets + k] ^= 255
     sums = _raw_sums(padded.reshape(-1, CHUNK))
