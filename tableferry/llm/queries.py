@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, neardup, pii, quality, sentencepiece, token_records, toxicity
+from . import decontaminate, line_dedup, neardup, pii, quality, secrets, sentencepiece, token_records, toxicity
 from . import license as license_scan
 
 WORDS_SQL = (
@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer_file(name: str) -> str:
+def tokenizer_file(name: str) -> str:
     """Where the public vocabulary files lie; they are installed on every machine."""
     import public_tokenizers
 
@@ -31,7 +31,7 @@ def _tokenizer_file(name: str) -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _tokenizer_file("piece_bpe_32k.model")
+    path = tokenizer_file("piece_bpe_32k.model")
     ids = sentencepiece.with_ids(_docs(spark, sf_dir).select("doc_id", "text"), path)
     both = sentencepiece.with_text(ids, path)
     return both.select(
@@ -79,6 +79,13 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(_docs(spark, sf_dir).select("doc_id", "text"))
+    return found.filter(F.col("probability") >= 0.5).select(
+        F.col("doc").alias("doc_id"), "start", "end", F.round("probability", 6).alias("probability")
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
@@ -103,7 +110,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, location = token_records.write(
-        _docs(spark, sf_dir).select("doc_id", "text"), _tokenizer_file("byte_bpe_50k.json")
+        _docs(spark, sf_dir).select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json")
     )
     return token_records.read(manifest, location, with_ids=False).withColumnRenamed("doc", "doc_id")
 
@@ -187,5 +194,5 @@ SELECT doc_id, source, CASE WHEN text IS NULL OR ls IS NULL THEN text ELSE array
 FROM cut
 """
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_decontamination": op2_decontamination, "op3_line_dedup": op3_line_dedup, "op4_pii": op4_pii, "op6_toxicity": op6_toxicity, "op7_near_duplicates": op7_near_duplicates, "op8_token_records": op8_token_records, "op9_license_scan": op9_license_scan, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_decontamination": op2_decontamination, "op3_line_dedup": op3_line_dedup, "op4_pii": op4_pii, "op5_secret_scan": op5_secret_scan, "op6_toxicity": op6_toxicity, "op7_near_duplicates": op7_near_duplicates, "op8_token_records": op8_token_records, "op9_license_scan": op9_license_scan, "op10_quality_rules": op10_quality_rules}
 ORACLES = {"op2_decontamination": OP2_SQL, "op3_line_dedup": OP3_SQL, "op10_quality_rules": OP10_SQL}
