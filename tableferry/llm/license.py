@@ -105,7 +105,7 @@ LICENSES = (
     License("isc", "isc license", "isc", "isc license", None, "opensource org licenses isc"),
     License("zlib", "zlib", "zlib", "zlib(?: libpng)? license", None, "opensource org licenses zlib"),
     License("unlicense", "unlicense", "unlicense", "the unlicense", None, "unlicense org"),
-    License("wtfpl", "wtfpl", "wtfpl", "do what the fuck you want to public license", "wtfpl", None),
+    License("wtfpl", "do what", "wtfpl", "do what the fuck you want to public license", "wtfpl", None),
     License("ncsa", "ncsa open", "ncsa", "(?:university of illinois )?ncsa open source license", None, None),
     License("postgresql", "postgresql licen", "postgresql", "postgresql licen[cs]e", None, None),
     License("public-domain", "public domain", "public domain", "(?:dedicated to|released into|placed in(?:to)?) the public domain", None, None),
@@ -115,7 +115,7 @@ LICENSES = (
 _FULL_TEXT = (
     # Opening or telling lines of license texts: label, keyword, expression.
     ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mit", "noninfringement", "the software is provided as is without warranty of any kind express or implied"),
+    ("mit", "without warranty", "the software is provided as is without warranty of any kind express or implied"),
     ("isc", "hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),

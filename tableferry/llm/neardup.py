@@ -8,13 +8,14 @@
    everybody: each member is compared with one pivot, the member that shares its bands with most.
 4. Pairs that meet in buckets of two are first judged by the likelihood of their registers (joint
    estimate of the similarity, set sizes known) and dropped far below the threshold.
-5. The remaining pairs are confirmed on full sets. Pairs that fail leave a residue, and residues
-   are complete: if x is not linked with pivot B, then x can be linked with y only if x and y
-   share a shingle that B lacks, or lack one that B has. (Let dx, dy be the symmetric differences
-   with B. If they were disjoint, |x ^ y| = |dx| + |dy|, and x ^ y could be small only if dx were.)
-   Shared lacks alone suffice only if y is smaller than B by a margin that follows from the sizes.
-   So residual members are joined with the others on those few shingles, members that are
-   connected already are left out, and what remains is confirmed like any other pair.
+5. The remaining pairs are confirmed on full sets. Clusters that fall apart leave a residue, and it is
+   worked through completely. Take the centre C of a cluster (shingles that most members have). If x
+   is not as similar to C as the threshold asks, x can be linked with y only if x and y share a
+   difference from C, a shingle that C lacks or one that C has. (Were the differences dx, dy disjoint,
+   |x ^ y| = |dx| + |dy| would be too large already by dx.) So members far from C are joined with the
+   others on their differences; shared lacks alone suffice only for sets smaller than C, which is part
+   of the join. Members near C are compared with a few hubs, the members nearest to it, and the rare
+   ones that stay unconnected with all others near C. Connected members are never compared again.
 6. Links are closed to components by alternating large-star and small-star rounds.
 
 Nothing is collected: sketches, pairs, links and components are written tables. Texts are shuffled
@@ -30,12 +31,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import text_batches
@@ -49,6 +50,7 @@ REGISTERS = BANDS * ROWS
 BASE = 1.02  # spacing of the register values
 RATE = 20.0  # of the exponential hashes
 TOP = (1 << 16) - 2
+HUBS = 16  # members nearest to a cluster's centre that others are compared with
 MARGIN = 5  # standard errors that an estimate may lie below the threshold
 
 
@@ -242,34 +244,69 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     )
 
 
-def _residual_pairs(compared: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs that may be linked although one of them is not linked with its pivot; unconnected ones only."""
-    rows = compared.filter(F.col("added").isNotNull())
-    troubled = rows.filter(~F.col("linked")).select("pivot").distinct()
-    rows = rows.join(troubled, "pivot", "left_semi")
+def _centred(compared: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Members of the clusters that fell apart, described by how they differ from the cluster's centre.
+
+    A cluster is a pivot and all that were compared with it. Its centre is the set of the shingles that
+    more than half of its members have; it need not be a document. ``near``: so similar to the centre
+    as linked documents are to each other.
+    """
+    rows = compared.filter(F.col("added").isNotNull()).select(
+        F.col("pivot").alias("b"), "member", F.col("pivot_n").alias("b_n"), F.col("member_n").alias("n"), "added", "lacked"
+    )
+    none = F.array().cast("array<long>")
+    pivots = rows.groupBy("b").agg(F.first("b_n").alias("b_n")).select(
+        "b", F.col("b").alias("member"), "b_n", F.col("b_n").alias("n"), none.alias("added"), none.alias("lacked")
+    )
     part = parts.select(F.col("doc").alias("member"), "part")
-    rows = rows.join(part, "member", "left").withColumn("part", F.coalesce("part", "member"))
-
-    def side(name: str, own: DataFrame, feature: str) -> DataFrame:
-        return own.select(
-            F.col("pivot").alias("b"), F.explode(feature).alias("f"), F.col("member").alias(name), F.col("part").alias(f"{name}_part"),
-            F.size("added").alias(f"{name}_a"), F.size("lacked").alias(f"{name}_d"), F.col("pivot_n").alias(f"{name}_b"),
-        )
-
-    away = rows.filter(~F.col("linked"))
-    out = None
-    for feature in ("added", "lacked"):
-        x, y = side("x", away, feature), side("y", rows, feature).withColumnRenamed("b", "yb").withColumnRenamed("f", "yf")
-        apart = (F.col("b") == F.col("yb")) & (F.col("f") == F.col("yf")) & (F.col("x_part") != F.col("y_part"))
-        # differences from the pivot that x and y must share to be linked, and can share
-        slack = (100 - percent) / (100 + percent)
-        total = 2 * F.col("x_b") + F.col("x_a") - F.col("x_d") + F.col("y_a") - F.col("y_d")
-        need = (F.col("x_a") + F.col("x_d") + F.col("y_a") + F.col("y_d") - slack * total) / 2
-        room = F.least("x_d", "y_d") + (F.least("x_a", "y_a") if feature == "added" else F.lit(0))
-        apart = apart & (room >= need - 1e-6)
-        found = x.join(y, apart).select(F.least("x", "y").alias("pivot"), F.greatest("x", "y").alias("member")).distinct()
-        out = found if out is None else out.unionByName(found).distinct()
-    return out.withColumn("alone", F.lit(True))
+    rows = rows.unionByName(pivots).join(part, "member", "left").withColumn("part", F.coalesce("part", "member"))
+    apart = rows.groupBy("b").agg(F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high"))
+    rows = written(rows.join(apart.filter(F.col("low") != F.col("high")).select("b", "size"), "b"), "fallen-apart")
+    often = (
+        rows.select("b", "size", F.explode(F.array(F.struct(F.lit(True).alias("more"), F.col("added").alias("of")), F.struct(F.lit(False).alias("more"), F.col("lacked").alias("of")))).alias("x"))
+        .select("b", "size", "x.more", F.explode("x.of").alias("f"))
+        .groupBy("b", "more", "f")
+        .agg(F.count("*").alias("n"), F.first("size").alias("size"))
+        .filter(2 * F.col("n") > F.col("size"))
+        .groupBy("b")  # a centre is no larger than the mean set of its cluster allows: twice its mean at most
+        .agg(F.collect_list(F.when(F.col("more"), F.col("f"))).alias("plus"), F.collect_list(F.when(~F.col("more"), F.col("f"))).alias("minus"))
+    )
+    rows = rows.join(often, "b", "left").withColumns({"plus": F.coalesce("plus", none), "minus": F.coalesce("minus", none)})
+    slack = (100 - percent) / (100 + percent)
+    return rows.select(
+        "b", "member", "part", "n", (F.col("b_n") + F.size("plus") - F.size("minus")).alias("centre_n"),
+        F.array_union(F.array_except("added", "plus"), F.array_except("minus", "lacked")).alias("added"),
+        F.array_union(F.array_except("lacked", "minus"), F.array_except("plus", "added")).alias("lacked"),
+    ).withColumn("near", F.size("added") + F.size("lacked") <= slack * (F.col("n") + F.col("centre_n")) + 1e-6)
+
+
+def _sides(x: DataFrame, y: DataFrame, feature: str | None, percent: int) -> DataFrame:
+    """Pairs of unconnected members of a cluster that may be linked; with a feature, only if they share one."""
+
+    def side(name: str, own: DataFrame) -> DataFrame:
+        columns = [F.col("b").alias(f"{name}_b"), F.col("member").alias(name), F.col("part").alias(f"{name}_part"),
+                   F.col("n").alias(f"{name}_n"), F.size("added").alias(f"{name}_a"), F.size("lacked").alias(f"{name}_d")]
+        return own.select(*columns, *([F.explode(feature).alias(f"{name}_f")] if feature else []))
+
+    # differences from the centre that two linked members share at least, and that these two can share
+    slack = (100 - percent) / (100 + percent)
+    need = (F.col("x_a") + F.col("x_d") + F.col("y_a") + F.col("y_d") - slack * (F.col("x_n") + F.col("y_n"))) / 2
+    room = F.least("x_d", "y_d") + (F.lit(0) if feature == "lacked" else F.least("x_a", "y_a"))
+    meet = (F.col("x_b") == F.col("y_b")) & (F.col("x_part") != F.col("y_part")) & (room >= need - 1e-6)
+    meet = meet & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
+    if feature:
+        meet = meet & (F.col("x_f") == F.col("y_f"))
+    pairs = side("x", x).join(side("y", y), meet)
+    return pairs.select(F.least("x", "y").alias("pivot"), F.greatest("x", "y").alias("member")).distinct()
+
+
+def _residual_pairs(centred: DataFrame, percent: int) -> DataFrame:
+    """First what shares a difference with a member far from the centre, and near members with the hubs."""
+    far, near = centred.filter(~F.col("near")), centred.filter("near")
+    order = Window.partitionBy("b").orderBy(F.size("added") + F.size("lacked"), "member")
+    hubs = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= HUBS).drop("place")
+    pairs = _sides(far, centred, "added", percent).unionByName(_sides(far, centred, "lacked", percent))
+    return pairs.unionByName(_sides(near, hubs, None, percent)).distinct().withColumn("alone", F.lit(True))
 
 
 def components(links: DataFrame, purpose: str = "components") -> DataFrame:
@@ -322,10 +359,22 @@ def grouped(
     same = full.select("doc", "digest").join(classes, "digest").select(F.col("doc").alias("a"), F.col("node").alias("b"))
     links = compared.filter("linked").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
     parts = written(components(links), "parts")
-    residue = written(_residual_pairs(compared, parts, percent), "residue")
-    more = confirmed(residue, texts, size, percent).filter("linked").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
-    whole_links = links.unionByName(more)
-    parts = written(components(whole_links), "parts")
+    centred = written(_centred(compared, parts, percent), "centred")
+    links = [links]
+    for last in (False, True):
+        # the second time: near members that not even the hubs have connected, with all other near members
+        if last:
+            part = parts.select(F.col("doc").alias("member"), F.col("part").alias("now"))
+            near = centred.filter("near").join(part, "member", "left").withColumn("part", F.coalesce("now", "member")).drop("now")
+            largest = near.groupBy("b", "part").agg(F.count("*").alias("k")).groupBy("b").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
+            stray = near.join(largest, "b").filter(F.col("part") != F.col("main")).drop("main")
+            residue = _sides(stray, near, None, percent).withColumn("alone", F.lit(True))
+        else:
+            residue = _residual_pairs(centred, percent)
+        residue = written(residue, "residue")
+        more = written(confirmed(residue, texts, size, percent).filter("linked").select("pivot", "member"), "residual-links")
+        links.append(more.select(F.col("pivot").alias("a"), F.col("member").alias("b")))
+        parts = written(components(reduce(DataFrame.unionByName, links)), "parts")
     node_of = same.distinct()
     final = node_of.join(parts.withColumnRenamed("doc", "b"), "b", "left").select(
         F.col("a").alias("doc"), F.coalesce("part", "b").alias("part")
