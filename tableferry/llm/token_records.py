@@ -19,6 +19,7 @@ manifest; other columns are not written.
 
 from __future__ import annotations
 
+import json
 import posixpath
 import uuid
 import zlib
@@ -41,6 +42,7 @@ FILE_BYTES = 32 << 20
 HAS_ID, WIDE = 1, 2
 POLYNOMIAL = 0x82F63B78  # fixed value: CRC-32C, reflected
 MASK = 0xA282EAD8  # fixed value: added to the rotated checksum
+CACHED = 400_000  # stretches in each generation
 CHUNK = 512  # bytes that are summed in parallel
 MANIFEST = "part int, number int, file string, records long, ids long"
 
@@ -140,9 +142,9 @@ def unframed(data: bytes, offsets: np.ndarray) -> list[bytes]:
     return [data[s:e] for s, e in zip((at + 12).tolist(), ends.tolist())]
 
 
-def payload(doc: int | None, ids: np.ndarray, wide: bool) -> bytes:
+def payload(doc: int | None, ids: bytes, wide: bool) -> bytes:
     flags = (HAS_ID if doc is not None else 0) | (WIDE if wide else 0)
-    return bytes([flags]) + int(doc or 0).to_bytes(8, "little", signed=True) + ids.astype("<u4" if wide else "<u2").tobytes()
+    return bytes([flags]) + int(doc or 0).to_bytes(8, "little", signed=True) + ids
 
 
 def parsed(record: bytes) -> tuple[int | None, np.ndarray]:
@@ -150,13 +152,73 @@ def parsed(record: bytes) -> tuple[int | None, np.ndarray]:
     return doc, np.frombuffer(record, "<u4" if record[0] & WIDE else "<u2", offset=9)
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Encoder:
+    """The library's ids of whole texts, as little-endian bytes.
+
+    Byte-level vocabularies of this kind cut a text before every single blank that follows and precedes
+    other characters, so the stretches between such blanks can be encoded alone. Most recur, and their
+    ids are kept in two bounded generations of a cache. Texts with blanks in a row go to the library
+    as they are, and so does every text if the file says it cuts texts in another way.
+    """
 
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True  # their names inside a text are ordinary text
-    return own
+    def __init__(self, path: str, end_id: int = 0) -> None:
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # their names inside a text are ordinary text
+        self.wide = max(self.library.get_vocab_size(), end_id + 1) > 65_536
+        self.kind = "<u4" if self.wide else "<u2"
+        self.end = np.array([end_id], self.kind).tobytes()
+        cut = json.loads(self.library.to_str())
+        how = cut.get("pre_tokenizer") or {}
+        self.by_stretch = how.get("type") == "ByteLevel" and how.get("use_regex") and not how.get("add_prefix_space") \
+            and not cut.get("normalizer")
+        # a byte-level token is written with one character for each of its bytes
+        size = self.library.get_vocab_size()
+        self.token_bytes = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _direct(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, self.kind).tobytes() for x in found]
+
+    def _stretches(self, words: list[str]) -> list[bytes]:
+        """Ids of " word" for each word: one call for all of them, cut again by the tokens' lengths in bytes."""
+        ids = np.array(self.library.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        cuts = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1
+        raw, width = ids.astype(self.kind).tobytes(), 4 if self.wide else 2
+        bounds = [0, *(cuts * width).tolist()]
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """With the end id."""
+        whole = [i for i, t in enumerate(texts) if not self.by_stretch or "  " in t]
+        rest = sorted(set(range(len(texts))).difference(whole))
+        out = dict(zip(whole, self._direct([texts[i] for i in whole])))
+        parts = [texts[i].split(" ") for i in rest]
+        heads = self._direct([p[0] for p in parts])
+        wanted = {w for w in set().union(*(p[1:] for p in parts)) if w not in self.new}
+        if len(self.new) + len(wanted) > CACHED:
+            self.old, self.new = self.new, {}
+            wanted = set().union(*(p[1:] for p in parts))
+        again = {w: self.old[w] for w in wanted if w in self.old}
+        self.new.update(again)
+        missing = [w for w in wanted if w not in again]
+        for at in range(0, len(missing), 2_000):
+            own = missing[at : at + 2_000]
+            self.new.update(zip(own, self._stretches(own)))
+        known = self.new.__getitem__
+        for i, head, p in zip(rest, heads, parts):
+            out[i] = head + b"".join(map(known, p[1:]))
+        return [out[i] + self.end for i in range(len(texts))]
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str, end_id: int) -> Encoder:
+    """One for each file in each Python worker."""
+    return Encoder(path, end_id)
 
 
 def _open(location: str) -> tuple[fs.FileSystem, str]:
@@ -199,14 +261,15 @@ class _Files:
 
 def _write(location: str, tokenizer_path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, files = _tokenizer(tokenizer_path), _Files(location)
-        wide = max(own.get_vocab_size(), end_id + 1) > 65_536
+        own, files = _encoder(tokenizer_path, end_id), _Files(location)
         for batch in batches:
             docs, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
             for at in range(0, len(docs), 256):
-                found = own.encode_batch_fast([t or "" for t in texts[at : at + 256]], add_special_tokens=False)
-                ids = [np.array([*x.ids, end_id], np.uint32) for x in found]
-                files.add([payload(d, i, wide) for d, i in zip(docs[at : at + 256], ids)], sum(map(len, ids)))
+                ids = own.encode([t or "" for t in texts[at : at + 256]])
+                files.add(
+                    [payload(d, i, own.wide) for d, i in zip(docs[at : at + 256], ids)],
+                    sum(map(len, ids)) // (4 if own.wide else 2),
+                )
         files.close()
         columns = list(zip(*files.rows)) or [[]] * 5
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
