@@ -43,8 +43,8 @@ def wait_share(waiting: Column, active: Column) -> Column:
 
 
 def normalised_cpu(average: Column, cores: Column) -> Column:
-    """Percent of the allowed CPUs, two decimals, ties to even."""
-    return F.bround(average / (cores * 100) * 100, 2)
+    """Percent of the allowed CPUs, two decimals of the exact binary value, ties to even."""
+    return F.call_function("format_number", average / (cores * 100) * 100, F.lit("0.00")).cast("double")
 
 
 def megabytes(size: Column) -> Column:

@@ -18,9 +18,6 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return df.groupBy(*keys).agg(best).select(*keys, "_first.*").select(*df.columns)
 
 
-HOT_KEYS = 1000  # a key with more than 1/1000 of all rows is hot, so there are fewer than 1000
-
-
 def _same_keys(keys: Sequence[str]) -> list[Column]:
     return [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys]
 
@@ -28,19 +25,11 @@ def _same_keys(keys: Sequence[str]) -> list[Column]:
 def duplicate_members(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All rows whose key occurs more than once.
 
-    Keys are counted with map-side combining. Rows of hot keys are recognised by a broadcast of
-    those keys and never shuffled; only the others meet the repeated keys in a shuffled semi join.
+    Keys are counted with map-side combining and meet the rows in one semi join: two scans. A hot
+    key is one row on the right, so adaptive execution may split its rows on the left.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    repeated = counts.filter(F.col("_n") > 1)
-    is_hot = F.col("_n") * HOT_KEYS > counts.agg(F.sum("_n")).scalar()
-    # The share above bounds this side: fewer than HOT_KEYS rows at any data size.
-    hot = F.broadcast(repeated.filter(is_hot).alias("r"))
-    rows = df.alias("l")
-    of_hot = rows.join(hot, _same_keys(keys), "left_semi")
-    cold = rows.join(hot, _same_keys(keys), "left_anti").alias("l")
-    of_cold = cold.join(repeated.filter(~is_hot).alias("r"), _same_keys(keys), "left_semi")
-    return of_hot.unionByName(of_cold)
+    repeated = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
+    return df.alias("l").join(repeated.alias("r"), _same_keys(keys), "left_semi")
 
 
 def cleaning_counts(df: DataFrame, kept_predicate, keys: Sequence[str]) -> DataFrame:

@@ -23,9 +23,14 @@ def _numbered(df: DataFrame, order: Sequence[str | Column], partitions: int | No
     path = work_dir(spark, "ordered")
     # Without a number, adaptive execution may merge small neighbouring ranges before they are written.
     ranges = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    ranges.sortWithinPartitions(*order).write.parquet(path)
+    # One file per range, whatever the session says; and should a task still begin another file, files
+    # count in the order of (task, file of the task), so positions stay apart.
+    ranges.sortWithinPartitions(*order).write.option("maxRecordsPerFile", 0).parquet(path)
 
-    file_number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("_file")
+    def number(pattern: str) -> Column:
+        return F.regexp_extract("_metadata.file_name", pattern, 1).cast("int")
+
+    file_number = F.struct(number(r"part-(\d+)").alias("task"), number(r"-c(\d+)\.").alias("file")).alias("_file")
     ordered = spark.read.schema(df.schema).parquet(path)
     sizes = ordered.select(file_number).groupBy("_file").agg(F.count("*").alias("_rows"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
@@ -36,7 +41,7 @@ def _numbered(df: DataFrame, order: Sequence[str | Column], partitions: int | No
         F.sum("_rows").over(everything).alias("_total"),
     )
     rows = ordered.select("*", file_number, F.col("_metadata.row_index").alias("_row"))
-    # One row per range, so never more than the shuffle partitions: safe to broadcast at any data size.
+    # One row per file, and each task of the write has one: no more than the ranges of the sort.
     placed = rows.join(F.broadcast(starts), "_file")
     return placed.select(*df.columns, (F.col("_start") + F.col("_row")).alias("_position"), "_total")
 

@@ -7,21 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import with_position
-
-
-TOP_ROWS = 10_000  # rows one task may merge
-
 
 def first_rows(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:
-    """First ``n`` rows of an explicit order.
+    """First ``n`` rows of an explicit order, in that order: a top-k per task and a merge.
 
-    A small ``n`` is a top-k per task and a merge; a large one is cut by position, so that it is
-    never gathered in one place.
+    The ``n`` rows meet in one task. To cut off a share of a large table, filter the positions that
+    ``ordering.with_position`` gives.
     """
-    if n <= TOP_ROWS:
-        return df.orderBy(*order).limit(n)
-    return with_position(df, order, "_position").filter(F.col("_position") < n).drop("_position")
+    return df.orderBy(*order).limit(n)
 
 
 def largest(df: DataFrame, n: int, value: str, tie_break: Sequence[str]) -> DataFrame:

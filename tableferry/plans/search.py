@@ -77,7 +77,7 @@ def allocate_workers(
     """Add ``<stage>_par``: one more worker for the slowest stage, again and again.
 
     Stops when the slowest stage reaches the bound or either side is out of workers. Zero-rate
-    stages keep one. The steps are the (stage, workers) pairs sorted by rate, so the loop is a fold
+    stages keep one. Without a bound there is no plan: all columns are null. The steps are the (stage, workers) pairs sorted by rate, so the loop is a fold
     over one sorted array of the row.
     """
 
@@ -115,6 +115,7 @@ def allocate_workers(
     allocated = df.withColumn("_steps", below).withColumn("_given", given)
 
     def count_of(i: int) -> Column:
-        return F.lit(1) + F.size(F.filter("_given", lambda g: g == F.lit(i)))
+        plan = F.lit(1) + F.size(F.filter("_given", lambda g: g == F.lit(i)))
+        return F.when(F.col(bound).isNotNull(), plan)
 
     return allocated.withColumns({f"{s}_par": count_of(i) for i, s in enumerate(stages)}).drop("_steps", "_given")

@@ -188,8 +188,9 @@ def as_event_log(events: DataFrame, bounds: DataFrame | None = None) -> DataFram
         .when(F.col("seq") == F.col("last_seq"), "end")
         .when(F.col("event_type").isin("view", "click"), "pop")
         .when(F.col("event_type").isin("purchase", "signup"), "push")
+        .otherwise(F.col("event_type"))  # a kind the log's readers do not know and pass over
     )
-    named = log.join(bounds, keys).withColumn("event", kind).filter(F.col("event").isNotNull())
+    named = log.join(bounds, keys).withColumn("event", kind)
     return named.select(*keys, "event", "ts_us", "seq")
 
 
@@ -270,8 +271,8 @@ EVENT_LOG_SQL = (
     "placed AS (SELECT *, row_number() OVER (PARTITION BY transfer_id, component, thread ORDER BY seq) AS rn, "
     "count(*) OVER (PARTITION BY transfer_id, component, thread) AS n FROM threads), "
     "event_log AS (SELECT transfer_id, component, thread, CASE WHEN rn = 1 THEN 'start' WHEN rn = n THEN 'end' "
-    "WHEN event_type IN ('view', 'click') THEN 'pop' ELSE 'push' END AS event, ts_us, seq FROM placed "
-    "WHERE rn = 1 OR rn = n OR event_type <> 'error')"
+    "WHEN event_type IN ('view', 'click') THEN 'pop' WHEN event_type IN ('purchase', 'signup') THEN 'push' "
+    "ELSE event_type END AS event, ts_us, seq FROM placed)"
 )
 SAMPLES_SQL = (
     "queue_samples AS (SELECT epoch_us(ts) // 60000000 AS minute, "

@@ -162,7 +162,8 @@ ALLOCATION_SQL = (
     f"given AS (SELECT {KEYS_SQL}, ord, count(*) AS n FROM used WHERE rate < bound AND server_used < server_cap AND "
     f"client_used < client_cap GROUP BY {KEYS_SQL}, ord) "
     f"SELECT {', '.join('b.' + chr(34) + k + chr(34) for k in KEYS)}, "
-    + ", ".join(f"CAST(1 + coalesce(max(n) FILTER (ord = {i}), 0) AS INTEGER) AS {s}_par" for i, s in enumerate(STAGES))
+    + ", ".join(f"CASE WHEN max(b.bound) IS NOT NULL THEN CAST(1 + coalesce(max(n) FILTER (ord = {i}), 0) AS INTEGER) END AS {s}_par"
+                for i, s in enumerate(STAGES))
     + f" FROM bounds b LEFT JOIN given g ON "
     + " AND ".join(f'b."{k}" = g."{k}"' for k in KEYS)
     + f" GROUP BY {', '.join('b.' + chr(34) + k + chr(34) for k in KEYS)}"

@@ -15,7 +15,6 @@ from . import derived as d
 from .registry import query
 
 BLOCK_KIB = 64
-CHUNK = 700  # small enough that every thread spans many chunks on test data
 
 # Step by step in one window per thread: the checking form, not the distributed one.
 METRICS_SQL = (
@@ -49,7 +48,7 @@ KEYS_SQL = "transfer_id, component, thread"
 
 
 def _threads(spark, sf_dir):
-    return m.combine_summaries(m.chunk_summaries(d.event_log(spark, sf_dir), CHUNK))
+    return m.combine_summaries(m.chunk_summaries(d.event_log(spark, sf_dir)))
 
 
 def _rated(spark, sf_dir):
@@ -148,10 +147,10 @@ def timing_row(spark, sf_dir):
     """The samples cover all transfers, so each transfer's row gets the same loads."""
     rolled = _rounded(m.component_metrics(_rated(spark, sf_dir)), ROUNDED)
     names = ("free_load", "decomp_load", "ser_load", "write_load")
-    samples = d.queue_samples(spark, sf_dir).select(
-        *[F.col(q).alias(n) for q, n in zip(_QUEUES, names)], F.explode(F.sequence(F.lit(0), F.lit(4))).alias("transfer_id")
-    )
-    loads = summarize.average_load(samples, names, ["transfer_id"])
+    samples = d.queue_samples(spark, sf_dir).select(*[F.col(q).alias(n) for q, n in zip(_QUEUES, names)])
+    one = F.lit(1).alias("_one")  # one row of loads, given to every transfer there is
+    loads = summarize.average_load(samples, names).select("*", one)
+    loads = rolled.select("transfer_id", one).distinct().join(loads, "_one").drop("_one")
     return m.timing_row(rolled, _rounded(loads, dict.fromkeys(names, 9)), CLIENT_STAGES)
 
 
@@ -245,7 +244,7 @@ def running_stage_metrics(spark, sf_dir):
     stream = (
         spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
     )
-    writer = live.running_stage_metrics(stream, path, work_dir(spark, "checkpoint"), CHUNK)
+    writer = live.running_stage_metrics(stream, path, work_dir(spark, "checkpoint"))
     return live.run_available(writer, lambda: live.stage_metrics_so_far(spark, path))
 
 

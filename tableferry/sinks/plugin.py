@@ -25,7 +25,7 @@ class BlockFiles(WriterCommitMessage):
 class BlockFileWriter(DataSourceArrowWriter):
     """Arrow IPC files of bounded size.
 
-    A task writes below ``_staging`` under names of its own, so a lost or repeated task leaves
+    A task writes below a ``_staging`` folder of the job under names of its own, so a lost or repeated task leaves
     nothing behind that counts; only the files of committed tasks are moved into place. A file is
     closed once it holds ``max_file_bytes``, because a reader takes each file whole.
     """
@@ -34,6 +34,7 @@ class BlockFileWriter(DataSourceArrowWriter):
         self.location = location
         self.arrow_schema = to_arrow_schema(schema)
         self.max_file_bytes = max_file_bytes
+        self.staging = f"_staging-{uuid.uuid4().hex}"  # of this job alone; other jobs may write beside it
 
     def _open(self) -> tuple[fs.FileSystem, str]:
         if "://" in self.location:
@@ -42,13 +43,13 @@ class BlockFileWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> BlockFiles:
         filesystem, root = self._open()
-        filesystem.create_dir(f"{root}/_staging", recursive=True)
+        filesystem.create_dir(f"{root}/{self.staging}", recursive=True)
         done = BlockFiles([], 0)
         batches = (batch.cast(self.arrow_schema) for batch in iterator)
         for first in batches:
             name = f"part-{uuid.uuid4().hex}.arrow"
             with (
-                filesystem.open_output_stream(f"{root}/_staging/{name}") as out,
+                filesystem.open_output_stream(f"{root}/{self.staging}/{name}") as out,
                 pa.ipc.new_file(out, self.arrow_schema) as sink,
             ):
                 size = 0
@@ -65,15 +66,14 @@ class BlockFileWriter(DataSourceArrowWriter):
         filesystem, root = self._open()
         for done in filter(None, messages):
             for name in done.names:
-                filesystem.move(f"{root}/_staging/{name}", f"{root}/{name}")
+                filesystem.move(f"{root}/{self.staging}/{name}", f"{root}/{name}")
         self._drop_staging(filesystem, root)
 
     def abort(self, messages: list[BlockFiles | None]) -> None:
         self._drop_staging(*self._open())
 
-    @staticmethod
-    def _drop_staging(filesystem: fs.FileSystem, root: str) -> None:
-        staging = f"{root}/_staging"
+    def _drop_staging(self, filesystem: fs.FileSystem, root: str) -> None:
+        staging = f"{root}/{self.staging}"
         if filesystem.get_file_info(staging).type == fs.FileType.Directory:
             filesystem.delete_dir(staging)
 

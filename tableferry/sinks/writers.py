@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..fixed_values import WRITER_CODECS
 from ..functions.fixed_text import csv_line
 from ..schema import enforce_schema, max_text_row
+from ..sources.tables import LINE_END
 
 
 def writer_codec(codec: str, fmt: str = "parquet") -> str:
@@ -49,7 +50,7 @@ def write_csv_lines(
     writer = writer.option("compression", writer_codec(codec, "csv"))
     if max_file_bytes:
         writer = writer.option("maxRecordsPerFile", rows_per_file(schema, max_file_bytes))
-    writer.text(path)
+    writer.text(path, lineSep=LINE_END)
 
 
 def write_parquet_table(
@@ -67,7 +68,8 @@ def write_parquet_table(
 def copy_files(spark: SparkSession, source: str, target: str, fmt: str, codec: str = "nocomp") -> None:
     """Same-format copy. CSV lines are moved as they are, without parsing a single field."""
     if fmt == "csv":
-        spark.read.text(source).write.mode("overwrite").option("compression", writer_codec(codec, "csv")).text(target)
+        lines = spark.read.text(source, lineSep=LINE_END).write.mode("overwrite")
+        lines.option("compression", writer_codec(codec, "csv")).text(target, lineSep=LINE_END)
     elif fmt == "parquet":
         df = spark.read.parquet(source)
         df.write.mode("overwrite").option("compression", writer_codec(codec)).parquet(target)
@@ -76,9 +78,12 @@ def copy_files(spark: SparkSession, source: str, target: str, fmt: str, codec: s
 
 
 def write_jdbc_table(df: DataFrame, url: str, table: str, write_par: int = 1, batch_size: int = 10_000) -> None:
-    """Database target. One writer by default; each further writer is one more connection."""
+    """Database target. One writer by default; each further writer is one more connection.
+
+    Rows are dealt anew to the writers: a coalesce would pull the work before it into as few tasks.
+    """
     (
-        df.coalesce(write_par)
+        df.repartition(write_par)
         .write.format("jdbc")
         .options(url=url, dbtable=table, batchsize=str(batch_size))
         .mode("append")
@@ -95,7 +100,7 @@ def append_transfer_record(record: DataFrame, path: str, id_column: str = "trans
 def file_manifest(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     """One row per written file: tuples and payload bytes (text) or file bytes (Parquet)."""
     if fmt == "csv":
-        df = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+        df = spark.read.text(path, lineSep=LINE_END).select("value", F.col("_metadata.file_name").alias("file"))
         size = F.sum(F.octet_length("value") + 1)
     else:
         df = spark.read.parquet(path).select(

@@ -53,20 +53,30 @@ def read_run_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
 
 
+def _timing_lines(spark: SparkSession, folder: str, side: str, pattern: str | None) -> DataFrame:
+    """Every line but the headers, parsed as a whole: which columns are asked for decides nothing."""
+    schema = {"server": SERVER_TIMINGS, "client": CLIENT_TIMINGS}[side]
+    lines = spark.read.option("pathGlobFilter", pattern or f"*_{side}_timings.csv").text(folder)
+    line = F.rtrim("value")
+    whole = T.StructType([*schema.fields, T.StructField("_rejected", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_rejected"}
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.fields)
+    return lines.filter((line != "") & ~F.startswith(line, F.lit(schema.names[0] + ","))).select(
+        F.from_csv(line, ddl, options).alias("row"), line.alias("line"), F.col("_metadata.file_name").alias("source_file")
+    )
+
+
 def read_timing_files(spark: SparkSession, folder: str, side: str, pattern: str | None = None) -> DataFrame:
     """All ``*_<side>_timings.csv`` files of a folder with the file each row came from.
 
-    Unreadable files are skipped, and a row that does not parse is left out; ``side`` is ``server``
-    or ``client``.
+    ``side`` is ``server`` or ``client``. Lines that do not parse are in ``rejected_timing_lines``; a
+    file that cannot be read, or goes away meanwhile, fails the job.
     """
-    schema = {"server": SERVER_TIMINGS, "client": CLIENT_TIMINGS}[side]
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "DROPMALFORMED")
-        .option("ignoreCorruptFiles", True)
-        .option("ignoreMissingFiles", True)
-        .option("pathGlobFilter", pattern or f"*_{side}_timings.csv")
-        .csv(folder)
-        .withColumn("source_file", F.col("_metadata.file_name"))
-    )
+    lines = _timing_lines(spark, folder, side, pattern)
+    return lines.filter(F.col("row._rejected").isNull()).select("row.*", "source_file").drop("_rejected")
+
+
+def rejected_timing_lines(spark: SparkSession, folder: str, side: str, pattern: str | None = None) -> DataFrame:
+    """``source_file, line`` of the lines that ``read_timing_files`` leaves out."""
+    lines = _timing_lines(spark, folder, side, pattern)
+    return lines.filter(F.col("row._rejected").isNotNull()).select("source_file", "line")

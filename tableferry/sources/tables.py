@@ -9,8 +9,9 @@ from pyspark.sql import types as T
 from ..session import work_dir
 
 
-# The fixed format has no quotes, escapes or header.
-PLAIN_CSV = {"header": "false", "quote": "", "escape": "", "mode": "FAILFAST"}
+# The fixed format has no quotes, escapes or header, and its only line end is the line feed.
+LINE_END = "\n"
+PLAIN_CSV = {"header": "false", "quote": "", "escape": "", "mode": "FAILFAST", "lineSep": LINE_END}
 
 
 def filled_text(df: DataFrame) -> DataFrame:
@@ -77,20 +78,19 @@ def split_text_file(spark: SparkSession, path: str, parts: int, column: str = "v
     """Lines of the file(s) with their number and contiguous part, ``ceil(total / parts)`` lines per part.
 
     File order is (path, position). Lines are numbered inside each input split, and the splits are
-    put in order by where they start; only one row per split is ordered in one place. The counts are
-    written to the shared folder, so that the files are read twice and not more, and so that Spark
-    sees the table's true size when it chooses between broadcasting it and a shuffle join.
+    put in order by where they start; only one row per split is ordered in one place. The text is
+    scanned once and written with each line's place: where splits begin depends on session settings
+    and on the cores present, so a second scan could cut the files differently.
     """
-    lines = spark.read.text(path).select(
+    placed = work_dir(spark, "lines")
+    spark.read.text(path, lineSep=LINE_END).select(
         F.col("value").alias(column),
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
-    )
-    counts = lines.groupBy("_path", "_start").agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
-    counted = work_dir(spark, "splits")
-    counts.coalesce(1).write.parquet(counted)
-    splits = spark.read.parquet(counted)
+    ).write.parquet(placed)
+    lines = spark.read.parquet(placed)
+    splits = lines.groupBy("_path", "_start").agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
     # The window below has no partition key, but it only sees one row per input split.
     by_place = Window.orderBy("_path", "_start")
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

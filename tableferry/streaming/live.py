@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -91,9 +91,14 @@ def stage_metrics_so_far(spark: SparkSession, path: str, keys: Sequence[str] = T
     """Per-thread metrics of everything streamed so far.
 
     Chunk rows are put in log order, so files may arrive in any order as long as each holds a run
-    of the log of its own.
+    of the log of its own. Runs of one thread that overlap cannot be put in order any more: they
+    fail the job instead of giving wrong sums.
     """
-    return combine_summaries(spark.read.parquet(path), keys, ("first_seq",))
+    chunks = spark.read.parquet(path)
+    before = Window.partitionBy(*keys).orderBy("first_seq").rowsBetween(Window.unboundedPreceding, -1)
+    message = F.lit("two micro-batches hold overlapping runs of one thread's log")
+    apart = F.when(F.max("last_seq").over(before) >= F.col("first_seq"), F.raise_error(message)).otherwise(F.col("first_seq"))
+    return combine_summaries(chunks.withColumn("first_seq", apart), keys, ("first_seq",))
 
 
 def running_progress(log: DataFrame, keys: Sequence[str] = ("transfer_id",)) -> DataFrame:

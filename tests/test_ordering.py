@@ -53,11 +53,21 @@ def test_curve_leaves_out_what_is_not_positive(spark):
         (0, 8.0), (1, 5.0), (2, 3.0)]
 
 
-def test_many_first_rows_equal_few(skewed, monkeypatch):
-    few = ranking.first_rows(skewed, 50, ["v", "id"]).collect()
-    monkeypatch.setattr(ranking, "TOP_ROWS", 10)
-    many = ranking.first_rows(skewed, 50, ["v", "id"]).collect()
-    assert sorted(map(tuple, few)) == sorted(map(tuple, many))
+def test_first_rows_come_in_order(skewed):
+    found = ranking.first_rows(skewed, 50, ["v", "id"]).select("v", "id").collect()
+    everything = sorted((r.v, r.id) for r in skewed.select("v", "id").collect())
+    assert [tuple(r) for r in found] == everything[:50]
+
+
+def test_positions_with_files_that_roll_over(spark, skewed):
+    before = spark.conf.get("spark.sql.files.maxRecordsPerFile")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "10")
+    try:
+        found = ordering.with_position(skewed, ["v", "id"]).select("position", "v", "id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", before)
+    assert [r.position for r in sorted(found)] == list(range(len(found)))
+    assert [(r.v, r.id) for r in sorted(found)] == sorted((r.v, r.id) for r in found)
 
 
 def test_duplicates_with_null_keys(spark):
