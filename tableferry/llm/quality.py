@@ -134,25 +134,31 @@ def _fails(m: Column, rule: Rule) -> Column:
     return out
 
 
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """One struct: the measures, ``base_failed``, ``failed`` (names of rules) and ``kept``.
+
+    The measures are bound once inside the expression. A filter on a column of them would be moved
+    below it, and each rule would then measure the text anew.
+    """
+    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
+
+    def judge(m: Column) -> Column:
+        base = F.lit(False)
+        for rule in rules:
+            if rule.base:
+                base = base | _fails(m, rule)
+        failed = F.array_compact(F.array(*[F.when(_fails(m, r), F.lit(r.name)) for r in rules]))
+        own = [m[n].alias(n) for n in names]
+        return F.struct(*own, base.alias("base_failed"), failed.alias("failed"), (F.size(failed) == 0).alias("kept"))
+
+    return let(measures(text), judge)
+
+
 def judged(docs: DataFrame, text_col: str = "text", out: str = "quality", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` and one struct more: the measures, ``base_failed``, ``failed`` (names of rules) and ``kept``."""
-    m = fresh(docs, "_measures")
-    base = F.lit(False)
-    for rule in rules:
-        if rule.base:
-            base = base | _fails(F.col(m), rule)
-    failed = F.array_compact(F.array(*[F.when(_fails(F.col(m), r), F.lit(r.name)) for r in rules]))
-    return (
-        docs.withColumn(m, measures(docs[text_col]))
-        .withColumn(
-            fresh(docs, out),
-            F.struct(f"{m}.*", base.alias("base_failed"), failed.alias("failed"), (F.size(failed) == 0).alias("kept")),
-        )
-        .drop(m)
-    )
+    """``docs`` and the verdict on each text."""
+    return docs.withColumn(fresh(docs, out), verdict(docs[text_col], rules))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Rows of ``docs`` that no rule rejects, columns unchanged."""
-    out = fresh(docs, "quality")
-    return judged(docs, text_col, out, rules).filter(F.col(out)["kept"]).select(*[docs[c] for c in docs.columns])
+    return docs.filter(verdict(docs[text_col], rules)["kept"])
