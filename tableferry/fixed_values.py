@@ -24,7 +24,7 @@ MAX_CODEC_NUMBER = 6
 TYPE_BYTES = {"INT": 4, "DOUBLE": 8, "CHAR": 1}
 
 # Worst-case text width (delimiter included); STRING(n) is n + 1.
-TEXT_WIDTH = {"INT": 12, "DOUBLE": 24, "CHAR": 2}
+TEXT_WIDTH = {"INT": 12, "LONG": 21, "DOUBLE": 24, "CHAR": 2}
 
 # Effective rate = (SERIAL_SHARE + (1 - SERIAL_SHARE) * workers) * base rate.
 SERIAL_SHARE = 0.3

@@ -74,8 +74,9 @@ def rows_per_block(schema: T.StructType, block_kib: int) -> int:
 
 
 def max_text_row(schema: T.StructType) -> int:
-    """Largest number of bytes one row can need as a text line."""
-    return sum(a.text_width for a in attributes_of(schema))
+    """Largest number of bytes one row can need as a text line (a DOUBLE's up to 21 digits)."""
+    wide = sum(TEXT_WIDTH["LONG"] - TEXT_WIDTH["INT"] for f in schema.fields if isinstance(f.dataType, T.LongType))
+    return wide + sum(a.text_width for a in attributes_of(schema))
 
 
 def _required(value: Column, name: str, kind: T.DataType) -> Column:

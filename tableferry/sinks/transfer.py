@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schema import enforce_schema
 from ..sources.arrow_files import read_arrow_files
 from ..sources.tables import read_csv_table, read_delimited, read_jdbc_table, read_parquet_table
 from .writers import copy_files, file_manifest, write_csv_lines, write_jdbc_table, write_parquet_table
@@ -81,6 +82,9 @@ def transfer(
         write_parquet_table(df, dst, schema, opts["write_par"], opts["codec"])
         manifest = file_manifest(spark, dst, "parquet")
     else:
+        # counted while it is written, so that the manifest tells of the target and not of the source
+        written = Observation()
+        df = enforce_schema(df, schema).observe(written, F.count(F.lit(1)).alias("tuples"))
         if dst_fmt == "jdbc":
             write_jdbc_table(df, dst, table, opts["write_par"] or 1)
         elif dst_fmt == "spark":
@@ -88,8 +92,8 @@ def transfer(
             df.write.mode("overwrite").options(**placed).saveAsTable(dst)
         else:
             df.write.format(dst_fmt).mode("append").save(dst)
-        manifest = df.agg(
-            F.lit(table).alias("file"), F.count("*").alias("tuples"), F.lit(None).cast("bigint").alias("bytes")
+        manifest = spark.createDataFrame(
+            [(table, written.get["tuples"], None)], "file string, tuples bigint, bytes bigint"
         )
     return _labelled(manifest, table, opts)
 
