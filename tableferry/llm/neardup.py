@@ -296,8 +296,13 @@ def _sides(x: DataFrame, y: DataFrame, feature: str | None, percent: int) -> Dat
     meet = meet & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
     if feature:
         meet = meet & (F.col("x_f") == F.col("y_f"))
-    pairs = side("x", x).join(side("y", y), meet)
-    return pairs.select(F.least("x", "y").alias("pivot"), F.greatest("x", "y").alias("member")).distinct()
+    met = side("x", x).join(side("y", y), meet)
+    if feature:
+        # now the shared ones are counted: of lacks all that the pair has, of additions with all lacks it could have
+        could = F.least("x_d", "y_d") if feature == "added" else F.lit(0)
+        shared = met.groupBy("x_b", "x", "y").agg(F.count("*").alias("shared"), F.first(need).alias("need"), F.first(could).alias("could"))
+        met = shared.filter(F.col("shared") + F.col("could") >= F.col("need") - 1e-6)
+    return met.select(F.least("x", "y").alias("pivot"), F.greatest("x", "y").alias("member")).distinct()
 
 
 def _residual_pairs(centred: DataFrame, percent: int) -> DataFrame:
