@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stored import BROADCAST_ROWS, sent_if_small, small_enough, written
-from .text import fresh, let, plain_words
+from .text import fresh, plain_words
 
 SIZE = 13
 SHINGLE = 3
@@ -84,7 +84,7 @@ def anchored_windows(docs: DataFrame, text_col: str, windows: DataFrame, few: bo
 
 def occurrences(docs: DataFrame, text_col: str, keys: list[Column], benchmark: DataFrame, item_col: str,
                 item_text_col: str, size: int = SIZE) -> DataFrame:
-    """Verified occurrences: the keys, ``start, end`` (words, end exclusive) and ``items``."""
+    """Verified occurrences: the keys, ``n`` (words of the document), ``start, end`` (end exclusive), ``items``."""
     windows = written(benchmark_windows(benchmark, item_col, item_text_col, size), "windows")
     lengths = sorted(
         r[0] for r in windows.select(F.least(F.size("window"), F.lit(SHINGLE))).distinct().collect()  # 3 rows at most
@@ -106,7 +106,7 @@ def occurrences(docs: DataFrame, text_col: str, keys: list[Column], benchmark: D
         near.join(F.broadcast(anchors) if few else anchors, "shingle")
         .filter((start >= 0) & (start + length <= F.col("n")))
         .filter(F.slice("near", start - F.col("near_at") + 1, length) == F.col("window"))
-        .select(*names, start.alias("start"), (start + length).alias("end"), "items")
+        .select(*names, "n", start.alias("start"), (start + length).alias("end"), "items")
     )
 
 
@@ -123,6 +123,22 @@ def _covered(spans: Column) -> Column:
     )
 
 
+def _hits(docs: DataFrame, benchmark: DataFrame, doc_col: str, text_col: str, item_col: str, item_text_col: str, size: int):
+    """One row per document with hits: ``key0`` (id), ``key1`` (hash of the text), ``n, n_hit, spans, items``."""
+    keys = [docs[doc_col], F.xxhash64(docs[text_col])]
+    found = occurrences(docs, text_col, keys, benchmark, item_col, item_text_col, size)
+    by_doc = found.groupBy("key0", "key1").agg(
+        F.first("n").cast("long").alias("n"),
+        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+    return by_doc.withColumn("n_hit", _covered(F.col("spans")))
+
+
+def _contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
 def scanned(
     docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", out: str = "contamination", size: int = SIZE,
@@ -131,37 +147,36 @@ def scanned(
 
     Contaminated: at least one word is hit, and at least one in twenty.
     """
-    out, n_words = fresh(docs, out), fresh(docs, "_n_words")
-    digest = F.xxhash64(docs[text_col])
-    found = occurrences(docs, text_col, [docs[doc_col], digest], benchmark, item_col, item_text_col, size)
-    by_doc = written(
-        found.groupBy("key0", "key1").agg(
-            F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        ),
-        "hits",
+    out, n_words, digest = (fresh(docs, x) for x in (out, "_n_words", "_text_key"))
+    by_doc = written(_hits(docs, benchmark, doc_col, text_col, item_col, item_text_col, size), "hits")
+    k0, k1, spans, items, n_hit = (fresh(docs, f"_hit_{x}") for x in ("doc", "text", "spans", "items", "words"))
+    hits = sent_if_small(by_doc.select("key0", "key1", "spans", "items", "n_hit").toDF(k0, k1, spans, items, n_hit), 2_000)
+    # the key is a column of its own: a text that nobody asks for must not travel with the join
+    joined = docs.withColumn(n_words, F.size(plain_words(docs[text_col])).cast("long")).withColumn(
+        digest, F.xxhash64(docs[text_col])
     )
-    k0, k1, spans, items = (fresh(docs, f"_hit_{x}") for x in ("doc", "text", "spans", "items"))
-    hits = sent_if_small(by_doc.toDF(k0, k1, spans, items), 5_000)
-    joined = docs.withColumn(n_words, F.size(plain_words(docs[text_col])).cast("long"))
-    joined = joined.join(hits, joined[doc_col].eqNullSafe(F.col(k0)) & (F.xxhash64(joined[text_col]) == F.col(k1)), "left")
-    n_hit = F.coalesce(_covered(F.col(spans)), F.lit(0).cast("long"))
+    joined = joined.join(hits, joined[doc_col].eqNullSafe(F.col(k0)) & (F.col(digest) == F.col(k1)), "left")
+    hit = F.coalesce(F.col(n_hit), F.lit(0).cast("long"))
     return joined.select(
         *[joined[c] for c in docs.columns],
-        let(
-            n_hit,
-            lambda hit: F.struct(
-                F.col(n_words).alias("n_words"),
-                hit.alias("n_hit"),
-                F.coalesce(F.col(spans), F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
-                F.coalesce(F.col(items), F.array().cast("array<string>")).alias("items"),
-                ((hit > 0) & (20 * hit >= F.col(n_words))).alias("contaminated"),
-            ),
+        F.struct(
+            F.col(n_words).alias("n_words"),
+            hit.alias("n_hit"),
+            F.coalesce(F.col(spans), F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
+            F.coalesce(F.col(items), F.array().cast("array<string>")).alias("items"),
+            _contaminated(hit, F.col(n_words)).alias("contaminated"),
         ).alias(out),
     )
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", size: int = SIZE,
+) -> DataFrame:
     """Rows of ``docs`` that are not contaminated, columns unchanged."""
-    out = fresh(docs, "contamination")
-    return scanned(docs, benchmark, out=out, **columns).filter(~F.col(out)["contaminated"]).drop(out)
+    hits = _hits(docs, benchmark, doc_col, text_col, item_col, item_text_col, size)
+    k0, k1, digest = (fresh(docs, f"_hit_{x}") for x in ("doc", "text", "key"))
+    gone = written(hits.filter(_contaminated(F.col("n_hit"), F.col("n"))).select("key0", "key1").toDF(k0, k1), "contaminated")
+    keyed = docs.withColumn(digest, F.xxhash64(docs[text_col]))
+    same = keyed[doc_col].eqNullSafe(F.col(k0)) & (F.col(digest) == F.col(k1))
+    return keyed.join(sent_if_small(gone), same, "left_anti").drop(digest)
