@@ -10,9 +10,9 @@ the pieces that end there, and each relaxes the best path to that place (a Viter
   merging would give, so the pass finds it from left to right without merging the word. (Summing
   the ranks of such a model, as a unigram pass would, gives other pieces than its users expect.)
 
-Unknown characters fall back to byte pieces where the model has them. Text is split into words only
-if no piece of the model crosses a word's beginning, which is looked up in the file. Encoded words
-are kept in a bounded cache in each Python worker.
+Unknown characters fall back to byte pieces where the model has them. Text is split into words, and
+words between two characters, only where no piece of the model crosses, which is looked up in the file.
+Encoded words are kept in bounded caches in each Python worker.
 
 Defined results: null and empty texts give no ids; decoding gives back the text, but for U+2581,
 which the format itself uses for blanks, and for characters the model does not know and can not
@@ -110,10 +110,16 @@ class Tokenizer:
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i, kind in enumerate(self.kinds) if kind == BYTE}
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
         self.unknown_score = min((self.scores[i] for i in usable), default=0.0) - UNKNOWN_COST
-        self.by_word = not any(BLANK in piece.lstrip(BLANK) for piece in self.ids)
+        self.by_word = self.prefix and not any(BLANK in piece.lstrip(BLANK) for piece in self.ids)
+        # no piece crosses two characters that stand together in none; an unknown piece may, where there is one
+        self.inside = {piece[k : k + 2] for piece in self.ids for k in range(len(piece) - 1)}
+        self.cuts = len(self.byte_ids) == 256
         self.raw = [self._bytes_of(i) for i in range(len(self.pieces))]
-        self.words: dict[str, bytes] = {}
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.words: dict[str, bytes] = {}  # without their blank, in two generations
+        self.old_words: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        self.stable: list[dict[int, bool]] = [{} for _ in range(len(self.pieces) + 1)]  # the last: at the beginning
+        self.stable_pairs = 0
 
     def _bytes_of(self, i: int) -> bytes:
         if self.kinds[i] == BYTE:
@@ -135,13 +141,16 @@ class Tokenizer:
 
     def _stable(self, left: int, right: int) -> bool:
         """Whether merging leaves a piece (left < 0), or two neighbours, as they are."""
-        known = self.stable.get((left, right))
+        known = self.stable[left].get(right)
         if known is None:
             parts = [self.pieces[right]] if left < 0 else [self.pieces[left], self.pieces[right]]
             known = self._merged("".join(parts)) == parts
-            if len(self.stable) >= CACHED_PAIRS:
-                self.stable.clear()
-            self.stable[left, right] = known
+            self.stable_pairs += 1
+            if self.stable_pairs > CACHED_PAIRS:
+                for row in self.stable:
+                    row.clear()
+                self.stable_pairs = 1
+            self.stable[left][right] = known
         return known
 
     def _spelled(self, char: str) -> list[int]:
@@ -182,14 +191,14 @@ class Tokenizer:
         ends = [-1] * (len(word) + 1)
         stable = self.stable
         for last, (i, size) in self.automaton.iter(word):
-            if ends[last + 1] < 0:
-                start = last + 1 - size
+            to = last + 1
+            if ends[to] < 0:
+                start = to - size
                 before = ends[start]
-                if start and before < 0:
-                    continue
-                known = stable.get((before, i))
-                if known or (known is None and self._stable(before, i)):
-                    ends[last + 1] = i
+                if before >= 0 or not start:
+                    known = stable[before].get(i)
+                    if known or (known is None and self._stable(before, i)):
+                        ends[to] = i
         out, to = [], len(word)
         while to:
             out.append(ends[to])
@@ -206,20 +215,53 @@ class Tokenizer:
         return out
 
     def _word(self, word: str) -> bytes:
-        ids = array("i", self._path(word)).tobytes()
-        if len(word) <= LONGEST_CACHED:
-            if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
-            self.words[word] = ids
+        """Ids of a word with its blanks, cut where no piece can cross."""
+        if self.cuts:
+            inside = self.inside
+            ends = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in inside]
+            if ends:
+                return b"".join([self._unit(word[a:b]) for a, b in zip([0, *ends], [*ends, len(word)])])
+        return self._unit(word)
+
+    def _unit(self, text: str) -> bytes:
+        ids = self.units.get(text)
+        if ids is None:
+            ids = array("i", self._path(text)).tobytes()
+            if len(text) <= LONGEST_CACHED:
+                if len(self.units) >= CACHED_WORDS:
+                    self.units.clear()
+                self.units[text] = ids
         return ids
 
-    def encode(self, text: str | None) -> np.ndarray:
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Whether every word has one blank before it."""
+        return text[0] != " " and "  " not in text and BLANK not in text
+
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        plain = {i: t.split(" ") for i, t in enumerate(texts) if t and self.by_word and self._plain(t)}
+        wanted = {w for w in set().union(*plain.values()) if w not in self.words}
+        if len(self.words) + len(wanted) > CACHED_WORDS:
+            self.old_words, self.words = self.words, {}
+            wanted = set().union(*plain.values())
+        for word in wanted:
+            self.words[word] = self.old_words.get(word) or self._word(BLANK + word)
+        known = self.words.__getitem__
+        out = [b"".join(map(known, plain[i])) if i in plain else self._other(t) for i, t in enumerate(texts)]
+        for word in wanted:
+            if len(word) > LONGEST_CACHED:
+                del self.words[word]
+        return [np.frombuffer(x, np.int32) for x in out]
+
+    def _other(self, text: str | None) -> bytes:
+        """Ids of a text with blanks in a row or at its beginning, or of a model whose pieces cross words."""
         if not text:
-            return np.empty(0, np.int32)
+            return b""
         line = (BLANK if self.prefix else "") + text.replace(" ", BLANK)
-        words = _WORD.findall(line) if self.by_word else [line]
-        known = self.words.get
-        return np.frombuffer(b"".join([known(w) or self._word(w) for w in words]), np.int32)
+        return b"".join(map(self._word, _WORD.findall(line) if self.by_word else [line]))
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -242,7 +284,7 @@ def encoded(text: Column, path: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = tokenizer(path)
         for batch in batches:
-            ids = [own.encode(x) for x in batch.to_pylist()]
+            ids = own.encode_batch(batch.to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int32)
             values = np.concatenate(ids) if ids else np.empty(0, np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
