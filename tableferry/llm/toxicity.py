@@ -31,7 +31,7 @@ from .arrow import text_batches
 from .stored import written
 from .text import fresh
 
-SAMPLE_DOCS = 6_000
+SAMPLE_DOCS = 4_000
 SAMPLE_WORDS = 5_000
 VOCABULARY = 50_000
 LEAST_COUNT = 5  # documents of the sample that must have a word
@@ -61,21 +61,34 @@ class Model:
     leak: float
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words, sizes = [], []
-        for text in batch.column("text").to_pylist():
-            bag = sentences(text)
-            words.append([w for s in bag for w in s])
-            sizes.append([len(s) for s in bag])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), pa.array(words, pa.list_(pa.string())), pa.array(sizes, pa.list_(pa.int32()))],
-            ["label", "words", "sizes"],
-        )
-
-
-def sample(docs: DataFrame, labels: DataFrame, doc_col: str, text_col: str, label_col: str) -> pa.Table:
-    """Bags of a bounded number of labelled documents: ``label, words, sizes``."""
+        own = [sorted({w for s in sentences(text) for w in s}) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], ["words"])
+
+
+def coded(bag: list[list[str]], places: dict[str, int]) -> tuple[list[int], list[int]]:
+    """Numbers of a bag's known words, and how many each sentence has."""
+    own = [[places[w] for w in s if w in places] for s in bag]
+    return [x for s in own for x in s], [len(s) for s in own]
+
+
+def _bags(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = {w: i for i, w in enumerate(names)}
+        for batch in batches:
+            own = [coded(sentences(text), places) for text in batch.column("text").to_pylist()]
+            words, sizes = zip(*own) if own else ([], [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("label"), pa.array(words, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))],
+                ["label", "words", "sizes"],
+            )
+
+    return run
+
+
+def sample(docs: DataFrame, labels: DataFrame, doc_col: str, text_col: str, label_col: str) -> tuple[list[str], pa.Table]:
+    """The vocabulary, and the bags of a bounded number of labelled documents as numbers of its words."""
     own = labels.groupBy(labels[doc_col].alias("doc")).agg(F.max(labels[label_col].cast("int")).alias("label"))
     own = own.filter(F.col("label").isNotNull() & F.col("doc").isNotNull())
     sizes = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
@@ -85,33 +98,24 @@ def sample(docs: DataFrame, labels: DataFrame, doc_col: str, text_col: str, labe
     picked = written(own.filter(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < share * 1_000_000), "labelled")
     texts = docs.select(docs[doc_col].alias("doc"), docs[text_col].alias("text"))
     texts = texts.filter(F.length("text") <= 8 * SAMPLE_WORDS)
-    bags = texts.join(F.broadcast(picked), "doc").select("label", "text")  # 2 * SAMPLE_DOCS rows, more or less
-    return bags.mapInArrow(_bags, "label int, words array<string>, sizes array<int>").toArrow()
+    # 2 * SAMPLE_DOCS rows, more or less, at any size of the tables
+    bags = written(texts.join(F.broadcast(picked), "doc").select("label", "text"), "labelled-texts")
+    words = bags.mapInArrow(_features, "words array<string>").select(F.explode("words").alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_COUNT)
+    names = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
+    return names, bags.mapInArrow(_bags(names), "label int, words array<int>, sizes array<int>").toArrow()
 
 
-def fit(bags: pa.Table) -> Model:
+def fit(names: list[str], bags: pa.Table) -> Model:
     """Gradient ascent (Adam) on the documents' likelihood; classes weigh as they are in the sample."""
     label = bags.column("label").to_numpy().astype(np.float64)
     if len(label) == 0 or label.min() == label.max():
         return Model({}, LEAK)
-    words = bags.column("words").combine_chunks()
-    coded = words.flatten().dictionary_encode()
-    codes, names = coded.indices.to_numpy(), coded.dictionary
-    per_doc = np.diff(words.offsets.to_numpy())
-    sizes = bags.column("sizes").combine_chunks()
-    sentence_size = sizes.flatten().to_numpy()
-    sentence_doc = np.repeat(np.arange(len(label)), np.diff(sizes.offsets.to_numpy()))
-    word_doc = np.repeat(np.arange(len(label)), per_doc)
-    pairs = np.unique(codes.astype(np.int64) * len(label) + word_doc)
-    known = np.bincount(pairs // len(label), minlength=len(names))
-    order = np.argsort(-known, kind="stable")[:VOCABULARY]
-    order = order[known[order] >= LEAST_COUNT]
-    new = np.full(len(names), -1)
-    new[order] = np.arange(len(order))
-    word_sentence = np.repeat(np.arange(len(sentence_size)), sentence_size)
-    stays = new[codes] >= 0
-    word, row = new[codes][stays], word_sentence[stays]
-    n_words, n_rows, n_docs = len(order), len(sentence_size), len(label)
+    words, sizes = bags.column("words").combine_chunks(), bags.column("sizes").combine_chunks()
+    word, sentence_size = words.flatten().to_numpy(), sizes.flatten().to_numpy()
+    sentence_doc = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(sizes.offsets.to_numpy()))
+    row = np.repeat(np.arange(len(sentence_size), dtype=np.int32), sentence_size)
+    n_words, n_rows, n_docs = len(names), len(sentence_size), len(label)
     theta = np.append(np.zeros(n_words), LEAK)
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, EPOCHS + 1):
@@ -125,8 +129,7 @@ def fit(bags: pa.Table) -> Model:
         grad[:-1] -= DECAY * np.sign(theta[:-1])
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         theta += STEP * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-6)
-    chosen = names.take(pa.array(order)).to_pylist()
-    return Model({w: float(x) for w, x in zip(chosen, theta[:-1]) if abs(x) > 0.05}, float(theta[-1]))
+    return Model({w: float(x) for w, x in zip(names, theta[:-1]) if abs(x) > 0.05}, float(theta[-1]))
 
 
 def score(text: str | None, model: Model, least: float = 0.1) -> dict:
@@ -171,4 +174,4 @@ def trained(
     docs: DataFrame, labels: DataFrame, doc_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
 ) -> Model:
     text_batches(docs.sparkSession)
-    return fit(sample(docs, labels, doc_col, text_col, label_col))
+    return fit(*sample(docs, labels, doc_col, text_col, label_col))

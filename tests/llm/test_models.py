@@ -221,17 +221,19 @@ def test_toxicity_finds_sentences():
         bags.append(toxicity.sentences(text))
         labels.append(int(i % 3 == 0))
         bad.append(text)
+    names = sorted({w for b in bags for s in b for w in s})
+    words, sizes = zip(*[toxicity.coded(b, {w: i for i, w in enumerate(names)}) for b in bags])
     table = pa.table({
-        "label": pa.array(labels, pa.int32()), "words": pa.array([[w for s in b for w in s] for b in bags], pa.list_(pa.string())),
-        "sizes": pa.array([[len(s) for s in b] for b in bags], pa.list_(pa.int32())),
+        "label": pa.array(labels, pa.int32()), "words": pa.array(words, pa.list_(pa.int32())),
+        "sizes": pa.array(sizes, pa.list_(pa.int32())),
     })
-    model = toxicity.fit(table)
+    model = toxicity.fit(names, table)
     right = [int(toxicity.score(t, model)["score"] >= 0.5) == y for t, y in zip(bad, labels)]
     assert sum(right) / len(right) > 0.99
     found = toxicity.score("calm1 calm2. calm3 nasty calm4. calm5", model)
     assert [s["sentence"] for s in found["sentences"]] == [1]
     assert toxicity.score(None, model) == toxicity.score("", model) == {"score": 0.0, "sentences": []}
-    assert toxicity.fit(table.slice(1, 1)).words == {}
+    assert toxicity.fit(names, table.slice(1, 1)).words == {}
 
 
 def test_toxicity_columns(spark):
