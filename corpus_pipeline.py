@@ -15,6 +15,8 @@ from tableferry.llm import decontaminate, line_dedup, neardup, quality, sentence
 from tableferry.llm.queries import tokenizer_file
 from tableferry.llm.stored import written
 
+SITE_RATIO = 0.05  # of a source's pages; a usual boilerplate line is on about a tenth of them
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
@@ -22,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the boilerplate lines of its source; ``n_chars`` follows the text."""
-    clean = line_dedup.without_boilerplate(docs, host_col="source")
+    """Every document without the boilerplate lines of its source (on more than ``SITE_RATIO`` of its pages); ``n_chars`` follows the text."""
+    clean = line_dedup.without_boilerplate(docs, host_col="source", ratio=SITE_RATIO)
     if "n_chars" not in docs.columns:
         return clean
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -273,6 +273,18 @@ def test_pipeline(spark, small):
     assert all(part == doc for doc, (n, part) in parts.items())
 
 
+def test_pipeline_drops_a_line_on_some_pages_of_a_source(spark, small):
+    """A boilerplate line on 8% of a source's 100 pages goes, one on 4% of them stays."""
+    rows = []
+    for i in range(100):
+        lines = [f"page {i} is about {i * i}"] + ["Subscribe now"] * (i < 8) + ["Read more"] * (i >= 96)
+        rows.append((i, "\n".join(lines), "en", "a", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    found = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, small).collect()}
+    assert all(found[r[0]].text == r[1].replace("\nSubscribe now", "") for r in rows)
+    assert all(r.n_chars == len(r.text) for r in found.values())
+
+
 def test_pipeline_stages_keep_the_columns(spark, small):
     docs = cases.documents(spark)
     for table in (docs, docs.limit(0)):
