@@ -7,8 +7,9 @@ weight p_s (times (1 - P) / P in toxic documents), so the sentences that explain
 in training, and a scored document names its offending sentences.
 
 The classifier is fitted in the driver on a bounded sample: at most about ``SAMPLE_DOCS`` labelled
-documents of each class, of at most ``SAMPLE_WORDS`` words each, taken by a hash of their id. It is
-a table of word weights (at most ``VOCABULARY``), sent to the tasks. Scoring reads every document
+documents of each class, of at most ``SAMPLE_WORDS`` words each, taken by a hash of their id. Each
+weighs 1 / its class's sampling share in the likelihood, so the classes count as they do in the whole
+table, whatever its size. The classifier is a table of word weights (at most ``VOCABULARY``), sent to the tasks. Scoring reads every document
 once, without a shuffle.
 
 Defined results: null and empty texts have no sentences and score 0; several labels of one document
@@ -80,8 +81,11 @@ def _bags(names: list[str]):
             own = [coded(sentences(text), places) for text in batch.column("text").to_pylist()]
             words, sizes = zip(*own) if own else ([], [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array(words, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))],
-                ["label", "words", "sizes"],
+                [
+                    batch.column("label"), batch.column("weight"),
+                    pa.array(words, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())),
+                ],
+                ["label", "weight", "words", "sizes"],
             )
 
     return run
@@ -92,25 +96,28 @@ def sample(docs: DataFrame, labels: DataFrame, doc_col: str, text_col: str, labe
     own = labels.groupBy(labels[doc_col].alias("doc")).agg(F.max(labels[label_col].cast("int")).alias("label"))
     own = own.filter(F.col("label").isNotNull() & F.col("doc").isNotNull())
     sizes = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
-    share = F.lit(0.0)
+    weight = F.lit(1.0)  # 1 / the sampling share
     for label, n in sizes.items():
-        share = F.when(F.col("label") == label, F.lit(SAMPLE_DOCS / max(n, SAMPLE_DOCS))).otherwise(share)
-    picked = written(own.filter(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < share * 1_000_000), "labelled")
+        weight = F.when(F.col("label") == label, F.lit(max(n, SAMPLE_DOCS) / SAMPLE_DOCS)).otherwise(weight)
+    own = own.withColumn("weight", weight)
+    picked = written(own.filter(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) * F.col("weight") < 1_000_000), "labelled")
     texts = docs.select(docs[doc_col].alias("doc"), docs[text_col].alias("text"))
     texts = texts.filter(F.length("text") <= 8 * SAMPLE_WORDS)
     # 2 * SAMPLE_DOCS rows, more or less, at any size of the tables
-    bags = written(texts.join(F.broadcast(picked), "doc").select("label", "text"), "labelled-texts")
+    bags = written(texts.join(F.broadcast(picked), "doc").select("label", "weight", "text"), "labelled-texts")
     words = bags.mapInArrow(_features, "words array<string>").select(F.explode("words").alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_COUNT)
     names = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    return names, bags.mapInArrow(_bags(names), "label int, words array<int>, sizes array<int>").toArrow()
+    return names, bags.mapInArrow(_bags(names), "label int, weight double, words array<int>, sizes array<int>").toArrow()
 
 
 def fit(names: list[str], bags: pa.Table) -> Model:
-    """Gradient ascent (Adam) on the documents' likelihood; classes weigh as they are in the sample."""
+    """Gradient ascent (Adam) on the documents' likelihood, each with its ``weight`` (1 if there is none)."""
     label = bags.column("label").to_numpy().astype(np.float64)
     if len(label) == 0 or label.min() == label.max():
         return Model({}, LEAK)
+    weight = bags.column("weight").to_numpy() if "weight" in bags.column_names else np.ones(len(label))
+    weight = weight / weight.sum()
     words, sizes = bags.column("words").combine_chunks(), bags.column("sizes").combine_chunks()
     word, sentence_size = words.flatten().to_numpy(), sizes.flatten().to_numpy()
     sentence_doc = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(sizes.offsets.to_numpy()))
@@ -123,9 +130,9 @@ def fit(names: list[str], bags: pa.Table) -> Model:
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         clean = np.bincount(sentence_doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n_docs)
         toxic = -np.expm1(clean)
-        pull = np.where(label > 0, np.exp(clean) / np.maximum(toxic, 1e-9), -1.0)
+        pull = np.where(label > 0, np.exp(clean) / np.maximum(toxic, 1e-9), -1.0) * weight
         g = p * pull[sentence_doc]
-        grad = np.append(np.bincount(word, g[row], n_words), g.sum()) / n_docs
+        grad = np.append(np.bincount(word, g[row], n_words), g.sum())
         grad[:-1] -= DECAY * np.sign(theta[:-1])
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         theta += STEP * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-6)

@@ -245,6 +245,19 @@ def test_toxicity_columns(spark):
     assert toxicity.scanned(docs.limit(0), toxicity.trained(docs, labels.limit(0))).count() == 0
 
 
+def test_toxicity_does_not_depend_on_the_sample_cap(spark, monkeypatch):
+    """The word is in all toxic documents and in as many clean ones as make its documents 30% toxic."""
+    rows = [(i, "plain words and " + ("doubtful" if i < 500 else "calm"), int(i < 150)) for i in range(2_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = table.select("doc_id", "text"), table.select("doc_id", "toxic")
+    found = []
+    for cap in (2_000, 150):  # nothing sampled; clean documents sampled at 150 of 1,850
+        monkeypatch.setattr(toxicity, "SAMPLE_DOCS", cap)
+        model = toxicity.trained(docs, labels)
+        found.append(toxicity.score("plain words and doubtful", model)["score"])
+    assert 0.2 < found[0] < 0.4 and abs(found[0] - found[1]) < 0.15
+
+
 def test_secret_scan(spark):
     chance = random.Random(4)
     rows = []
