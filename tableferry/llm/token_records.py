@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -44,6 +45,7 @@ POLYNOMIAL = 0x82F63B78  # fixed value: CRC-32C, reflected
 MASK = 0xA282EAD8  # fixed value: added to the rotated checksum
 CACHED = 400_000  # stretches in each generation
 CHUNK = 512  # bytes that are summed in parallel
+BESIDE_SPACE = re.compile(r" (?=\s)|(?<=\s) ")  # a blank next to white space of any kind
 MANIFEST = "part int, number int, file string, records long, ids long"
 
 
@@ -155,10 +157,11 @@ def parsed(record: bytes) -> tuple[int | None, np.ndarray]:
 class Encoder:
     """The library's ids of whole texts, as little-endian bytes.
 
-    Byte-level vocabularies of this kind cut a text before every single blank that follows and precedes
-    other characters, so the stretches between such blanks can be encoded alone. Most recur, and their
-    ids are kept in two bounded generations of a cache. Texts with blanks in a row go to the library
-    as they are, and so does every text if the file says it cuts texts in another way.
+    Byte-level vocabularies of this kind cut a text before every single blank between two characters that
+    are no white space, so the stretches between such blanks can be encoded alone. Most recur, and their
+    ids are kept in two bounded generations of a cache. A run of white space is one piece to the library,
+    whose tokens may cross the blanks in it (no-break spaces do), so texts with a blank beside other
+    white space go to it as they are, and so does every text if the file says it cuts texts in another way.
     """
 
     def __init__(self, path: str, end_id: int = 0) -> None:
@@ -194,7 +197,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """With the end id."""
-        whole = [i for i, t in enumerate(texts) if not self.by_stretch or "  " in t]
+        whole = [i for i, t in enumerate(texts) if not self.by_stretch or BESIDE_SPACE.search(t)]
         rest = sorted(set(range(len(texts))).difference(whole))
         out = dict(zip(whole, self._direct([texts[i] for i in whole])))
         parts = [texts[i].split(" ") for i in rest]

@@ -191,6 +191,16 @@ def test_stretches_are_encoded_as_in_the_whole_text():
         assert found == [x[4] for x in _expected_ids([(0, t) for t in texts])]
 
 
+def test_tokens_that_cross_blanks_are_kept():
+    own = token_records.Encoder(tokenizer_file("byte_bpe_50k.json"))
+    spaces = ["\u00a0", "\t", "\n", "\u2003", "\u3000", "\x85", "\x1c"]
+    texts = ["a" + f" {x}" * n + tail for x in spaces for n in range(1, 18) for tail in (" b", "b", " ", "")]
+    texts += ["a" + f"{x} " * n + "b c" for x in spaces for n in range(1, 18)]
+    for _ in range(2):  # cold and cached
+        found = [np.frombuffer(x, "<u2").tolist() for x in own.encode(texts)]
+        assert found == [x[4] for x in _expected_ids([(0, t) for t in texts])]
+
+
 def test_token_records_of_awkward_rows(spark, monkeypatch):
     monkeypatch.setattr(token_records, "FILE_BYTES", 400)  # several files a task (local workers are forked)
     docs = cases.documents(spark)
