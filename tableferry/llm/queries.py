@@ -1,12 +1,13 @@
-"""Registered queries of the ten operators, with checking SQL where SQL can express them."""
+"""Registered queries of the operators, with checking SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, neardup, pii, quality, secrets, sentencepiece, token_records, toxicity
+from . import bpe, decontaminate, fim, line_dedup, merkle, neardup, pii, quality, secrets, sentencepiece, token_records, toxicity
 from . import license as license_scan
+from .text import ascii_lower
 
 WORDS_SQL = (
     "list_filter(string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
@@ -137,6 +138,40 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col("q")[n].alias(n) for n in names])
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transformed(_docs(spark, sf_dir).select("doc_id", "text"), out="made")
+    both = fim.restored(made, made["made"]["output"], made["made"]["form"])
+    own = F.col("made")
+    return both.select(
+        "doc_id",
+        *[own[c].alias(c) for c in ("n", "form", "prefix_chars", "middle_chars")],
+        F.sha2(own["output"], 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def _lower_some(own: dict[str, Column]) -> tuple[Column, dict[str, Column]]:
+    """Texts in lower case where the checksum of the id is a multiple of five."""
+    return F.crc32(own["doc_id"].cast("string")) % 5 == 0, {"text": ascii_lower(own["text"])}
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    manifest = merkle.built(_docs(spark, sf_dir).select(*columns), columns, changed=_lower_some)
+    return merkle.verified(manifest).withColumnRenamed("doc", "doc_id")
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    found = bpe.encoded(docs, tokenizer_file("word_bpe_49k.json"), keep=["doc_id"], text_out="decoded")
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 OP10_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, {BLANK_WORDS_SQL.format('t')} AS ws FROM d),
@@ -194,5 +229,93 @@ SELECT doc_id, source, CASE WHEN text IS NULL OR ls IS NULL THEN text ELSE array
 FROM cut
 """
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_decontamination": op2_decontamination, "op3_line_dedup": op3_line_dedup, "op4_pii": op4_pii, "op5_secret_scan": op5_secret_scan, "op6_toxicity": op6_toxicity, "op7_near_duplicates": op7_near_duplicates, "op8_token_records": op8_token_records, "op9_license_scan": op9_license_scan, "op10_quality_rules": op10_quality_rules}
-ORACLES = {"op2_decontamination": OP2_SQL, "op3_line_dedup": OP3_SQL, "op10_quality_rules": OP10_SQL}
+def _group_sql(draw: int) -> str:
+    return f"('0x' || substr(h, {8 * draw + 1}, 8))::BIGINT"
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u
+           FROM documents),
+cut AS (SELECT *, len(u) AS n, {_group_sql(0)} % (len(u) + 1) AS a, {_group_sql(1)} % (len(u) + 1) AS b,
+               CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                         OR {_group_sql(2)} % 100 >= 50 THEN 'plain'
+                    WHEN {_group_sql(3)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+parts AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+                 array_to_string(u[greatest(a, b) + 1:], '') AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+                        ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+def _crc_sql(value: str) -> str:
+    """CRC-32 of a short ASCII text; the table by byte is made from the polynomial."""
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = (byte >> 1) ^ (0xEDB88320 if byte & 1 else 0)
+        table.append(byte)
+    return (
+        f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({value}, ''), lambda x: ascii(x)::BIGINT)), "
+        f"lambda c, b: xor(c >> 8, ([{', '.join(map(str, table))}]::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+    )
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+def _op12_sql(levels: int = 5) -> str:
+    """Trees of at most 16 ** ``levels`` leaves, one level after the other.
+
+    ``l0`` holds the leaves of all groups; a group of one node stays as it is, so each ends with its root at the last level.
+    The same steps then run over the roots. ``w`` walks up from every document with its folded digest and siblings.
+    """
+    steps = [
+        "d AS (SELECT row_number() OVER () AS r, *, lower_text.t AS t2 FROM documents, LATERAL (SELECT "
+        "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t) lower_text)",
+        f"h AS (SELECT r, doc_id, source AS tree, {_leaf_sql('text')} AS leaf, "
+        f"CASE WHEN {_crc_sql('doc_id::VARCHAR')} % 5 = 0 THEN {_leaf_sql('t2')} END AS changed FROM d)",
+        "p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos FROM h)",
+        "a0 AS (SELECT tree, pos, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM p)",
+        "wa0 AS (SELECT r, tree, pos, coalesce(changed, leaf) AS folded, '' AS siblings FROM p)",
+    ]
+
+    def climb(name: str) -> None:
+        for k in range(levels):
+            now, up = f"{name}{k}", f"{name}{k + 1}"
+            steps.append(
+                f"{up} AS (SELECT tree, pos // 16 AS pos, CASE WHEN n > 1 THEN sha256(string_agg(digest, '' ORDER BY pos)) "
+                f"ELSE min(digest) END AS digest, (n + 15) // 16 AS n FROM {now} GROUP BY tree, n, pos // 16)"
+            )
+            steps.append(
+                f"w{up} AS (SELECT w.r, w.tree, w.pos // 16 AS pos, CASE WHEN any_value(c.n) > 1 THEN sha256(string_agg("
+                f"CASE WHEN c.pos = w.pos THEN w.folded ELSE c.digest END, '' ORDER BY c.pos)) ELSE w.folded END AS folded, "
+                f"w.siblings || coalesce(string_agg(c.digest, '' ORDER BY c.pos) FILTER (WHERE c.pos <> w.pos), '') AS siblings "
+                f"FROM w{now} w JOIN {now} c ON c.tree IS NOT DISTINCT FROM w.tree AND c.pos // 16 = w.pos // 16 "
+                f"GROUP BY w.r, w.tree, w.pos, w.folded, w.siblings)"
+            )
+
+    climb("a")
+    steps += [
+        f"roots AS (SELECT tree AS name, digest, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, "
+        f"count(*) OVER () AS n FROM a{levels})",
+        "b0 AS (SELECT '' AS tree, pos, digest, n FROM roots)",
+        f"wb0 AS (SELECT w.r, '' AS tree, roots.pos, w.folded, w.siblings FROM wa{levels} w "
+        "JOIN roots ON roots.name IS NOT DISTINCT FROM w.tree)",
+    ]
+    climb("b")
+    return (
+        f"WITH {', '.join(steps)} SELECT h.doc_id, h.leaf, roots.digest AS subroot, top.digest AS root, sha256(w.siblings) AS proof_sha256, "
+        f"w.folded AS folded_root, w.folded = top.digest AS verified FROM h JOIN wb{levels} w USING (r) "
+        f"JOIN roots ON roots.name IS NOT DISTINCT FROM h.tree, b{levels} top"
+    )
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op2_decontamination": op2_decontamination, "op3_line_dedup": op3_line_dedup, "op4_pii": op4_pii, "op5_secret_scan": op5_secret_scan, "op6_toxicity": op6_toxicity, "op7_near_duplicates": op7_near_duplicates, "op8_token_records": op8_token_records, "op9_license_scan": op9_license_scan, "op10_quality_rules": op10_quality_rules, "op11_fill_in_middle": op11_fill_in_middle, "op12_merkle_manifest": op12_merkle_manifest, "op13_bpe": op13_bpe}
+ORACLES = {"op2_decontamination": OP2_SQL, "op3_line_dedup": OP3_SQL, "op10_quality_rules": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_merkle_manifest": _op12_sql()}
