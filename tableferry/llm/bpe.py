@@ -235,9 +235,9 @@ def encoded(
     if text_out is not None:
         table = _spelled(table, "word", path)
     found = places.hint("merge").join(table, "word").select("block", "number", *table.columns[1:])
-    schema = T.StructType().add("row", kind).add("ids", "array<int>")
+    schema = T.StructType().add("row", kind).add("ids", T.ArrayType(T.IntegerType()))
     if text_out is not None:
-        schema = schema.add("decoded", "string")
+        schema = schema.add("decoded", T.StringType())
     placed = found.groupBy("block").applyInArrow(_place(location, text_out is not None), schema)
     names = [F.col(f"row.`{c}`").alias(c) for c in keep]
     new = [F.col("ids").alias(fresh(keep, out))] + ([F.col("decoded").alias(fresh(keep, text_out))] if text_out is not None else [])
