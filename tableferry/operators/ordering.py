@@ -1,4 +1,4 @@
-"""Positions, curves and quantiles over a total order, without ordering anything in one task.
+"""Positions and curves over a total order, without ordering anything in one task.
 
 Rows are range-partitioned, sorted and written to a table in the shared folder, one file per range.
 A row's position is its index in the file plus the rows of the files before, so the only rows ordered
@@ -63,33 +63,3 @@ def split_contiguous(df: DataFrame, parts: int, order: Sequence[str], name: str
 def descending_curve(df: DataFrame, value: str, tie_break: Sequence[str] = (), name: str = "idx") -> DataFrame:
     """Positive values from high to low with their 0-based index."""
     return with_position(df.filter(F.col(value) > 0), [F.col(value).desc(), *tie_break], name)
-
-
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles per group, with min, max and count; nulls are left out.
-
-    Groups are runs of the global order, so a wanted quantile is one or two positions, and those are
-    fetched by an equi-join on the position, which is unique.
-    """
-    numbered = with_position(df.select(*keys, value).filter(F.col(value).isNotNull()), [*keys, value])
-    groups = numbered.groupBy(*keys).agg(
-        F.min("position").alias("_first"),
-        F.count("*").alias("n"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    )
-    wanted = F.array(*[F.struct(F.lit(k).alias("q"), F.lit(float(p)).alias("p")) for k, p in probabilities.items()])
-    spots = groups.select(*keys, "_first", "n", "min", "max", F.inline(wanted)).withColumn(
-        "_exact", F.col("p") * (F.col("n") - 1)
-    )
-    spots = spots.withColumn("_low", F.floor("_exact")).withColumn("_high", F.ceil("_exact"))
-    needed = spots.select(
-        "*", F.explode(F.array_distinct(F.array("_low", "_high"))).alias("_offset")
-    ).withColumn("position", F.col("_first") + F.col("_offset"))
-    found = needed.join(numbered.select("position", F.col(value).alias("_value")), "position")
-    weight = F.when(F.col("_low") == F.col("_high"), F.lit(1.0)).otherwise(
-        1 - F.abs(F.col("_exact") - F.col("_offset"))
-    )
-    return found.groupBy(*keys, "n", "min", "max").agg(
-        *[F.sum(F.when(F.col("q") == k, F.col("_value") * weight)).alias(k) for k in probabilities]
-    )

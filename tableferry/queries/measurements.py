@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import AVERAGED_COLUMNS, CODECS, CONFIG_COLUMNS, MEASURED_COLUMNS, TABLE_LABELS, TABLE_ORDER
 from ..functions import labels, rates
-from ..operators import dedup, ordering, ranking, select, slices, summarize
+from ..operators import dedup, ordering, ranking, select, selection, slices, summarize
 from . import derived as d
 from .registry import query
 
@@ -105,7 +105,7 @@ def mean_and_spread(spark, sf_dir):
     "FROM measurements GROUP BY 1, 2",
 )
 def distribution(spark, sf_dir):
-    spread = ordering.quantiles(
+    spread = selection.quantiles(
         d.measurements(spark, sf_dir), ["compression", "format"], "time", {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     )
     return _round(spread, 9, "q25", "q50", "q75")

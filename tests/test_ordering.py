@@ -1,4 +1,3 @@
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,20 +32,6 @@ def test_contiguous_parts(skewed, parts):
     assert counts == {i: min(size, 900 - i * size) for i in range(-(-900 // size))}
 
 
-def test_quantiles_equal_numpy(skewed):
-    holes = skewed.withColumn("v", F.when(F.col("id") % 7 != 0, F.col("v")))
-    got = ordering.quantiles(holes, ["k"], "v", {"lo": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.9, "hi": 1.0}).collect()
-    groups = {}
-    for r in holes.collect():
-        if r.v is not None:
-            groups.setdefault(r.k, []).append(r.v)
-    assert {r.k for r in got} == set(groups)
-    for r in got:
-        wanted = np.quantile(groups[r.k], [0, 0.25, 0.5, 0.9, 1])
-        assert np.allclose([r.lo, r.q1, r.q2, r.q3, r.hi], wanted)
-        assert r.n == len(groups[r.k])
-
-
 def test_curve_leaves_out_what_is_not_positive(spark):
     df = spark.createDataFrame([(3.0,), (0.0,), (-1.0,), (8.0,), (5.0,)], "time double")
     assert [(r.idx, r.time) for r in ordering.descending_curve(df, "time").orderBy("idx").collect()] == [
