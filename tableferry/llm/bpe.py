@@ -8,9 +8,9 @@ once. Words are then exchanged for their ids by position:
 1. A task turns its documents into blocks of bounded size: the block's distinct words, and each document
    as the numbers of its words. The numbers stay in a file of the shared folder; the words are a
    written table with one row a block.
-2. The blocks' words meet by word. Each distinct word is encoded once, its ids are joined with the
-   id-to-piece table (which is no larger than the vocabulary), and both go back to (block, number).
-3. A block's ids and pieces are put in the places that its file names.
+2. The blocks' words meet by word. Each distinct word is encoded once, and its ids go back to the (block,
+   number) pairs it came from.
+3. A block's ids are put in the places that its file names.
 
 So what is shuffled is one row for each distinct word of a block, not one for each word, a word that is
 in every block has one row a block, and a block is all that one task holds. A written table says which
@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,7 +45,7 @@ from .arrow import text_batches
 from .stored import written
 from .text import BLANK, fresh
 
-BLOCK_BYTES = 32 << 20  # of words, before a block ends
+BLOCK_BYTES = 64 << 20  # of words, before a block ends
 ROWS_AT_ONCE = 1_000  # documents whose ids are put together at once
 NORMALIZERS = ("NFC", "Replace", "Lowercase")  # fixed values: kinds that never look across white space
 _ASCII_MARKS = [chr(c) for c in range(33, 127) if not chr(c).isalpha()]
@@ -72,10 +72,10 @@ class Vocabulary:
                 and not how.get("post_processor") and not how.get("decoder")):
             raise ValueError(f"words of {path} cannot be encoded alone")
         self.added = [t["content"] for t in how["added_tokens"]]
+        by_id = {i: piece for piece, i in self.library.get_vocab(with_added_tokens=True).items()}
+        self.pieces = pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.string())
+        self.kind = "<u2" if len(self.pieces) <= 65_536 else "<u4"
 
-    def pieces(self) -> pa.Table:
-        ids, names = zip(*sorted((i, p) for p, i in self.library.get_vocab(with_added_tokens=True).items()))
-        return pa.table({"id": pa.array(ids, pa.int32()), "piece": pa.array(names, pa.string())})
 
     def splitter(self) -> str:
         """Where words end. Marks that occur in added tokens end none, so that no token's name is cut."""
@@ -152,69 +152,59 @@ def _to_blocks(location: str, added: list[str]):
 
 
 def _encoded(word: Column, path: str) -> Column:
-    @F.arrow_udf("array<int>")
+    """Ids of words as little-endian bytes, two or four for each id."""
+
+    @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = vocabulary(path)
         for batch in batches:
-            yield pa.array(own.ids(batch.to_pylist()), pa.list_(pa.int32()))
-
-    return run.asNondeterministic()(word)  # else the planner may run it once more to look for words without ids
-
+            yield pa.array([np.array(x, own.kind).tobytes() for x in own.ids(batch.to_pylist())], pa.binary())
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """``id, piece`` of a file: as many rows as its vocabulary has, some tens of thousands."""
-    return spark.createDataFrame(vocabulary(path).pieces())
+    return run.asNondeterministic()(word)  # else the planner may run it once more, before the words are distinct
 
 
-def _spelled(rows: DataFrame, key: str, path: str) -> DataFrame:
-    """``key``, its ``ids`` and ``spelled``, their pieces with a blank between them, for rows with distinct keys."""
-    pieces = F.broadcast(piece_table(rows.sparkSession, path))  # no larger than the vocabulary
-    each = rows.select(key, F.posexplode_outer("ids").alias("at", "id")).join(pieces, "id", "left")
-    own = F.filter(F.array_sort(F.collect_list(F.struct("at", "id", "piece"))), lambda x: x["id"].isNotNull())
-    return each.groupBy(key).agg(own.alias("own")).select(
-        key, F.col("own.id").alias("ids"), F.array_join("own.piece", " ").alias("spelled")
-    )
-
-
-def _place(location: str, with_text: bool):
-    def run(known: pa.Table) -> pa.Table:
-        known = known.sort_by("number").combine_chunks()
+def _placed(location: str, kind: str):
+    def rows(block: int, known: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+        """The block's documents with their ids; ``known`` holds its words' ids in the order of their numbers."""
+        ids = known.combine_chunks()
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int32)[ids.offset : ids.offset + len(ids) + 1] // np.dtype(kind).itemsize
+        flat, starts, sizes = np.frombuffer(data or b"", kind), ends[:-1], np.diff(ends)
         store, root = _open(location)
-        with store.open_input_file(f"{root}/{known.column('block')[0].as_py():x}") as source:
+        with store.open_input_file(f"{root}/{block:x}") as source:
             table = pq.read_table(source).combine_chunks()
-        ids = known.column("ids").combine_chunks()
-        sizes = np.asarray(pc.list_value_length(ids)).astype(np.int64)
-        spelled = known.column("spelled").combine_chunks() if with_text else None
-        out = []
         for at in range(0, table.num_rows, ROWS_AT_ONCE):
             some = table.slice(at, ROWS_AT_ONCE)
             words = some.column("words").combine_chunks()
-            numbers, ends = np.asarray(words.flatten()), np.asarray(words.offsets)
-            ends, own = ends - ends[0], sizes[numbers]
-            starts = np.concatenate([[0], np.cumsum(own)])[ends].astype(np.int32)
-            columns = [
-                some.column("row").combine_chunks(),
-                pa.ListArray.from_arrays(pa.array(starts), ids.take(pa.array(numbers)).flatten().cast(pa.int32())),
-            ]
-            if with_text:
-                starts = np.concatenate([[0], np.cumsum(own > 0)])[ends].astype(np.int32)
-                parts = pa.ListArray.from_arrays(pa.array(starts), spelled.take(pa.array(numbers[own > 0])))
-                columns.append(pc.binary_join(parts, " "))
-            out.append(pa.RecordBatch.from_arrays(columns, ["row", "ids", "decoded"][: len(columns)]))
-        return pa.Table.from_batches(out)
+            numbers, bounds = np.asarray(words.flatten()), np.asarray(words.offsets)
+            own = sizes[numbers]
+            until = np.concatenate([[0], np.cumsum(own, dtype=np.int64)])
+            # where each id lies: the word's first, and how far the id is behind it
+            spots = np.repeat(starts[numbers] - until[:-1], own) + np.arange(until[-1])
+            values = pa.array(flat[spots].astype(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(until[bounds - bounds[0]].astype(np.int32)), values)
+            yield pa.RecordBatch.from_arrays([some.column("row").combine_chunks(), lists], ["row", "ids"])
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+        for batch in batches:
+            at, blocks = 0, np.asarray(batch.column("block"))
+            for end in [*(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]:
+                if at < end:
+                    if block is not None and blocks[at] != block:
+                        yield from rows(block, pa.chunked_array(held))
+                        held = []
+                    block = int(blocks[at])
+                    held.append(batch.column("ids").slice(at, end - at))
+                at = end
+        if held:
+            yield from rows(block, pa.chunked_array(held))
 
+    return run
 
-def encoded(
-    docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, out: str = "ids",
-    text_out: str | None = None,
-) -> DataFrame:
-    """The kept columns (all, if none are named) and the ``ids`` of each text, as the library gives them.
 
-    With ``text_out`` the ids are decoded as well: the distinct words' ids go through the id-to-piece join and
-    take their places with the ids.
-    """
+def encoded(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, out: str = "ids") -> DataFrame:
+    """The kept columns (all, if none are named) and the ``ids`` of each text, as the library gives them."""
     spark = docs.sparkSession
     text_batches(spark)
     own = vocabulary(path)
@@ -224,30 +214,33 @@ def encoded(
     keep = docs.columns if keep is None else keep
     words = F.split(F.coalesce(docs[text_col], F.lit("")), own.splitter())
     rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), words.alias("words"))
-    kind = rows.schema["row"].dataType
-    blocks = written(rows.mapInArrow(_to_blocks(location, own.added), "block long, words array<string>"), "bpe-words")
+    blocks = written(rows.mapInArrow(_to_blocks(location, own.added), "block long, words array<string>"), "bpe-words", "zstd")
     # One exchange of the blocks' words serves the distinct words and the way back: both ask for all its columns.
     places = blocks.select("block", F.posexplode("words").alias("number", "word"))
     places = places.filter("word is not null").repartition("word")
     distinct = places.groupBy("word").agg(F.min(F.struct("block", "number")).alias("first")).filter("first is not null")
-    # Partitioned by word again after the Python step, so that the pieces and the way back need no other exchange.
-    table = distinct.select("word", _encoded(F.col("word"), path).alias("ids")).repartition("word")
-    if text_out is not None:
-        table = _spelled(table, "word", path)
-    found = places.hint("merge").join(table, "word").select("block", "number", *table.columns[1:])
-    schema = T.StructType().add("row", kind).add("ids", T.ArrayType(T.IntegerType()))
-    if text_out is not None:
-        schema = schema.add("decoded", T.StringType())
-    placed = found.groupBy("block").applyInArrow(_place(location, text_out is not None), schema)
-    names = [F.col(f"row.`{c}`").alias(c) for c in keep]
-    new = [F.col("ids").alias(fresh(keep, out))] + ([F.col("decoded").alias(fresh(keep, text_out))] if text_out is not None else [])
-    return placed.select(*names, *new)
+    table = distinct.select("word", _encoded(F.col("word"), path).alias("ids"))
+    found = places.hint("merge").join(table, "word").select("block", "number", "ids")
+    kind = T.StructType().add("row", rows.schema["row"].dataType).add("ids", T.ArrayType(T.IntegerType()))
+    placed = found.repartition("block").sortWithinPartitions("block", "number").mapInArrow(_placed(location, own.kind), kind)
+    return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], F.col("ids").alias(fresh(keep, out)))
 
 
 def decoded(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``docs`` and the texts of a column of ids, by a join of each id with its piece; null for null."""
-    key = fresh(docs, "row_")
-    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "bpe-rows")
-    spelled = _spelled(rows.select(key, F.col(ids_col).alias("ids")), key, path).select(key, F.col("spelled").alias(f"{key}_"))
-    text = F.when(F.col(ids_col).isNotNull(), F.coalesce(F.col(f"{key}_"), F.lit("")))
-    return rows.join(spelled, key, "left").select(*docs.columns, text.alias(fresh(docs, out)))
+    """``docs`` and the texts of a column of ids; null for null."""
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = vocabulary(path).pieces
+        for ids in batches:
+            flat = ids.flatten()
+            known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(pieces))), False)
+            spelled = pieces.take(pc.if_else(known, flat, None))
+            known = np.asarray(pc.is_valid(spelled))
+            bounds = np.asarray(pc.fill_null(pc.list_value_length(ids), 0)).astype(np.int64)
+            kept = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(bounds)])]
+            lists = pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), spelled.drop_null())
+            yield pc.if_else(ids.is_valid(), pc.binary_join(lists, " "), None)
+
+    text_batches(docs.sparkSession)
+    return docs.withColumn(fresh(docs, out), run(docs[ids_col].cast("array<int>")))

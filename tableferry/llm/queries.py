@@ -162,8 +162,9 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("word_bpe_49k.json")
     docs = _docs(spark, sf_dir).select("doc_id", "text")
-    found = bpe.encoded(docs, tokenizer_file("word_bpe_49k.json"), keep=["doc_id"], text_out="decoded")
+    found = bpe.decoded(bpe.encoded(docs, path, keep=["doc_id"]), path)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -10,10 +10,10 @@ from tableferry.session import work_dir
 BROADCAST_ROWS = 200_000  # of narrow rows: tens of MB at most
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, codec: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and safe when executors are lost."""
     path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
