@@ -139,10 +139,15 @@ def _select(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*out)
 
 
+def as_transfer_table(df: DataFrame, *others: str) -> DataFrame:
+    """The transfer table's columns of lineitem rows, and others besides: date as ``yyyy-MM-dd`` text."""
+    dated = df.withColumn("l_shipdate", F.col("l_shipdate").cast("date").cast("string"))
+    return dated.select(*LINEITEM.names, *others)
+
+
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transfer table: date as ``yyyy-MM-dd`` text, everything else as it is stored."""
-    df = table(spark, sf_dir, "lineitem")
-    return df.withColumn("l_shipdate", F.col("l_shipdate").cast("date").cast("string")).select(*LINEITEM.names)
+    return as_transfer_table(table(spark, sf_dir, "lineitem"))
 
 
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from ..sources import (
     read_arrow_files,
     read_csv_table,
     read_delimited,
+    read_footers,
     read_parquet_table,
     read_run_log,
     read_timing_files,
@@ -178,7 +179,7 @@ def arrow_to_csv(spark, sf_dir):
 @query("snk5_column_blocks_to_csv", WITH_LINES + "SELECT line FROM lines")
 def column_blocks_to_csv(spark, sf_dir):
     names = d.LINEITEM.names
-    cut = blocks.assign_blocks(d.lineitem(spark, sf_dir), BLOCK_ROWS, d.LINEITEM_ORDER)
+    cut = _cut(spark, sf_dir)
     return _lines(blocks.to_row_blocks(blocks.to_column_blocks(cut, names), names))
 
 
@@ -203,7 +204,7 @@ def arrow_to_parquet(spark, sf_dir):
 @query("snk9_column_blocks_to_parquet", WITH_TABLE + ALL)
 def column_blocks_to_parquet(spark, sf_dir):
     names = d.LINEITEM.names
-    cut = blocks.assign_blocks(d.lineitem(spark, sf_dir), BLOCK_ROWS, d.LINEITEM_ORDER)
+    cut = _cut(spark, sf_dir)
     rows = blocks.to_row_blocks(blocks.to_column_blocks(cut, names), names).select(*names)
     path = work_dir(spark, "parquet")
     write_parquet_table(rows, path, d.LINEITEM)
@@ -225,19 +226,33 @@ def saved_table(spark, sf_dir):
     return spark.table(name)
 
 
+# What the footers call the codecs that were asked for.
+FOOTER_CODECS = {"nocomp": "UNCOMPRESSED", "zstd": "ZSTD", "snappy": "SNAPPY", "lz4": "LZ4", "zlib": "GZIP"}
+
+
 @query(
     "snk13_codecs",
-    "SELECT codec, (SELECT count(*) FROM lineitem) AS tuples "
-    "FROM (VALUES ('nocomp'), ('zstd'), ('snappy'), ('lz4'), ('zlib')) t(codec)",
+    "SELECT codec, found, n.rows AS tuples, c.n AS columns, n.low AS lowest_key, n.high AS highest_key FROM (VALUES "
+    + ", ".join(f"('{k}', '{v}')" for k, v in FOOTER_CODECS.items())
+    + ") t(codec, found), (SELECT count(*) AS rows, min(l_orderkey) AS low, max(l_orderkey) AS high FROM lineitem) n, "
+    f"(SELECT {len(d.LINEITEM.names)}::BIGINT AS n) c",
 )
 def codecs(spark, sf_dir):
+    """The codec, rows and key range that the written files' own footers name."""
     source = _parquet_copy(spark, sf_dir)
     parts = None
-    for codec in ("nocomp", "zstd", "snappy", "lz4", "zlib"):
+    for codec in FOOTER_CODECS:
         target = work_dir(spark, codec)
-        manifest = transfer(spark, ("parquet", source), ("parquet", target), "lineitem", d.LINEITEM, codec=codec)
-        parts = manifest if parts is None else parts.unionByName(manifest)
-    return parts.groupBy("codec").agg(F.sum("tuples").alias("tuples"))
+        transfer(spark, ("parquet", source), ("parquet", target), "lineitem", d.LINEITEM, codec=codec)
+        chunks = read_footers(spark, target).withColumn("asked", F.lit(codec))
+        parts = chunks if parts is None else parts.unionByName(chunks)
+    key = F.col("column") == "l_orderkey"
+    return parts.groupBy(F.col("asked").alias("codec"), F.col("codec").alias("found")).agg(
+        F.sum(F.when(key, F.col("rows"))).alias("tuples"),
+        F.count_distinct("column").alias("columns"),
+        F.min(F.when(key, F.col("min").cast("bigint"))).alias("lowest_key"),
+        F.max(F.when(key, F.col("max").cast("bigint"))).alias("highest_key"),
+    )
 
 
 @query(
@@ -311,13 +326,17 @@ def fixed_width_text(spark, sf_dir):
 
 # --- blocks and audit -------------------------------------------------------------------------
 
+# Rows as they stand in the file, which is how the checking engine numbers them without an order.
+FILE_SQL = f"{d.LINES_SQL}, numbered AS (SELECT *, row_number() OVER () - 1 AS pos FROM lines)"
 BLOCKS_SQL = (
-    f"WITH {NUMBERED_SQL}, cut AS (SELECT *, pos // {BLOCK_ROWS} AS block, pos % {BLOCK_ROWS} AS slot FROM numbered) "
+    f"WITH {FILE_SQL}, cut AS (SELECT *, pos // {BLOCK_ROWS} AS block, pos % {BLOCK_ROWS} AS slot FROM numbered) "
 )
 
 
 def _cut(spark, sf_dir, writers: int = 1) -> DataFrame:
-    return blocks.assign_blocks(d.lineitem(spark, sf_dir), BLOCK_ROWS, d.LINEITEM_ORDER, writers)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    cut = blocks.file_blocks(spark, f"{sf_dir}/lineitem.parquet", BLOCK_ROWS, writers)
+    return d.as_transfer_table(cut, "block", "slot", "writer")
 
 
 @query(

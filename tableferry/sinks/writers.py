@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..fixed_values import WRITER_CODECS
 from ..functions.fixed_text import csv_line
 from ..schema import enforce_schema, max_text_row
+from ..sources.footers import file_sizes
 from ..sources.tables import LINE_END
 
 
@@ -98,13 +99,9 @@ def append_transfer_record(record: DataFrame, path: str, id_column: str = "trans
 
 
 def file_manifest(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    """One row per written file: tuples and payload bytes (text) or file bytes (Parquet)."""
+    """One row per written file: tuples and payload bytes (text, which is read) or file bytes (Parquet, from the footers)."""
     if fmt == "csv":
         df = spark.read.text(path, lineSep=LINE_END).select("value", F.col("_metadata.file_name").alias("file"))
         size = F.sum(F.octet_length("value") + 1)
-    else:
-        df = spark.read.parquet(path).select(
-            F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("file_size")
-        )
-        size = F.max("file_size")
-    return df.groupBy("file").agg(F.count("*").alias("tuples"), size.cast("bigint").alias("bytes"))
+        return df.groupBy("file").agg(F.count("*").alias("tuples"), size.cast("bigint").alias("bytes"))
+    return file_sizes(spark, path).withColumn("file", F.substring_index("file", "/", -1))

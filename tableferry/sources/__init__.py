@@ -1,16 +1,22 @@
-from .arrow_files import read_arrow_files
+from .arrow_files import ArrowFiles, read_arrow_files
+from .footers import ParquetFooters, file_sizes, in_file_order, read_footers
 from .runlogs import CLIENT_TIMINGS, GENERAL_STATS, SERVER_TIMINGS, SWEEP_LOG, read_run_log, read_timing_files
 from .tables import jdbc_options, read_csv_table, read_delimited, read_jdbc_table, read_parquet_table, split_text_file
 
 __all__ = [
+    "ArrowFiles",
     "CLIENT_TIMINGS",
     "GENERAL_STATS",
+    "ParquetFooters",
     "SERVER_TIMINGS",
     "SWEEP_LOG",
+    "file_sizes",
+    "in_file_order",
     "jdbc_options",
     "read_arrow_files",
     "read_csv_table",
     "read_delimited",
+    "read_footers",
     "read_jdbc_table",
     "read_parquet_table",
     "read_run_log",
