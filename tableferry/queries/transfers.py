@@ -29,6 +29,7 @@ from ..sources import (
     read_parquet_table,
     read_run_log,
     read_timing_files,
+    split_text_file,
 )
 from . import derived as d
 from .registry import query
@@ -124,16 +125,15 @@ def run_log_scan(spark, sf_dir):
     return read_run_log(spark, path, GENERAL_STATS).select(*_KNOWN_STATS)
 
 
-@query(
-    "src10_contiguous_parts",
+PARTS_SQL = (
     f"WITH {NUMBERED_SQL}, cut AS (SELECT *, CAST(pos // CAST(ceil((SELECT count(*) FROM lines) / 7.0) AS BIGINT) "
     "AS INTEGER) AS part FROM numbered) SELECT part, count(*) AS \"lines\", min(pos) AS first_line, "
-    "max(pos) AS last_line, min(line) AS lowest, max(line) AS highest FROM cut GROUP BY part",
+    "max(pos) AS last_line, min(line) AS lowest, max(line) AS highest FROM cut GROUP BY part"
 )
-def contiguous_parts(spark, sf_dir):
-    df = ordering.split_contiguous(d.lineitem(spark, sf_dir), 7, d.LINEITEM_ORDER)
-    line = csv_line(d.LINEITEM)
-    return df.groupBy("part").agg(
+
+
+def _runs(numbered: DataFrame, line) -> DataFrame:
+    return numbered.groupBy("part").agg(
         F.count("*").alias("lines"),
         F.min("line_no").alias("first_line"),
         F.max("line_no").alias("last_line"),
@@ -142,6 +142,20 @@ def contiguous_parts(spark, sf_dir):
     )
 
 
+@query("src10_contiguous_parts", PARTS_SQL)
+def contiguous_parts(spark, sf_dir):
+    """A table without an order of its own, in a wanted one."""
+    return _runs(ordering.split_contiguous(d.lineitem(spark, sf_dir), 7, d.LINEITEM_ORDER), csv_line(d.LINEITEM))
+
+
+@query("src10_text_file_parts", PARTS_SQL)
+def text_file_parts(spark, sf_dir):
+    """Text files as they are: written in order here, so that the checking engine knows it."""
+    path = work_dir(spark, "ordered-lines")
+    _lines(d.lineitem(spark, sf_dir).orderBy(*d.LINEITEM_ORDER)).write.text(path, lineSep="\n")
+    return _runs(split_text_file(spark, path, 7, range_bytes=256 << 10), F.col("value"))
+
+
 # --- sinks ------------------------------------------------------------------------------------
 
 
@@ -456,8 +470,7 @@ def verified_copies(spark, sf_dir):
     changed = original.withColumn(
         "l_discount", F.col("l_discount") + F.when(F.col("l_orderkey") % 100 == 1, 0.5).otherwise(0.0)
     )
-    good = audit.verify_copy(original, copy).withColumn("copy", F.lit("exact"))
-    return good.unionByName(audit.verify_copy(original, changed).withColumn("copy", F.lit("changed")))
+    return audit.verify_copies(original, {"exact": copy, "changed": changed})
 
 
 @query(

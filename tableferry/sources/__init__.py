@@ -1,7 +1,8 @@
 from .arrow_files import ArrowFiles, read_arrow_files
 from .footers import ParquetFooters, file_sizes, in_file_order, read_footers
+from .lines import split_text_file
 from .runlogs import CLIENT_TIMINGS, GENERAL_STATS, SERVER_TIMINGS, SWEEP_LOG, read_run_log, read_timing_files
-from .tables import jdbc_options, read_csv_table, read_delimited, read_jdbc_table, read_parquet_table, split_text_file
+from .tables import jdbc_options, read_csv_table, read_delimited, read_jdbc_table, read_parquet_table
 
 __all__ = [
     "ArrowFiles",
