@@ -97,56 +97,70 @@ def _open(location: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(location) if "://" in location else (fs.LocalFileSystem(), location)
 
 
-def _lowered(words: pa.Array, added: list[str]) -> pa.Array:
-    """Words of ASCII alone in lower case, unless that would make an added token's name of them."""
-    lower = pc.ascii_lower(words)
-    fits = pc.string_is_ascii(words)
-    for name in added:
-        fits = pc.and_not(fits, pc.match_substring(lower, name.lower()))
-    return pc.if_else(fits, lower, words)
-
-
-def _numbered(words: pa.ListArray, added: list[str]) -> tuple[pa.Array, pa.ListArray]:
-    """The distinct words, most frequent first, and each row's words as their numbers."""
-    flat, offsets = words.flatten(), np.asarray(words.offsets)
-    some = np.asarray(pc.not_equal(flat, ""))
-    offsets = np.concatenate([[0], np.cumsum(some)])[offsets - offsets[0]]
-    coded = flat.filter(pa.array(some)).dictionary_encode()
-    lowered = _lowered(coded.dictionary, added).dictionary_encode()
-    numbers = np.asarray(lowered.indices)[np.asarray(coded.indices)] if len(coded) else np.empty(0, np.int32)
-    order = np.argsort(-np.bincount(numbers, minlength=len(lowered.dictionary)), kind="stable")
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    rows = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(rank[numbers], pa.int32()))
-    return lowered.dictionary.take(pa.array(order)), rows
+class _Block:
+    """Documents on their way into a block: the numbers of their words, and the distinct words so far."""
+
+    def __init__(self, added: list[str]) -> None:
+        self.added = [name.lower() for name in added]
+        self.known: dict[str, int] = {}
+        self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """Words of ASCII alone count in lower case, unless that would make an added token's name of them."""
+        lower, fits = pc.ascii_lower(words), pc.string_is_ascii(words)
+        for name in self.added:
+            fits = pc.and_not(fits, pc.match_substring(lower, name))
+        known = self.known
+        return np.array([known.setdefault(w, len(known)) for w in pc.if_else(fits, lower, words).to_pylist()], np.int32)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        words = batch.column("words")
+        flat, offsets = words.flatten(), np.asarray(words.offsets)
+        some = pc.not_equal(flat, "")
+        ends = np.concatenate([[0], np.cumsum(np.asarray(some))])[offsets - offsets[0]].astype(np.int32)
+        coded = flat.filter(some).dictionary_encode()
+        numbers = self._numbers(coded.dictionary)
+        self.parts.append((batch.column("row"), ends, numbers[np.asarray(coded.indices)]))
+        self.size += flat.nbytes
+
+    def write(self, out) -> list[str]:
+        """Writes the documents; the words in the order of the numbers they have there, most frequent first."""
+        counts = np.zeros(len(self.known), np.int64)
+        for _, _, numbers in self.parts:
+            counts += np.bincount(numbers, minlength=len(counts))
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        schema = pa.schema([pa.field("row", self.parts[0][0].type), pa.field("words", pa.list_(pa.int32()))])
+        how = {"compression": "zstd", "use_dictionary": ["row"], "column_encoding": {"words.list.element": "BYTE_STREAM_SPLIT"}}
+        with pq.ParquetWriter(out, schema, **how) as sink:
+            for row, ends, numbers in self.parts:
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(rank[numbers], pa.int32()))
+                sink.write_table(pa.Table.from_arrays([row, lists], schema=schema))
+        words = list(self.known)
+        return [words[i] for i in order.tolist()]
 
 
 def _to_blocks(location: str, added: list[str]):
-    def block(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).combine_chunks()
-        words, rows = _numbered(table.column("words").combine_chunks(), added)
+    def written_out(number: int, block: _Block) -> pa.RecordBatch:
         store, root = _open(location)
         with store.open_output_stream(f"{root}/{number:x}") as out:
-            pq.write_table(
-                pa.table({"row": table.column("row"), "words": rows}), out, compression="zstd",
-                use_dictionary=["row"], column_encoding={"words.list.element": "BYTE_STREAM_SPLIT"},
-            )
-        known = words.to_pylist() or [""]  # so that a block without words has a row as well
-        return pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), pa.array([known], pa.list_(pa.string()))], ["block", "words"]
-        )
+            words = block.write(out)
+        known = [words or [""]]  # so that a block without words has a row as well
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array(known, pa.list_(pa.string()))], ["block", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made = TaskContext.get().taskAttemptId() << 20, 0  # an attempt's number is given once
-        held: list[pa.RecordBatch] = []
+        block = _Block(added)
         for batch in batches:
             if batch.num_rows:
-                held.append(batch)
-            if sum(b.column("words").nbytes for b in held) >= BLOCK_BYTES:
-                yield block(first + made, held)
-                held, made = [], made + 1
-        if held:
-            yield block(first + made, held)
+                block.add(batch)
+            if block.size >= BLOCK_BYTES:
+                yield written_out(first + made, block)
+                block, made = _Block(added), made + 1
+        if block.parts:
+            yield written_out(first + made, block)
 
     return run
 
