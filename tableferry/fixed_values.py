@@ -35,15 +35,19 @@ WORKERS_PER_CPU = 1.2
 # Network rate assumed when the environment says 0 (unlimited), MB/s.
 UNLIMITED_NETWORK = 10000
 
-# Storage ceilings in MB/s, (target, source, read, write).
+# Storage ceilings in MB/s, (target, source, mode, read, write). Mode 1 is analytics, mode 2 storage.
 CEILINGS = (
-    ("postgres", "postgres", 1000, 5000),
-    ("spark", "postgres", 1000, 7000),
-    ("pandas", "csv", 5000, 5000),
-    ("csv", "csv", 5000, 3000),
-    ("csv", "postgres", 1000, 1400),
-    ("pandas", "postgres", 1000, 5000),
+    ("postgres", "postgres", 2, 1000, 5000),
+    ("spark", "postgres", 2, 1000, 7000),
+    ("pandas", "csv", 2, 5000, 5000),
+    ("csv", "csv", 1, 5000, 5000),
+    ("csv", "csv", 2, 5000, 3000),
+    ("csv", "postgres", 1, 1000, 5000),
+    ("csv", "postgres", 2, 1000, 1400),
+    ("pandas", "postgres", 1, 1000, 5000),
+    ("pandas", "postgres", 2, 1000, 5000),
 )
+STORAGE_MODE = 2
 
 # Table name -> short label, and the label order of reports.
 TABLE_LABELS = {
@@ -72,8 +76,13 @@ OPTIMIZER_ORDER = (
     "expert_iot_anal.",
     "expert_etl",
     "expert_pg",
+    "bf",
+    "xdbc",
 )
 
+# Optimizer name -> its label in reports.
+OPTIMIZER_LABELS = {"expert_icu_analysis": "expert_icu_anal.", "expert_iot_analysis": "expert_iot_anal."}
+
 # Columns that describe one measured configuration.
 CONFIG_COLUMNS = (
     "system",

@@ -24,6 +24,12 @@ def lookup(value: Column, table: Mapping) -> Column:
     return out
 
 
+def strict_lookup(value: Column, table: Mapping) -> Column:
+    """Mapped value; a value that the mapping does not have fails the job."""
+    missing = F.raise_error(F.concat(F.lit("no entry for "), F.coalesce(value.cast("string"), F.lit("null"))))
+    return F.coalesce(lookup(value, table), missing)
+
+
 def category_rank(value: Column, order: Sequence[str]) -> Column:
     """0-based place in a custom order; null for a value outside it."""
     place = F.array_position(F.array(*[F.lit(v) for v in order]), value)

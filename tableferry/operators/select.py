@@ -8,6 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def keep_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -44,3 +45,11 @@ def split_by(df: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:
     """Kept and rejected rows. Every row is in exactly one of them: an unknown predicate rejects."""
     known = F.coalesce(predicate, F.lit(False))
     return df.filter(known), df.filter(~known)
+
+
+def save_split(df: DataFrame, predicate: Column, path: str) -> tuple[DataFrame, DataFrame]:
+    """Saves kept and rejected rows below ``path`` in one pass over ``df``; returns them as they were saved."""
+    known = F.coalesce(predicate, F.lit(False)).alias("_kept")
+    df.select("*", known).write.partitionBy("_kept").parquet(path)
+    saved = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("_kept", T.BooleanType())])).parquet(path)
+    return saved.filter("_kept").drop("_kept"), saved.filter("not _kept").drop("_kept")

@@ -7,21 +7,35 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import CEILINGS, STAGES, UNLIMITED_NETWORK, WORKERS_PER_CPU
+from ..fixed_values import CEILINGS, STAGES, STORAGE_MODE, UNLIMITED_NETWORK, WORKERS_PER_CPU
 from ..functions.rates import effective_rate, slowest_rate
 
 
 def ceilings(spark) -> DataFrame:
-    """Storage ceilings per target and source: a fixed table of a few rows."""
+    """Storage ceilings per target, source and mode: a fixed table of a few rows."""
     return spark.createDataFrame(
-        [(t, s, float(r), float(w)) for t, s, r, w in CEILINGS],
-        "target_system string, source_system string, read_ceiling double, write_ceiling double",
+        [(t, s, m, float(r), float(w)) for t, s, m, r, w in CEILINGS],
+        "target_system string, source_system string, mode int, read_ceiling double, write_ceiling double",
     )
 
 
-def with_ceilings(df: DataFrame) -> DataFrame:
-    """Add the storage ceilings; a pair without them gets nulls."""
-    return df.join(F.broadcast(ceilings(df.sparkSession)), ["target_system", "source_system"], "left")
+def with_ceilings(df: DataFrame, mode: int = STORAGE_MODE, strict: bool = False) -> DataFrame:
+    """Add the storage ceilings of a mode (of the row's own, if ``df`` has a column ``mode``).
+
+    A combination without ceilings gets nulls, or fails the job if ``strict``.
+    """
+    known = ceilings(df.sparkSession)
+    keys = ["target_system", "source_system"]
+    if "mode" in df.columns:
+        keys.append("mode")
+    else:
+        known = known.filter(F.col("mode") == mode).drop("mode")
+    found = df.join(F.broadcast(known), keys, "left")
+    if not strict:
+        return found
+    pair = F.concat_ws("_", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    unknown = F.raise_error(F.concat(F.lit("no ceilings for "), pair)).cast("double")
+    return found.withColumns({c: F.coalesce(c, unknown) for c in ("read_ceiling", "write_ceiling")})
 
 
 def network_ceiling(network: Column) -> Column:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixed_values import AVERAGED_COLUMNS, CODECS, CONFIG_COLUMNS, MEASURED_COLUMNS, TABLE_LABELS, TABLE_ORDER
+from ..fixed_values import AVERAGED_COLUMNS, CODECS, CONFIG_COLUMNS, MEASURED_COLUMNS, OPTIMIZER_LABELS, OPTIMIZER_ORDER, TABLE_LABELS, TABLE_ORDER
 from ..functions import labels, rates
 from ..operators import dedup, ordering, ranking, select, selection, slices, summarize
+from ..session import work_dir
 from . import derived as d
 from .registry import query
 
@@ -48,7 +49,9 @@ def ranges(spark, sf_dir):
 
 @query("flt6_kept_and_rejected", WITH + "SELECT date, time, time > 3 AS kept FROM measurements")
 def kept_and_rejected(spark, sf_dir):
-    kept, rejected = select.split_by(d.measurements(spark, sf_dir).select("date", "time"), F.col("time") > 3)
+    """Both sets are saved by one job, and read back from their folders."""
+    rows = d.measurements(spark, sf_dir).select("date", "time")
+    kept, rejected = select.save_split(rows, F.col("time") > 3, work_dir(spark, "split"))
     return kept.withColumn("kept", F.lit(True)).unionByName(rejected.withColumn("kept", F.lit(False)))
 
 
@@ -300,6 +303,26 @@ def custom_order(spark, sf_dir):
     )
 
 
+_OPTIMIZERS = ("expert_iot_analysis", "xdbc", "expert_copy", "other", "bf", "expert_icu_analysis", "expert_pg", "expert_backup", "expert_etl")
+_OPTIMIZER_SQL = d.pick("o_custkey % 9", *_OPTIMIZERS)
+_LABEL_SQL = "CASE optimizer " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in OPTIMIZER_LABELS.items()) + " ELSE optimizer END"
+
+
+@query(
+    "srt8_optimizer_order",
+    f"WITH r AS (SELECT {_OPTIMIZER_SQL} AS optimizer, o_totalprice AS price FROM orders), l AS (SELECT {_LABEL_SQL} AS optimizer, "
+    f"price FROM r) SELECT optimizer, CAST(nullif(list_position([{', '.join(repr(x) for x in OPTIMIZER_ORDER)}], optimizer), 0) - 1 "
+    "AS BIGINT) AS place, count(*) AS runs, min(price) AS lowest FROM l GROUP BY 1",
+)
+def optimizer_order(spark, sf_dir):
+    """Runs per optimizer in report order; an optimizer outside it has no place and comes last."""
+    runs = d.table(spark, sf_dir, "orders").select(F.expr(_OPTIMIZER_SQL).alias("optimizer"), F.col("o_totalprice").alias("price"))
+    label = labels.relabel(F.col("optimizer"), OPTIMIZER_LABELS)
+    found = runs.groupBy(label.alias("optimizer")).agg(F.count("*").alias("runs"), F.min("price").alias("lowest"))
+    placed = found.withColumn("place", labels.category_rank(F.col("optimizer"), OPTIMIZER_ORDER))
+    return placed.orderBy(F.col("place").asc_nulls_last(), "optimizer")
+
+
 @query(
     "srt9_descending_curve",
     WITH + "SELECT row_number() OVER (ORDER BY time DESC) - 1 AS idx, time FROM measurements WHERE time > 0",
@@ -370,26 +393,22 @@ def _wanted(spark, sf_dir):
     return grid.withColumn("format", F.col("format").cast("bigint"))
 
 
-def _recorded(spark, sf_dir):
-    return d.measurements(spark, sf_dir).filter(F.col("time") > 80)
-
-
 @query(
     "set1_missing_configurations",
-    WITH + f", {_WANTED_SQL} SELECT {_SHARED_SQL} FROM wanted EXCEPT SELECT {_SHARED_SQL} FROM measurements WHERE time > 80",
+    WITH + f", {_WANTED_SQL} SELECT {_SHARED_SQL} FROM wanted EXCEPT SELECT {_SHARED_SQL} FROM measurements",
 )
 def missing_configurations(spark, sf_dir):
-    return dedup.missing_configs(_wanted(spark, sf_dir), _recorded(spark, sf_dir), MEASURED_COLUMNS)
+    return dedup.missing_configs(_wanted(spark, sf_dir), d.measurements(spark, sf_dir), MEASURED_COLUMNS)
 
 
 @query(
     "set7_progress_counts",
-    WITH + f", {_WANTED_SQL}, done AS (SELECT DISTINCT {_SHARED_SQL} FROM measurements WHERE time > 80) "
+    WITH + f", {_WANTED_SQL}, done AS (SELECT DISTINCT {_SHARED_SQL} FROM measurements) "
     "SELECT (SELECT count(*) FROM wanted) AS generated, (SELECT count(*) FROM done) AS recorded, (SELECT count(*) FROM "
     f"(SELECT {_SHARED_SQL} FROM wanted EXCEPT SELECT {_SHARED_SQL} FROM done)) AS remaining",
 )
 def progress_counts(spark, sf_dir):
-    return dedup.progress_counts(_wanted(spark, sf_dir), _recorded(spark, sf_dir), MEASURED_COLUMNS)
+    return dedup.progress_counts(_wanted(spark, sf_dir), d.measurements(spark, sf_dir), MEASURED_COLUMNS)
 
 
 @query(

@@ -254,17 +254,31 @@ def calibration_plan(spark, sf_dir):
     return calibration.calibration_plan(environments)
 
 
+SWEPT = (1, 2, 4, 8, 16)
+
+
 @query(
     "pln11_sweep_grid",
-    "SELECT s_suppkey, c.compression, r.w AS read_par, d.w AS deser_par, m.w AS comp_par, o.w AS decomp_par, s.w AS ser_par, "
-    "t.w AS write_par, CAST((r.w + d.w + m.w + 1 + 4) * 3072 AS INTEGER) AS server_buffpool_size, "
-    "CAST((o.w + s.w + t.w + 1 + 4) * 3072 AS INTEGER) AS client_buffpool_size FROM supplier, "
+    "WITH g AS (SELECT s_suppkey, c.compression, r.w * d.w * m.w AS server, o.w * s.w * t.w AS client, "
+    "(r.w + d.w + m.w + 1 + 4) * 3072 AS server_pool, (o.w + s.w + t.w + 1 + 4) * 3072 AS client_pool FROM supplier, "
     "(VALUES ('nocomp'), ('zstd'), ('lz4'), ('lzo'), ('snappy')) c(compression), "
-    + ", ".join(f"(VALUES (1), (4)) {a}(w)" for a in "rdmost"),
+    + ", ".join(f"(VALUES {', '.join(f'({w})' for w in SWEPT)}) {a}(w)" for a in "rdmost")
+    + ") SELECT s_suppkey, compression, count(*) AS configurations, CAST(sum(server * client) AS BIGINT) AS products, "
+    "CAST(sum(server_pool * client) AS BIGINT) AS server_pools, CAST(sum(client_pool * server) AS BIGINT) AS client_pools, "
+    "CAST(max(server_pool) AS INTEGER) AS largest_pool FROM g GROUP BY 1, 2",
 )
 def sweep_grid(spark, sf_dir):
-    grid = calibration.sweep_grid(d.table(spark, sf_dir, "supplier").select("s_suppkey"), [1, 4])
-    return grid.drop("send_par", "rcv_par")
+    """All 78,125 settings of every supplier's environment; what is compared are sums over them."""
+    grid = calibration.sweep_grid(d.table(spark, sf_dir, "supplier").select("s_suppkey"), SWEPT)
+    server = (F.col("read_par") * F.col("deser_par") * F.col("comp_par") * F.col("send_par")).cast("bigint")
+    client = (F.col("rcv_par") * F.col("decomp_par") * F.col("ser_par") * F.col("write_par")).cast("bigint")
+    return grid.groupBy("s_suppkey", "compression").agg(
+        F.count("*").alias("configurations"),
+        F.sum(server * client).alias("products"),
+        F.sum(F.col("server_buffpool_size") * client).alias("server_pools"),
+        F.sum(F.col("client_buffpool_size") * server).alias("client_pools"),
+        F.max("server_buffpool_size").alias("largest_pool"),
+    )
 
 
 @query(
@@ -279,30 +293,31 @@ def parameter_product(spark, sf_dir):
     return slices.with_grid(base_rows, {"format": [1, 2], "buff_size": [64, 256, 1024], "workers": workers})
 
 
-CPU_CONFIGS = {
-    "aggressive": {"comp_par": 4, "ser_par": 8, "compression": "snappy"},
-    "conservative": {"comp_par": 4, "ser_par": 1, "compression": "nocomp"},
-}
-NETWORK_CONFIGS = {
-    "comp": {"comp_par": 4, "ser_par": 8, "compression": "snappy"},
-    "nocomp": {"comp_par": 1, "ser_par": 8, "compression": "nocomp"},
+_SERVER = {"read_par": 10, "deser_par": 4, "send_par": 1, "rcv_par": 1, "buffer_size": 1024, "server_buffpool_size": 61440, "format": 2, "skip_ser": 0}
+_AGGRESSIVE = {**_SERVER, "comp_par": 4, "decomp_par": 4, "ser_par": 8, "write_par": 8, "client_buffpool_size": 61440, "compression": "snappy"}
+_CONSERVATIVE = {
+    **_SERVER, "comp_par": 4, "decomp_par": 1, "ser_par": 1, "write_par": 1, "client_buffpool_size": 27648, "compression": "nocomp",
 }
+_UNCOMPRESSED = {**_SERVER, "comp_par": 1, "decomp_par": 1, "ser_par": 8, "write_par": 8, "client_buffpool_size": 61440, "compression": "nocomp"}
+CPU_CONFIGS = {"aggressive": _AGGRESSIVE, "conservative": _CONSERVATIVE}
+NETWORK_CONFIGS = {"comp": _AGGRESSIVE, "nocomp": _UNCOMPRESSED}
+SETTINGS = sorted(_AGGRESSIVE)
 
 
 def _configs_sql(configs) -> str:
-    return ", ".join(f"('{n}', {c['comp_par']}, {c['ser_par']}, '{c['compression']}')" for n, c in configs.items())
+    return ", ".join(f"('{n}', {', '.join(repr(c[k]) for k in SETTINGS)})" for n, c in configs.items())
 
 
 @query(
     "pln12_sensitivity_grid",
     "SELECT s_suppkey, 'client_cpu' AS axis, u.cpu AS client_cpu, CAST(s_suppkey % 3 * 125 AS INTEGER) AS network, k.* "
     f"FROM supplier, (VALUES (1), (2), (4), (8), (16)) u(cpu), (VALUES {_configs_sql(CPU_CONFIGS)}) "
-    "k(config, comp_par, ser_par, compression) UNION ALL SELECT s_suppkey, 'network', 8, n.net, k.* FROM supplier, "
+    f"k(config, {', '.join(SETTINGS)}) UNION ALL SELECT s_suppkey, 'network', 8, n.net, k.* FROM supplier, "
     f"(VALUES (125), (250), (500), (1000), (0)) n(net), (VALUES {_configs_sql(NETWORK_CONFIGS)}) "
-    "k(config, comp_par, ser_par, compression)",
+    f"k(config, {', '.join(SETTINGS)})",
 )
 def sensitivity_grid(spark, sf_dir):
     bases = d.table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 3 * 125).alias("network"))
     return calibration.sensitivity_grid(
         bases, [1, 2, 4, 8, 16], [125, 250, 500, 1000, 0], CPU_CONFIGS, NETWORK_CONFIGS
-    ).select("s_suppkey", "axis", "client_cpu", "network", "config", "comp_par", "ser_par", "compression")
+    ).select("s_suppkey", "axis", "client_cpu", "network", "config", *SETTINGS)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixed_values import CEILINGS, CLIENT_STAGES, CODECS, ENVIRONMENT_SIZES, SERVER_STAGES, STAGES
-from ..functions.labels import lookup
+from ..fixed_values import CEILINGS, CLIENT_STAGES, CODECS, ENVIRONMENT_SIZES, SERVER_STAGES, STAGES, STORAGE_MODE
+from ..functions.labels import lookup, strict_lookup
 from ..operators import dedup, ranking, select, slices, summarize
 from ..plans.rules import with_ceilings
 from . import derived as d
@@ -105,28 +105,49 @@ def side_by_side(spark, sf_dir):
     return summarize.side_by_side_means(left, right, [*left.columns, *right.columns])
 
 
-_CEILINGS_SQL = ", ".join(f"('{t}', '{s}', {r}.0, {w}.0)" for t, s, r, w in CEILINGS)
-CEILINGS_SQL = (
-    f"ceilings AS (SELECT target_system, source_system, CAST(r AS DOUBLE) AS read_ceiling, "
-    f"CAST(w AS DOUBLE) AS write_ceiling FROM (VALUES {_CEILINGS_SQL}) t(target_system, source_system, r, w))"
+_CEILINGS_SQL = ", ".join(f"('{t}', '{s}', {m}, {r}.0, {w}.0)" for t, s, m, r, w in CEILINGS)
+ALL_CEILINGS_SQL = (
+    f"all_ceilings AS (SELECT target_system, source_system, mode, CAST(r AS DOUBLE) AS read_ceiling, "
+    f"CAST(w AS DOUBLE) AS write_ceiling FROM (VALUES {_CEILINGS_SQL}) t(target_system, source_system, mode, r, w))"
 )
+CEILINGS_SQL = ALL_CEILINGS_SQL + f", ceilings AS (SELECT * EXCLUDE (mode) FROM all_ceilings WHERE mode = {STORAGE_MODE})"
 _SIZES = {"lineitem_sf10": 10473, "ss13husallm": 10935, "iotm": 3667}
 _SIZES_SQL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in _SIZES.items())
 
 
 @query(
     "joi5_dimension_lookup",
-    STATS + f", {CEILINGS_SQL} SELECT s.date, s.source_system, s.target_system, "
+    STATS + f", {ALL_CEILINGS_SQL} SELECT s.date, s.source_system, s.target_system, m.mode, "
     f'(CASE s."table" {_SIZES_SQL} END)::DOUBLE AS size, c.read_ceiling, c.write_ceiling '
-    "FROM run_stats s LEFT JOIN ceilings c ON s.source_system = c.source_system AND s.target_system = c.target_system",
+    "FROM run_stats s CROSS JOIN (VALUES (1), (2)) m(mode) LEFT JOIN all_ceilings c ON s.source_system = c.source_system "
+    "AND s.target_system = c.target_system AND m.mode = c.mode",
 )
 def dimension_lookup(spark, sf_dir):
-    return with_ceilings(d.run_stats(spark, sf_dir)).select(
-        "date", "source_system", "target_system", lookup(F.col("table"), _SIZES).cast("double").alias("size"),
+    """Every run under both modes; combinations without ceilings, and tables without a size, get nulls."""
+    runs = d.run_stats(spark, sf_dir).withColumn("mode", F.explode(F.array(F.lit(1), F.lit(2))))
+    return with_ceilings(runs).select(
+        "date", "source_system", "target_system", "mode", lookup(F.col("table"), _SIZES).cast("double").alias("size"),
         "read_ceiling", "write_ceiling",
     )
 
 
+_KNOWN = sorted({(t, s) for t, s, m, _, _ in CEILINGS if m == STORAGE_MODE})
+_KNOWN_SQL = " OR ".join(f"(target_system = '{t}' AND source_system = '{s}')" for t, s in _KNOWN)
+_ALL_SIZES = {**_SIZES, "inputeventsm": 3601}
+
+
+@query(
+    "joi5_strict_lookup",
+    STATS + f", {CEILINGS_SQL} SELECT s.date, (CASE s.\"table\" {' '.join(f'WHEN {k!r} THEN {v}' for k, v in _ALL_SIZES.items())} "
+    "END)::DOUBLE AS size, c.read_ceiling, c.write_ceiling FROM run_stats s JOIN ceilings c USING (source_system, target_system)",
+)
+def strict_dimension_lookup(spark, sf_dir):
+    """Runs whose systems have ceilings; one without them, or a table without a size, would fail the job."""
+    runs = d.run_stats(spark, sf_dir).filter(F.expr(_KNOWN_SQL))
+    size = strict_lookup(F.col("table"), _ALL_SIZES).cast("double")
+    return with_ceilings(runs, strict=True).select("date", size.alias("size"), "read_ceiling", "write_ceiling")
+
+
 # --- aggregates -------------------------------------------------------------------------------
 
 _LONG_SQL = " UNION ALL ".join(
@@ -219,15 +240,15 @@ def weighted_throughput(spark, sf_dir):
 @query(
     "agg6_column_means",
     f"WITH {d.SERVER_SQL} SELECT "
-    + ", ".join(f"avg(CASE WHEN transfer_id % 3 = 0 THEN NULL ELSE {s}_throughput_pb END) AS {s}_throughput_pb"
+    + ", ".join(f"avg(nullif({s}_throughput_pb, 0)) AS {s}_throughput_pb"
                 for s in SERVER_STAGES)
     + " FROM server_timings",
 )
 def column_means(spark, sf_dir):
-    """Every third measurement is missing, so that null skipping shows."""
+    """A stage that moved nothing has no rate, so that null skipping shows."""
     df = d.server_timings(spark, sf_dir)
     names = select.columns_like(df, "throughput_pb")
-    holes = df.select(*[F.when(F.col("transfer_id") % 3 != 0, F.col(c)).alias(c) for c in names])
+    holes = df.select(*[F.nullif(F.col(c), F.lit(0.0)).alias(c) for c in names])
     return summarize.column_means(holes, names)
 
 

@@ -148,10 +148,10 @@ def timing_row(spark, sf_dir):
     rolled = _rounded(m.component_metrics(_rated(spark, sf_dir)), ROUNDED)
     names = ("free_load", "decomp_load", "ser_load", "write_load")
     samples = d.queue_samples(spark, sf_dir).select(*[F.col(q).alias(n) for q, n in zip(_QUEUES, names)])
-    one = F.lit(1).alias("_one")  # one row of loads, given to every transfer there is
-    loads = summarize.average_load(samples, names).select("*", one)
-    loads = rolled.select("transfer_id", one).distinct().join(loads, "_one").drop("_one")
-    return m.timing_row(rolled, _rounded(loads, dict.fromkeys(names, 9)), CLIENT_STAGES)
+    loads = _rounded(summarize.average_load(samples, names), dict.fromkeys(names, 9))
+    each = loads.select(F.struct(*names).alias("load")).scalar()  # one row, given to every transfer there is
+    wide = m.timing_row(rolled, None, CLIENT_STAGES)
+    return wide.withColumns({n: each.getField(n) for n in names})
 
 
 @query(

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed_text import csv_line, pad_bytes
 from ..operators import audit, blocks, ordering, summarize
-from ..schema import cut_to_schema, enforce_schema, rows_per_block, struct_of
+from ..schema import cut_to_schema, enforce_schema, rows_per_block, schema_from_json, struct_of
 from ..session import work_dir
 from ..sinks import (
     BlockFileSink,
     append_transfer_record,
     copy_files,
     file_manifest,
+    read_transfer_log,
     rows_per_file,
     transfer,
     write_csv_lines,
@@ -109,10 +112,12 @@ _KNOWN_STATS = [c for c in GENERAL_STATS.names if c in d.RUN_STATS]
 
 @query(
     "src9_run_log_scan",
-    f"WITH {d.RUN_STATS_SQL} SELECT " + ", ".join(f'"{c}"' for c in _KNOWN_STATS) + " FROM run_stats",
+    f"WITH {d.RUN_STATS_SQL} SELECT "
+    + ", ".join(f'"{c}"' if c in _KNOWN_STATS else f'NULL AS "{c}"' for c in GENERAL_STATS.names)
+    + " FROM run_stats",
 )
 def run_log_scan(spark, sf_dir):
-    """A general-stats file with all 32 columns; the ones with values are compared."""
+    """A general-stats file with all 32 columns; those the tables here say nothing of are empty."""
     path = work_dir(spark, "general-stats")
     stats = d.run_stats(spark, sf_dir)
     full = stats.select(
@@ -122,7 +127,7 @@ def run_log_scan(spark, sf_dir):
         ]
     )
     full.write.option("header", True).csv(path)
-    return read_run_log(spark, path, GENERAL_STATS).select(*_KNOWN_STATS)
+    return read_run_log(spark, path, GENERAL_STATS)
 
 
 PARTS_SQL = (
@@ -161,7 +166,7 @@ def text_file_parts(spark, sf_dir):
 
 @query("snk1_fixed_csv_line", WITH_LINES + "SELECT line FROM lines")
 def fixed_csv_line(spark, sf_dir):
-    return _lines(d.lineitem(spark, sf_dir))
+    return _lines(enforce_schema(d.lineitem(spark, sf_dir), d.LINEITEM))
 
 
 @query(
@@ -277,9 +282,9 @@ def codecs(spark, sf_dir):
 def transfer_record(spark, sf_dir):
     path = work_dir(spark, "transfer-log")
     record = d.client_timings(spark, sf_dir)
-    append_transfer_record(record.filter("transfer_id % 2 = 0"), path)
-    append_transfer_record(record.filter("transfer_id % 2 = 1"), path)
-    log = spark.read.parquet(path)
+    for part in ("transfer_id % 2 = 0", "transfer_id % 2 = 1", "transfer_id % 2 = 0"):  # the last is a repeated call
+        append_transfer_record(record.filter(part), path)
+    log = read_transfer_log(spark, path)
     return log.select(*CLIENT_TIMINGS.names, F.date_format("transfer_day", "yyyy-MM-dd").alias("transfer_day"))
 
 
@@ -526,3 +531,18 @@ def drop_columns(spark, sf_dir):
 def cut_columns(spark, sf_dir):
     short = struct_of([("c_custkey", "INT", 4), ("c_name", "STRING", 12), ("c_mktsegment", "STRING", 4)])
     return cut_to_schema(d.table(spark, sf_dir, "customer"), short)
+
+
+_SHORT = [("c_custkey", "INT", 4), ("c_name", "STRING", 12), ("c_mktsegment", "CHAR", 1)]
+
+
+@query(
+    "src1_schema_from_json",
+    "SELECT c_custkey, substr(c_name, 1, 12) AS c_name, substr(c_mktsegment, 1, 1) AS c_mktsegment FROM customer",
+)
+def schema_file(spark, sf_dir):
+    """The table in the columns, types and sizes that a schema file names."""
+    path = work_dir(spark, "schema")
+    text = json.dumps([{"name": n, "type": t, "size": s} for n, t, s in _SHORT])
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return enforce_schema(d.table(spark, sf_dir, "customer"), schema_from_json(path, spark))

@@ -84,19 +84,43 @@ def _required(value: Column, name: str, kind: T.DataType) -> Column:
     return F.coalesce(value, F.raise_error(message).cast(kind))
 
 
+def _typed(field: T.StructField) -> Column:
+    """The column in the field's type: text cut to its size, null for a number that does not fit."""
+    value = F.col(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return cut_bytes(value.cast("string"), Attribute(field.name, **field.metadata).bytes)
+    return value.try_cast(field.dataType)
+
+
 def enforce_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Exactly the schema's columns and types, in its order.
 
     A null or a number out of range fails the job instead of travelling on; text is cut to its size.
     """
+    return df.select(
+        *[_required(_typed(f), f.name, f.dataType).alias(f.name, metadata=f.metadata) for f in schema.fields]
+    )
+
+
+def nulls_allowed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The same, but for nulls, which stay; a number out of range still fails the job."""
+    out = []
+    for f in schema.fields:
+        checked = F.when(F.col(f.name).isNotNull(), _required(_typed(f), f.name, f.dataType))
+        out.append(checked.alias(f.name, metadata=f.metadata))
+    return df.select(*out)
+
+
+def narrow_numbers(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Fails on a DOUBLE that prints wider than the width the format reckons with: sign, digits, two decimals, delimiter."""
+    most = 10.0 ** (TEXT_WIDTH["DOUBLE"] - 5)
     out = []
-    for field in schema.fields:
-        value = F.col(field.name)
-        if isinstance(field.dataType, T.StringType):
-            value = cut_bytes(value.cast("string"), Attribute(field.name, **field.metadata).bytes)
-        else:
-            value = value.try_cast(field.dataType)
-        out.append(_required(value, field.name, field.dataType).alias(field.name, metadata=field.metadata))
+    for f in schema.fields:
+        value = F.col(f.name)
+        if isinstance(f.dataType, T.DoubleType):
+            message = F.lit(f"column {f.name}: value is too wide for files of bounded size")
+            value = F.when(F.abs(value) >= most, F.raise_error(message).cast("double")).otherwise(value)
+        out.append(value.alias(f.name, metadata=f.metadata))
     return df.select(*out)
 
 

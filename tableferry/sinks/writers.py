@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..fixed_values import WRITER_CODECS
 from ..functions.fixed_text import csv_line
-from ..schema import enforce_schema, max_text_row
+from ..schema import enforce_schema, max_text_row, narrow_numbers, nulls_allowed
 from ..sources.footers import file_sizes
 from ..sources.tables import LINE_END
 
@@ -45,9 +45,17 @@ def write_csv_lines(
     write_par: int | None = None,
     codec: str = "nocomp",
     max_file_bytes: int | None = None,
+    null_as_empty: bool = False,
 ) -> None:
-    """Fixed CSV text, one file per writer, each at most ``max_file_bytes`` long if given."""
-    writer = _spread(df, write_par).select(csv_line(schema).alias("value")).write.mode("overwrite")
+    """Fixed CSV text, one file per writer, each at most ``max_file_bytes`` long if given.
+
+    As with the other targets a null or a number out of range fails the job; ``null_as_empty`` writes an empty field for a
+    null instead. With a limit on the files' bytes, numbers too wide for the limit to hold fail as well.
+    """
+    typed = nulls_allowed(df, schema) if null_as_empty else enforce_schema(df, schema)
+    if max_file_bytes:
+        typed = narrow_numbers(typed, schema)
+    writer = _spread(typed, write_par).select(csv_line(schema).alias("value")).write.mode("overwrite")
     writer = writer.option("compression", writer_codec(codec, "csv"))
     if max_file_bytes:
         writer = writer.option("maxRecordsPerFile", rows_per_file(schema, max_file_bytes))
@@ -92,12 +100,6 @@ def write_jdbc_table(df: DataFrame, url: str, table: str, write_par: int = 1, ba
     )
 
 
-def append_transfer_record(record: DataFrame, path: str, id_column: str = "transfer_id") -> None:
-    """Append finished transfers to the log, one folder per day of the transfer (epoch seconds id)."""
-    day = F.to_date(F.timestamp_seconds(F.col(id_column)))
-    record.withColumn("transfer_day", day).write.mode("append").partitionBy("transfer_day").parquet(path)
-
-
 def file_manifest(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     """One row per written file: tuples and payload bytes (text, which is read) or file bytes (Parquet, from the footers)."""
     if fmt == "csv":

@@ -25,7 +25,7 @@ def new_files(spark: SparkSession, folder: str, schema: T.StructType, fmt: str,
 def continuous_transfer(rows: DataFrame, schema: T.StructType, fmt: str, path: str, checkpoint: str) -> DataStreamWriter:
     """Stream rows into a CSV or Parquet folder. The file sink's own log makes each file count once."""
     if fmt == "csv":
-        out, kind = rows.select(csv_line(schema).alias("value")), "text"
+        out, kind = enforce_schema(rows, schema).select(csv_line(schema).alias("value")), "text"
     elif fmt == "parquet":
         out, kind = enforce_schema(rows, schema), "parquet"
     else:
