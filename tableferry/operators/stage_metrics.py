@@ -29,12 +29,14 @@ def _wide(condition: Column, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, value.cast(_WIDE))), F.lit(0)).cast("decimal(38,0)")
 
 
+def chunk_of(seq: str, chunk_rows: int) -> Column:
+    return F.floor(F.col(seq) / F.lit(chunk_rows)).cast("bigint")
+
+
 def chunk_summaries(log: DataFrame, chunk_rows: int = CHUNK_ROWS, keys: Sequence[str] = THREAD) -> DataFrame:
     """One row per thread and chunk of at most ``chunk_rows`` log rows. One shuffle of the log."""
     ts, event = F.col("ts_us"), F.col("event")
-    chunked = log.select(*keys, "event", "ts_us", "seq").withColumn(
-        "chunk", F.floor(F.col("seq") / F.lit(chunk_rows)).cast("bigint")
-    )
+    chunked = log.select(*keys, "event", "ts_us", "seq", chunk_of("seq", chunk_rows).alias("chunk"))
     before = (
         Window.partitionBy(*keys, "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -7,9 +7,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.fixed_text import csv_line
-from ..operators.dedup import append_new
 from ..schema import enforce_schema
 from ..sources.tables import PLAIN_CSV, filled_text
+from .seen import UnseenRows
 
 
 def new_files(spark: SparkSession, folder: str, schema: T.StructType, fmt: str, per_batch: int | None = None) -> DataFrame:
@@ -39,20 +39,9 @@ def continuous_transfer(rows: DataFrame, schema: T.StructType, fmt: str, path: s
 
 
 def append_unseen(rows: DataFrame, id_column: str, path: str, checkpoint: str, schema: T.StructType) -> DataStreamWriter:
-    """Append rows whose id no earlier batch stored.
-
-    Each batch has its own folder, which a repeated batch replaces; ids are compared with the
-    folders of earlier batches only, so a repeat gives the same rows.
-    """
+    """Append rows whose id (epoch seconds) no earlier batch stored, to the store that ``UnseenRows(...).rows()`` reads."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id:
-            with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-            earlier = spark.read.schema(with_batch).parquet(path).filter(f"batch_id < {batch_id}")
-        else:
-            earlier = spark.createDataFrame([], schema)
-        fresh = append_new(earlier, batch, id_column, unique_in_batch=True)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        UnseenRows(batch.sparkSession, path, schema, id_column).append(batch, batch_id)
 
     return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)

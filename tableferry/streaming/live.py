@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.stage_metrics import CHUNK_ROWS, THREAD, chunk_summaries, combine_summaries
+from ..operators.stage_metrics import CHUNK_ROWS, THREAD, chunk_of, chunk_summaries, combine_summaries
 
 BATCH = "batch_id"
 
@@ -73,32 +73,40 @@ def current_state(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFr
 def running_stage_metrics(
     log: DataFrame, path: str, checkpoint: str, chunk_rows: int = CHUNK_ROWS, keys: Sequence[str] = THREAD
 ) -> DataStreamWriter:
-    """Fold each micro-batch of the event log into per-thread chunk rows below ``batch_id=<n>``.
+    """Fold each micro-batch of the event log into per-thread chunk rows, below ``path/chunks/batch_id=<n>``.
 
     The rows carry the last push, pop and start, so waiting and processing stay exact across
     batches without any keyed state: a thread's new events are folded where they are, however many.
-    A repeated batch replaces its own folder.
+    The batch's events are kept beside them, in order of their chunks, for chunks that batches share. A repeated
+    batch replaces its own folders.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        summary = chunk_summaries(batch, chunk_rows, keys)
-        summary.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        events = batch.select(*keys, "event", "ts_us", "seq").withColumn("chunk", chunk_of("seq", chunk_rows))
+        kept = f"{path}/events/{BATCH}={batch_id}"
+        events.sortWithinPartitions("chunk").write.mode("overwrite").parquet(kept)
+        stored = batch.sparkSession.read.schema(events.schema).parquet(kept)
+        chunk_summaries(stored, chunk_rows, keys).write.mode("overwrite").parquet(f"{path}/chunks/{BATCH}={batch_id}")
 
     return log.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", checkpoint)
 
 
-def stage_metrics_so_far(spark: SparkSession, path: str, keys: Sequence[str] = THREAD) -> DataFrame:
-    """Per-thread metrics of everything streamed so far.
+def stage_metrics_so_far(
+    spark: SparkSession, path: str, chunk_rows: int = CHUNK_ROWS, keys: Sequence[str] = THREAD
+) -> DataFrame:
+    """Per-thread metrics of everything streamed so far, whatever order and interleaving the events came in.
 
-    Chunk rows are put in log order, so files may arrive in any order as long as each holds a run
-    of the log of its own. Runs of one thread that overlap cannot be put in order any more: they
-    fail the job instead of giving wrong sums.
+    Rows of one thread and chunk whose runs overlap cannot be put in order: these chunks alone are folded again, from
+    the events that were kept. All other rows count as they are, in log order.
     """
-    chunks = spark.read.parquet(path)
-    before = Window.partitionBy(*keys).orderBy("first_seq").rowsBetween(Window.unboundedPreceding, -1)
-    message = F.lit("two micro-batches hold overlapping runs of one thread's log")
-    apart = F.when(F.max("last_seq").over(before) >= F.col("first_seq"), F.raise_error(message)).otherwise(F.col("first_seq"))
-    return combine_summaries(chunks.withColumn("first_seq", apart), keys, ("first_seq",))
+    chunks = spark.read.parquet(f"{path}/chunks").drop(BATCH)
+    unit = [*keys, "chunk"]
+    before = Window.partitionBy(*unit).orderBy("first_seq").rowsBetween(Window.unboundedPreceding, -1)
+    mixed = chunks.select(*unit, "first_seq", F.max("last_seq").over(before).alias("until"))
+    mixed = mixed.filter(F.col("until") >= F.col("first_seq")).select(*unit).distinct()
+    events = spark.read.parquet(f"{path}/events").drop(BATCH).join(mixed, unit, "left_semi")
+    refolded = chunk_summaries(events, chunk_rows, keys)
+    return combine_summaries(chunks.join(mixed, unit, "left_anti").unionByName(refolded), keys, ("first_seq",))
 
 
 def running_progress(log: DataFrame, keys: Sequence[str] = ("transfer_id",)) -> DataFrame:
