@@ -1,6 +1,6 @@
 """BPE ids and texts through a table of distinct words.
 
-Texts are split into words in the JVM, at white space and between an ASCII letter and a following ASCII
+Texts are split into words in the JVM, at white space and between a Latin letter and a following ASCII
 mark or digit. A vocabulary of this kind drops white space and never merges across those places, so
 a word's ids do not depend on its neighbours, and each distinct word of the whole corpus is encoded
 once. Words are then exchanged for their ids by position:
@@ -48,6 +48,7 @@ from .text import BLANK, fresh
 BLOCK_BYTES = 64 << 20  # of words, before a block ends
 ROWS_AT_ONCE = 1_000  # documents whose ids are put together at once
 NORMALIZERS = ("NFC", "Replace", "Lowercase")  # fixed values: kinds that never look across white space
+LATIN = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F"  # letters that stay letters in lower case (U+0130 does not)
 _ASCII_MARKS = [chr(c) for c in range(33, 127) if not chr(c).isalpha()]
 
 
@@ -81,7 +82,7 @@ class Vocabulary:
         """Where words end. Marks that occur in added tokens end none, so that no token's name is cut."""
         named = set("".join(self.added))
         marks = "".join(f"\\x{ord(c):02X}" for c in _ASCII_MARKS if c not in named)
-        return f"{BLANK}|(?<=[A-Za-z])(?=[{marks}])"
+        return f"{BLANK}|(?<=[{LATIN}])(?=[{marks}])"
 
     def ids(self, words: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
@@ -97,6 +98,29 @@ def _open(location: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(location) if "://" in location else (fs.LocalFileSystem(), location)
 
 
+def packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as bytes, seven bits in each and the low ones first, and where each number ends."""
+    sizes = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(sizes)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+    for k in range(5):
+        own = sizes > k
+        more = np.where(sizes[own] > k + 1, 128, 0)
+        out[ends[own] - sizes[own] + k] = numbers[own] >> 7 * k & 127 | more
+    return out, ends
+
+
+def unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of ``packed`` bytes, and where each ends."""
+    ends = np.flatnonzero(data < 128) + 1
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    out = np.zeros(len(ends), np.int64)
+    for k in range(5):
+        own = starts + k < ends
+        out[own] |= (data[starts[own] + k].astype(np.int64) & 127) << 7 * k
+    return out, ends
+
+
 class _Block:
     """Documents on their way into a block: the numbers of their words, and the distinct words so far."""
 
@@ -132,12 +156,13 @@ class _Block:
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        schema = pa.schema([pa.field("row", self.parts[0][0].type), pa.field("words", pa.list_(pa.int32()))])
-        how = {"compression": "zstd", "use_dictionary": ["row"], "column_encoding": {"words.list.element": "BYTE_STREAM_SPLIT"}}
-        with pq.ParquetWriter(out, schema, **how) as sink:
+        schema = pa.schema([pa.field("row", self.parts[0][0].type), pa.field("words", pa.binary())])
+        with pq.ParquetWriter(out, schema, compression="zstd", use_dictionary=["row"]) as sink:
             for row, ends, numbers in self.parts:
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(rank[numbers], pa.int32()))
-                sink.write_table(pa.Table.from_arrays([row, lists], schema=schema))
+                data, until = packed(rank[numbers].astype(np.int64))
+                bounds = np.concatenate([[0], until])[ends].astype(np.int32)
+                coded = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+                sink.write_table(pa.Table.from_arrays([row, coded], schema=schema))
         words = list(self.known)
         return [words[i] for i in order.tolist()]
 
@@ -189,14 +214,17 @@ def _placed(location: str, kind: str):
             table = pq.read_table(source).combine_chunks()
         for at in range(0, table.num_rows, ROWS_AT_ONCE):
             some = table.slice(at, ROWS_AT_ONCE)
-            words = some.column("words").combine_chunks()
-            numbers, bounds = np.asarray(words.flatten()), np.asarray(words.offsets)
+            coded = some.column("words").combine_chunks()
+            bounds = np.frombuffer(coded.buffers()[1], np.int32)[coded.offset : coded.offset + len(coded) + 1]
+            data = np.frombuffer(coded.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+            numbers, ends = unpacked(data)
+            bounds = np.searchsorted(ends, bounds - bounds[0], "right")  # of each document's words
             own = sizes[numbers]
             until = np.concatenate([[0], np.cumsum(own, dtype=np.int64)])
             # where each id lies: the word's first, and how far the id is behind it
             spots = np.repeat(starts[numbers] - until[:-1], own) + np.arange(until[-1])
             values = pa.array(flat[spots].astype(np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(until[bounds - bounds[0]].astype(np.int32)), values)
+            lists = pa.ListArray.from_arrays(pa.array(until[bounds].astype(np.int32)), values)
             yield pa.RecordBatch.from_arrays([some.column("row").combine_chunks(), lists], ["row", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

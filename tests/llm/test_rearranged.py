@@ -173,7 +173,7 @@ def words():
     return tokenizer_file("word_bpe_49k.json")
 
 
-PARTS = ["a", "B", "the", "The", "'s", "'LL", " ", "  ", "\n", "é", "é", "H̱", "ẖ", "İ", "İ", "Σ", "ς", "K", "漢", "😀",
+PARTS = ["a", "B", "é,", "İ,", "Ö!", "ǅ.", "÷,", "×1", "the", "The", "'s", "'LL", " ", "  ", "\n", "é", "é", "H̱", "ẖ", "İ", "İ", "Σ", "ς", "K", "漢", "😀",
          ".", ",", "1", "23", "½", "\x1c", "\x85", " ", "　", "​", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|",
          "|>", "<", "=", "̸", "-", "_", "ä", "\x00", "ſ", "ﬁ", "x-y", "\t", "word7"]
 
@@ -198,6 +198,14 @@ def test_word_ids_are_those_of_the_library(spark, words, monkeypatch, size):
     assert sorted(((r.doc_id, r.ids, r.back) for r in found.collect()), key=repr) == _ids(words, rows)
 
 
+def test_packed_numbers():
+    numbers = np.array([0, 1, 127, 128, 16_383, 16_384, 2**21 - 1, 2**21, 2**28 - 1, 2**28, 2**31 - 1], np.int64)
+    for own in (numbers, numbers[::-1], numbers[:0]):
+        data, ends = bpe.packed(own)
+        found, until = bpe.unpacked(data)
+        assert found.tolist() == own.tolist() and until.tolist() == ends.tolist()
+
+
 def test_each_distinct_word_is_encoded_once(spark, words):
     """The words' exchange is one, shared by the distinct words and the way back, and nothing is multiplied."""
     docs = spark.createDataFrame([(i, "one two three") for i in range(50)], "doc_id long, text string")
