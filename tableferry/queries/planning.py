@@ -202,22 +202,30 @@ _ENV_NAME_SQL = d.pick("o_custkey % 7", *_NAMES, "unknown")
 _SIZE_SQL = "CASE env_name " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in ENVIRONMENT_SIZES.items()) + " END"
 
 
+_LEAST_SQL = "least(" + ", ".join(f"nullif({s}_rate, 0)" for s in STAGES) + ")"
+
+
 @query(
     "pln10_predicted_vs_actual",
-    f"WITH r AS (SELECT {_ENV_NAME_SQL} AS env_name, o_orderpriority AS optimizer, CAST(ROUND(o_totalprice * 100) AS BIGINT) "
-    "// 1000 / 64.0 AS runtime, CAST(1 + o_orderkey % 500 AS DOUBLE) AS estimated FROM orders), "
+    WITH_RATES + f", rated AS (SELECT r.date, {_RATE_COLUMNS} FROM run_stats r JOIN base_rates b USING ({KEYS_SQL})), "
+    f"r AS (SELECT {_ENV_NAME_SQL} AS env_name, o_orderpriority AS optimizer, CAST(ROUND(o_totalprice * 100) AS BIGINT) "
+    f"// 1000 / 64.0 AS runtime, {_LEAST_SQL} AS estimated FROM orders JOIN rated ON o_orderkey = date), "
     f"t AS (SELECT *, {_SIZE_SQL} / runtime AS real FROM r) SELECT env_name, optimizer, "
     "round(avg(abs(estimated - real) / real * 100), 6) AS mape, round(sqrt(avg((real - estimated) ** 2)), 6) AS rmse "
     "FROM t GROUP BY 1, 2",
 )
 def predicted_vs_actual(spark, sf_dir):
-    runs = d.table(spark, sf_dir, "orders").select(
+    """The throughput that the base rates promise for each recorded configuration, against what its run time says."""
+    runs = d.run_stats(spark, sf_dir).select("date", *KEYS, *[f"{s}_par" for s in STAGES])
+    promised = rules.config_throughput(runs.join(_rates(spark, sf_dir), list(KEYS))).select("date", "throughput")
+    orders = d.table(spark, sf_dir, "orders")
+    measured = orders.join(promised, orders["o_orderkey"] == promised["date"]).select(
         F.expr(_ENV_NAME_SQL).alias("env_name"),
         F.col("o_orderpriority").alias("optimizer"),
         F.expr(f"({d.CENTS} div 1000) / 64.0D").alias("runtime"),
-        (1 + F.col("o_orderkey") % 500).cast("double").alias("estimated"),
+        F.col("throughput").alias("estimated"),
     )
-    errors = report.optimizer_report(runs, ENVIRONMENT_SIZES, ["env_name", "optimizer"])
+    errors = report.optimizer_report(measured, ENVIRONMENT_SIZES, ["env_name", "optimizer"])
     return errors.withColumns({"mape": F.round("mape", 6), "rmse": F.round("rmse", 6)})
 
 

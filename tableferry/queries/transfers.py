@@ -34,6 +34,7 @@ from ..sources import (
     read_timing_files,
     split_text_file,
 )
+from ..storage import qualified
 from . import derived as d
 from .registry import query
 
@@ -67,7 +68,7 @@ def _parquet_copy(spark: SparkSession, sf_dir: str) -> str:
 def _arrow_copy(spark: SparkSession, sf_dir: str) -> str:
     path = work_dir(spark, "lineitem-arrow")
     spark.dataSource.register(BlockFileSink)
-    d.lineitem(spark, sf_dir).write.format("block_files").mode("append").save(path)
+    d.lineitem(spark, sf_dir).write.format("block_files").mode("append").save(qualified(spark, path))
     return path
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -29,16 +31,46 @@ def build_session(app: str = "tableferry", master: str | None = None, **conf: st
     return spark
 
 
+# Shared folders of sessions without a setting, and the owners of what is written now, by application.
+_ROOTS: dict[str, str] = {}
+_OWNERS: dict[str, list[str]] = {}
+
+
+def _shared_root(spark: SparkSession) -> str:
+    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root
+    application = spark.sparkContext.applicationId
+    if application not in _ROOTS:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors can reach")
+        _ROOTS[application] = tempfile.mkdtemp(prefix="tableferry-")
+    return _ROOTS[application]
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a temporary folder: on a cluster the executors
-    would not see it, so there the setting is required.
+    would not see it, so there the setting is required. Inside ``scratch`` the folder belongs to it.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors can reach")
-        root = tempfile.mkdtemp(prefix="tableferry-")
-        spark.conf.set(CHECKPOINT_KEY, root)
+    owners = _OWNERS.get(spark.sparkContext.applicationId)
+    root = owners[-1] if owners else _shared_root(spark)
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex[:12]}")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables that operators write between their steps inside the block are deleted at its end.
+
+    Results must be used, or written elsewhere, before that: they read these tables.
+    """
+    owner = os.path.join(_shared_root(spark), f"scratch-{uuid.uuid4().hex[:12]}")
+    owners = _OWNERS.setdefault(spark.sparkContext.applicationId, [])
+    owners.append(owner)
+    try:
+        yield owner
+    finally:
+        owners.remove(owner)
+        location = spark._jvm.org.apache.hadoop.fs.Path(owner)
+        location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)

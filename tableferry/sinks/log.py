@@ -13,6 +13,7 @@ import uuid
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.audit import LANES, ROW, fingerprint
 from ..storage import list_files, open_store, qualified
@@ -79,7 +80,8 @@ def append_transfer_record(record: DataFrame, path: str, id_column: str = "trans
     day = F.to_date(F.timestamp_seconds(F.col(id_column)))
     record.withColumn("transfer_day", day).write.partitionBy("transfer_day").parquet(f"{location}/{folder}")
     try:
-        staged = spark.read.schema(record.schema.add("transfer_day", "date")).parquet(f"{location}/{folder}")
+        staged = spark.read.schema(T.StructType([*record.schema.fields, T.StructField("transfer_day", T.DateType())]))
+        staged = staged.parquet(f"{location}/{folder}")
         if batch_id is None:
             whole = fingerprint(staged).filter(F.col("column") == ROW).first()
             batch_id = "-".join(f"{whole[n]:x}" for n in ("rows", *LANES)) if whole else "empty"

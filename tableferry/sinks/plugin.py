@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,43 +12,41 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..storage import open_store, publish
+
 MAX_FILE_BYTES = 64 << 20
 
 
 @dataclass
-class BlockFiles(WriterCommitMessage):
-    names: list[str]
+class TaskFolder(WriterCommitMessage):
+    """The folder of one task's attempt, with as many files as its rows needed."""
+
+    name: str
     rows: int
 
 
 class BlockFileWriter(DataSourceArrowWriter):
     """Arrow IPC files of bounded size.
 
-    A task writes below a ``_staging`` folder of the job under names of its own, so a lost or repeated task leaves
-    nothing behind that counts; only the files of committed tasks are moved into place. A file is
-    closed once it holds ``max_file_bytes``, because a reader takes each file whole.
+    A task's attempt writes to a folder of its own, at once under the files' final names. The job is committed by one
+    manifest that names the folders of the attempts that count; readers follow the manifests, so nothing that a
+    lost, repeated or failed task left behind is seen, and the driver touches no data file.
     """
 
     def __init__(self, location: str, schema, max_file_bytes: int) -> None:
         self.location = location
         self.arrow_schema = to_arrow_schema(schema)
         self.max_file_bytes = max_file_bytes
-        self.staging = f"_staging-{uuid.uuid4().hex}"  # of this job alone; other jobs may write beside it
-
-    def _open(self) -> tuple[fs.FileSystem, str]:
-        if "://" in self.location:
-            return fs.FileSystem.from_uri(self.location)
-        return fs.LocalFileSystem(), os.path.abspath(self.location)
+        self.job = f"job-{uuid.uuid4().hex}"  # of this job alone; other jobs may write beside it
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> BlockFiles:
-        filesystem, root = self._open()
-        filesystem.create_dir(f"{root}/{self.staging}", recursive=True)
-        done = BlockFiles([], 0)
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> TaskFolder:
+        filesystem, root = open_store(self.location)
+        done = TaskFolder(f"{self.job}/task-{uuid.uuid4().hex}", 0)
+        filesystem.create_dir(f"{root}/{done.name}", recursive=True)
         batches = (batch.cast(self.arrow_schema) for batch in iterator)
-        for first in batches:
-            name = f"part-{uuid.uuid4().hex}.arrow"
+        for number, first in enumerate(batches):
             with (
-                filesystem.open_output_stream(f"{root}/{self.staging}/{name}") as out,
+                filesystem.open_output_stream(f"{root}/{done.name}/part-{number:05d}.arrow") as out,
                 pa.ipc.new_file(out, self.arrow_schema) as sink,
             ):
                 size = 0
@@ -59,27 +56,23 @@ class BlockFileWriter(DataSourceArrowWriter):
                     size += batch.nbytes
                     if size >= self.max_file_bytes:
                         break
-            done.names.append(name)
         return done
 
-    def commit(self, messages: list[BlockFiles | None]) -> None:
-        filesystem, root = self._open()
-        for done in filter(None, messages):
-            for name in done.names:
-                filesystem.move(f"{root}/{self.staging}/{name}", f"{root}/{name}")
-        self._drop_staging(filesystem, root)
+    def commit(self, messages: list[TaskFolder | None]) -> None:
+        folders = [done.name for done in messages if done is not None and done.rows]
+        publish(self.location, self.job, folders)
 
-    def abort(self, messages: list[BlockFiles | None]) -> None:
-        self._drop_staging(*self._open())
-
-    def _drop_staging(self, filesystem: fs.FileSystem, root: str) -> None:
-        staging = f"{root}/{self.staging}"
-        if filesystem.get_file_info(staging).type == fs.FileType.Directory:
-            filesystem.delete_dir(staging)
+    def abort(self, messages: list[TaskFolder | None]) -> None:
+        filesystem, root = open_store(self.location)
+        if filesystem.get_file_info(f"{root}/{self.job}").type == fs.FileType.Directory:
+            filesystem.delete_dir(f"{root}/{self.job}")
 
 
 class BlockFileSink(DataSource):
-    """``df.write.format("block_files").save(path)`` after ``spark.dataSource.register(BlockFileSink)``."""
+    """``df.write.format("block_files").save(location)`` after ``spark.dataSource.register(BlockFileSink)``.
+
+    The location must name its file system (``storage.qualified`` does): a bare path would be each executor's own disk.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -88,5 +81,6 @@ class BlockFileSink(DataSource):
     def writer(self, schema, overwrite: bool) -> BlockFileWriter:
         if overwrite:
             raise ValueError("block_files only appends; write to a new folder instead")
+        open_store(self.options["path"])  # refuses a bare path
         limit = int(self.options.get("max_file_bytes", MAX_FILE_BYTES))
         return BlockFileWriter(self.options["path"], schema, limit)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..schema import enforce_schema
 from ..sources.arrow_files import read_arrow_files
 from ..sources.tables import read_csv_table, read_delimited, read_jdbc_table, read_parquet_table
+from ..storage import qualified
 from .writers import copy_files, file_manifest, write_csv_lines, write_jdbc_table, write_parquet_table
 
 # Options a transfer accepts, with their defaults.
@@ -91,7 +92,7 @@ def transfer(
             placed = {"path": opts["table_path"]} if opts["table_path"] else {}
             df.write.mode("overwrite").options(**placed).saveAsTable(dst)
         else:
-            df.write.format(dst_fmt).mode("append").save(dst)
+            df.write.format(dst_fmt).mode("append").save(qualified(spark, dst))
         manifest = spark.createDataFrame(
             [(table, written.get["tuples"], None)], "file string, tuples bigint, bytes bigint"
         )

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..storage import list_files, open_store, qualified
+from ..storage import list_committed, open_store, qualified
 
 PART_BYTES = 64 << 20  # of a file, read by one task
 
@@ -48,7 +48,7 @@ class ArrowFileReader(DataSourceReader):
 
     def partitions(self) -> list[BatchRange]:
         out = []
-        for file, size in list_files(self.location):
+        for file, size in list_committed(self.location):
             parts = max(1, -(-size // self.part_bytes))
             out += [BatchRange(file, part, parts) for part in range(parts)]
         return out or [BatchRange("", 0, 0)]

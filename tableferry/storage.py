@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import posixpath
+import uuid
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -36,3 +38,31 @@ def list_files(location: str) -> list[tuple[str, int]]:
         return not any(part.startswith(("_", ".")) for part in posixpath.relpath(path, root).split("/") if part != ".")
 
     return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and shown(f.path))
+
+
+COMMITTED = "_committed"
+
+
+def publish(location: str, name: str, folders: list[str]) -> None:
+    """Makes the files in ``folders`` below ``location`` count, all at once: the manifest appears as a whole."""
+    store, root = open_store(location)
+    store.create_dir(f"{root}/{COMMITTED}", recursive=True)
+    hidden = f"{root}/{COMMITTED}/.{uuid.uuid4().hex}"
+    with store.open_output_stream(hidden) as out:
+        out.write(json.dumps(folders).encode())
+    store.move(hidden, f"{root}/{COMMITTED}/{name}.json")
+
+
+def list_committed(location: str) -> list[tuple[str, int]]:
+    """The files that count: those in folders a manifest names, or all where nothing was ever published."""
+    location = location.rstrip("/")
+    store, root = open_store(location)
+    if store.get_file_info(f"{root}/{COMMITTED}").type != fs.FileType.Directory:
+        return list_files(location)
+    out = []
+    for file, _ in list_files(f"{location}/{COMMITTED}"):
+        own, path = open_store(file)
+        with own.open_input_stream(path) as source:
+            for folder in json.loads(source.read()):
+                out += list_files(f"{location}/{folder}")
+    return sorted(out)

@@ -14,6 +14,7 @@ from tableferry.sinks.plugin import BlockFileWriter
 from tableferry.sinks.writers import copy_files
 from tableferry.sources import SERVER_TIMINGS, read_timing_files, split_text_file
 from tableferry.sources.runlogs import rejected_timing_lines
+from tableferry.storage import list_committed, qualified
 from tableferry.streaming import live
 
 
@@ -50,32 +51,35 @@ def test_rejected_timing_lines_are_told(spark, tmp_path):
     assert {r.source_file for r in told} == {"a_server_timings.csv"}
 
 
-def test_jobs_do_not_touch_each_others_staged_files(spark, tmp_path):
-    schema = spark.range(1).schema
-    first, second = (BlockFileWriter(str(tmp_path), schema, 1 << 20) for _ in range(2))
+def test_jobs_do_not_touch_each_others_files(spark, tmp_path):
     import pyarrow as pa
 
-    staged = first.write(iter([pa.record_batch({"id": [1, 2]}, pa.schema([pa.field("id", pa.int64(), False)]))]))
-    second.abort([])
-    first.commit([staged])
-    assert [n for n in os.listdir(tmp_path) if n.endswith(".arrow")] == staged.names
+    schema, location = spark.range(1).schema, qualified(spark, str(tmp_path))
+    first, second = (BlockFileWriter(location, schema, 1 << 20) for _ in range(2))
 
+    def written(writer):
+        return writer.write(iter([pa.record_batch({"id": [1, 2]}, pa.schema([pa.field("id", pa.int64(), False)]))]))
 
-def test_overlapping_runs_of_a_thread_are_refused(spark):
+    staged, lost, other = written(first), written(first), written(second)
+    second.abort([other])
+    assert list_committed(location) != []  # nothing was published yet: every file there is
+    first.commit([staged, None])
+    assert [f for f, _ in list_committed(location)] == [f"{location}/{staged.name}/part-00000.arrow"]
+    assert os.path.exists(f"{tmp_path}/{lost.name}") and not os.path.exists(f"{tmp_path}/{second.job}")
+
+
+def test_batches_of_one_thread_may_come_apart_or_mixed(spark):
     log = "transfer_id long, component string, thread int, event string, ts_us long, seq long"
     rows = [(1, "rcv", 0, e, t * 1000, s) for s, (e, t) in enumerate([("start", 0), ("pop", 5), ("push", 9), ("pop", 12), ("push", 20), ("end", 21)])]
-    from tableferry.operators.stage_metrics import chunk_summaries
+    from tableferry.operators.stage_metrics import chunk_of, chunk_summaries
 
-    for name, parts in (("apart", (rows[:3], rows[3:])), ("mixed", (rows[::2], rows[1::2]))):
-        path = work_dir(spark, f"runs-{name}")
+    for parts in ((rows[:3], rows[3:]), (rows[::2], rows[1::2])):
+        path = work_dir(spark, "runs")
         for i, part in enumerate(parts):
-            chunk_summaries(spark.createDataFrame(part, log)).write.parquet(f"{path}/batch_id={i}")
-        so_far = live.stage_metrics_so_far(spark, path)
-        if name == "apart":
-            assert so_far.first().waiting_ms == 8
-        else:
-            with pytest.raises(Exception, match="overlapping runs"):
-                so_far.collect()
+            events = spark.createDataFrame(part, log).withColumn("chunk", chunk_of("seq", 10))
+            events.write.parquet(f"{path}/events/batch_id={i}")
+            chunk_summaries(events, 10).write.parquet(f"{path}/chunks/batch_id={i}")
+        assert live.stage_metrics_so_far(spark, path, 10).first().waiting_ms == 8
 
 
 def test_no_plan_without_a_bound(spark):

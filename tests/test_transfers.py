@@ -10,8 +10,19 @@ from tableferry import struct_of, work_dir
 from tableferry.functions.fixed_text import csv_line
 from tableferry.operators import audit, blocks
 from tableferry.operators.ranking import latest_record
-from tableferry.sinks import BlockFileSink, copy_files, rows_per_file, transfer, write_csv_lines, writer_codec
+from tableferry.sinks import (
+    BlockFileSink,
+    RejectedBatch,
+    append_transfer_record,
+    copy_files,
+    read_transfer_log,
+    rows_per_file,
+    transfer,
+    write_csv_lines,
+    writer_codec,
+)
 from tableferry.sources import jdbc_options, read_arrow_files, read_csv_table, read_timing_files, split_text_file
+from tableferry.storage import list_committed, qualified
 
 SCHEMA = struct_of([("k", "INT", 4), ("x", "DOUBLE", 8), ("f", "CHAR", 1), ("s", "STRING", 6)])
 
@@ -120,26 +131,115 @@ def test_unsupported_arrow_type_is_an_error(spark, tmp_path):
 
 def test_plugin_keeps_committed_files_only(spark, rows):
     spark.dataSource.register(BlockFileSink)
-    path = work_dir(spark, "plugin")
-    rows.repartition(3).write.format("block_files").mode("append").save(path)
-    assert not os.path.exists(f"{path}/_staging")
-    assert read_arrow_files(spark, path, SCHEMA).count() == 300
+    path = qualified(spark, work_dir(spark, "plugin"))
+    for _ in range(2):
+        rows.repartition(3).write.format("block_files").mode("append").save(path)
+    assert read_arrow_files(spark, path, SCHEMA).count() == 600
 
-    small = work_dir(spark, "plugin")
+    small = qualified(spark, work_dir(spark, "plugin"))
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     try:
         rows.coalesce(1).write.format("block_files").option("max_file_bytes", 1).mode("append").save(small)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert len(glob.glob(f"{small}/*.arrow")) >= 6
+    assert len(list_committed(small)) >= 6
     assert read_arrow_files(spark, small, SCHEMA).count() == 300
 
     failing = rows.repartition(3).withColumn("k", F.when(F.col("k") == 299, F.raise_error(F.lit("boom"))).otherwise(F.col("k")))
-    broken = work_dir(spark, "plugin")
     with pytest.raises(Exception, match="boom"):
-        failing.select(F.col("k").cast("int"), "x", "f", "s").write.format("block_files").mode("append").save(broken)
-    assert not glob.glob(f"{broken}/*.arrow")
+        failing.select(F.col("k").cast("int"), "x", "f", "s").write.format("block_files").mode("append").save(path)
+    assert read_arrow_files(spark, path, SCHEMA).count() == 600
+
+    with pytest.raises(Exception, match="names no file system"):
+        rows.write.format("block_files").mode("append").save("/bare/path")
+
+
+def test_csv_refuses_nulls_and_numbers_out_of_range(spark):
+    schema = struct_of([("a", "INT", 4), ("x", "DOUBLE", 8)])
+    for bad in ((None, 1.0), (3_000_000_000, 1.0)):
+        with pytest.raises(Exception, match="column a: value is null or does not fit"):
+            write_csv_lines(spark.createDataFrame([bad], "a long, x double"), work_dir(spark, "csv"), schema)
+    path = work_dir(spark, "csv")
+    write_csv_lines(spark.createDataFrame([(None, 1.0)], "a long, x double"), path, schema, null_as_empty=True)
+    assert lines(spark, path) == [",1.00"]
+    wide = spark.createDataFrame([(1, 1e19)], "a int, x double")
+    write_csv_lines(wide, work_dir(spark, "csv"), schema)
+    with pytest.raises(Exception, match="too wide"):
+        write_csv_lines(wide, work_dir(spark, "csv"), schema, max_file_bytes=1_000)
+    long = spark.createDataFrame([(-(2**31), -9999999999999999999.0 / 1.001)] * 40, "a int, x double")
+    write_csv_lines(long, path, schema, max_file_bytes=100)
+    assert all(os.path.getsize(f) <= 100 for f in glob.glob(f"{path}/part-*"))
+
+
+def test_the_transfer_log_keeps_one_copy(spark):
+    path = work_dir(spark, "log")
+    record = spark.createDataFrame([(10, 1.5), (90_000, 2.5)], "transfer_id long, total_time double")
+    with pytest.raises(FileNotFoundError):
+        read_transfer_log(spark, path)
+    assert append_transfer_record(record, path)
+    assert not append_transfer_record(record.orderBy(F.desc("transfer_id")), path)  # the same rows again
+    later = spark.createDataFrame([(90_001, 3.0)], "transfer_id long, total_time double")
+    assert append_transfer_record(later, path, batch_id="b2") and not append_transfer_record(later, path, batch_id="b2")
+    for bad in ([(90_001, 9.0), (5, 1.0)], [(6, 1.0), (6, 2.0)], [(None, 1.0)]):
+        with pytest.raises(RejectedBatch):
+            append_transfer_record(spark.createDataFrame(bad, record.schema), path)
+    assert not append_transfer_record(record.limit(0), path)
+    found = sorted((r.transfer_id, r.total_time, str(r.transfer_day)) for r in read_transfer_log(spark, path).collect())
+    assert found == [(10, 1.5, "1970-01-01"), (90_000, 2.5, "1970-01-02"), (90_001, 3.0, "1970-01-02")]
+    assert len(glob.glob(f"{path}/batch=*")) == 2
+
+
+def test_fingerprints_add_up(spark, rows):
+    whole = {r.column: r for r in audit.fingerprint(rows).collect()}
+    parts = audit.merged(audit.fingerprint(rows.filter("k < 50")), audit.fingerprint(rows.filter("k >= 50")))
+    assert {r.column: r for r in parts.collect()} == whole
+    path = work_dir(spark, "table")
+    rows.filter("k < 50").write.parquet(path)
+    kept = audit.keep_fingerprint(spark.read.parquet(path), path)
+    rows.filter("k >= 50").write.mode("append").parquet(path)
+    now = audit.merged(kept, audit.fingerprint(rows.filter("k >= 50")))
+    assert spark.read.parquet(path).count() == 300  # what is kept beside the table is no row of it
+    checked = audit.compared(now, {"a": audit.fingerprint(rows), "b": kept}).collect()
+    assert {(r.copy, r.accepted) for r in checked} == {("a", True), ("b", False)}
+
+
+def test_many_copies_are_compared_with_one_reading(spark, rows):
+    empty = rows.limit(0)
+    found = audit.verify_copies(rows, {"same": rows.repartition(2), "none": empty, "other": rows.withColumn("x", F.col("x") + 1)})
+    told = {(r.copy, r.column): (r.rows_a, r.rows_b, r.same_values, r.accepted) for r in found.collect()}
+    assert len(told) == 12 and all(told["same", c] == (300, 300, True, True) for c in rows.columns)
+    assert all(told["none", c][1:] == (0, False, False) for c in rows.columns)
+    assert told["other", "x"][2] is False and told["other", "k"][2] is True and not told["other", "k"][3]
+    assert all(r.accepted for r in audit.verify_copies(empty, {"e": empty}).collect())
+
+
+def test_split_is_saved_by_one_job(spark, rows):
+    from tableferry.operators.select import save_split
+
+    holes = rows.withColumn("x", F.when(F.col("k") % 5 != 0, F.col("x")))
+    path = work_dir(spark, "split")
+    kept, rejected = save_split(holes, F.col("x") > 3, path)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, holes.filter("x > 3").collect()))
+    assert rejected.count() == 300 - kept.count() and kept.columns == holes.columns
+    assert {os.path.basename(p) for p in glob.glob(f"{path}/_kept=*")} == {"_kept=true", "_kept=false"}
+
+
+def test_ceilings_follow_the_mode(spark):
+    from tableferry.functions.labels import strict_lookup
+    from tableferry.plans.rules import with_ceilings
+
+    pairs = spark.createDataFrame([("csv", "csv"), ("csv", "postgres"), ("x", "y")], "target_system string, source_system string")
+
+    def found(df):
+        return {(r.target_system, r.source_system): (r.read_ceiling, r.write_ceiling) for r in df.collect()}
+
+    assert found(with_ceilings(pairs)) == {("csv", "csv"): (5000, 3000), ("csv", "postgres"): (1000, 1400), ("x", "y"): (None, None)}
+    assert found(with_ceilings(pairs, mode=1))["csv", "postgres"] == (1000, 5000)
+    with pytest.raises(Exception, match="no ceilings for x_y"):
+        with_ceilings(pairs, strict=True).collect()
+    with pytest.raises(Exception, match="no entry for csv"):
+        pairs.select(strict_lookup(F.col("target_system"), {"x": 1})).collect()
 
 
 def test_text_parts_are_contiguous_runs_of_the_file(spark, tmp_path):
