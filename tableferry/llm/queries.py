@@ -32,14 +32,11 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_file("piece_bpe_32k.model")
-    ids = sentencepiece.with_ids(_docs(spark, sf_dir).select("doc_id", "text"), path)
-    both = sentencepiece.with_text(ids, path)
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    both = sentencepiece.with_round_trip(docs, tokenizer_file("piece_bpe_32k.model"), out="encoded")
+    ids = F.col("encoded")["ids"]
     return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"),
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"), F.col("encoded")["restored"].alias("restored")
     )
 
 

@@ -284,10 +284,7 @@ def encoded(text: Column, path: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = tokenizer(path)
         for batch in batches:
-            ids = own.encode_batch(batch.to_pylist())
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int32)
-            values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+            yield _lists(own.encode_batch(batch.to_pylist()))
 
     return run(text)
 
@@ -304,6 +301,36 @@ def decoded(ids: Column, path: str) -> Column:
     return run(ids)
 
 
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int32)
+    values = np.concatenate(ids) if ids else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+
+
+def round_trip(text: Column, path: str) -> Column:
+    """Ids of a text column, and whether they decode to the text (null: to nothing), in one pass of one worker.
+
+    Decoding where the ids are made needs no second worker with its own tables, and no text goes back.
+    """
+
+    @F.arrow_udf("struct<ids:array<int>,restored:boolean>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = tokenizer(path)
+        for batch in batches:
+            texts = batch.to_pylist()
+            ids = own.encode_batch(texts)
+            restored = [own.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts)]
+            yield pa.StructArray.from_arrays([_lists(ids), pa.array(restored, pa.bool_())], ["ids", "restored"])
+
+    return run(text)
+
+
+def with_round_trip(docs: DataFrame, path: str, text_col: str = "text", out: str = "encoded") -> DataFrame:
+    """``docs`` and a struct of the ids of its texts and whether they decode to them."""
+    text_batches(docs.sparkSession)
+    return docs.withColumn(fresh(docs, out), round_trip(docs[text_col], path))
+
+
 def with_ids(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` and the ids of its texts."""
     text_batches(docs.sparkSession)

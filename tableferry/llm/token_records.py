@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import json
 import posixpath
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -45,7 +44,7 @@ POLYNOMIAL = 0x82F63B78  # fixed value: CRC-32C, reflected
 MASK = 0xA282EAD8  # fixed value: added to the rotated checksum
 CACHED = 400_000  # stretches in each generation
 CHUNK = 512  # bytes that are summed in parallel
-BESIDE_SPACE = re.compile(r" (?=\s)|(?<=\s) ")  # a blank next to white space of any kind
+MOST_TASKS = 50_000  # that read files back; beyond that a task reads several
 MANIFEST = "part int, number int, file string, records long, ids long"
 
 
@@ -161,14 +160,15 @@ class Encoder:
     are no white space, so the stretches between such blanks can be encoded alone. Most recur, and their
     ids are kept in two bounded generations of a cache. A run of white space is one piece to the library,
     whose tokens may cross the blanks in it (no-break spaces do), so texts with a blank beside other
-    white space go to it as they are, and so does every text if the file says it cuts texts in another way.
+    white space, that is, with a stretch that is empty or begins or ends with white space, go to it as they are.
+    So do texts that name an added token, which the library finds in the text as it stands, and every text if the file
+    says it cuts texts in another way.
     """
 
     def __init__(self, path: str, end_id: int = 0) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their names inside a text are ordinary text
         self.wide = max(self.library.get_vocab_size(), end_id + 1) > 65_536
         self.kind = "<u4" if self.wide else "<u2"
         self.end = np.array([end_id], self.kind).tobytes()
@@ -176,11 +176,12 @@ class Encoder:
         how = cut.get("pre_tokenizer") or {}
         self.by_stretch = how.get("type") == "ByteLevel" and how.get("use_regex") and not how.get("add_prefix_space") \
             and not cut.get("normalizer")
+        self.added = [t["content"] for t in cut.get("added_tokens", [])]
         # a byte-level token is written with one character for each of its bytes
         size = self.library.get_vocab_size()
         self.token_bytes = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new: dict[str, bytes | None] = {}  # None: a text with this stretch goes to the library whole
+        self.old: dict[str, bytes | None] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -195,13 +196,12 @@ class Encoder:
         bounds = [0, *(cuts * width).tolist()]
         return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """With the end id."""
-        whole = [i for i, t in enumerate(texts) if not self.by_stretch or BESIDE_SPACE.search(t)]
-        rest = sorted(set(range(len(texts))).difference(whole))
-        out = dict(zip(whole, self._direct([texts[i] for i in whole])))
-        parts = [texts[i].split(" ") for i in rest]
-        heads = self._direct([p[0] for p in parts])
+    @staticmethod
+    def _spaced(word: str) -> bool:
+        return not word or word[0].isspace() or word[-1].isspace()
+
+    def _learn(self, parts: list[list[str]]) -> None:
+        """Puts every stretch behind a blank into the cache."""
         wanted = {w for w in set().union(*(p[1:] for p in parts)) if w not in self.new}
         if len(self.new) + len(wanted) > CACHED:
             self.old, self.new = self.new, {}
@@ -209,13 +209,27 @@ class Encoder:
         again = {w: self.old[w] for w in wanted if w in self.old}
         self.new.update(again)
         missing = [w for w in wanted if w not in again]
+        self.new.update((w, None) for w in missing if self._spaced(w))
+        missing = [w for w in missing if not self._spaced(w)]
         for at in range(0, len(missing), 2_000):
             own = missing[at : at + 2_000]
             self.new.update(zip(own, self._stretches(own)))
-        known = self.new.__getitem__
-        for i, head, p in zip(rest, heads, parts):
-            out[i] = head + b"".join(map(known, p[1:]))
-        return [out[i] + self.end for i in range(len(texts))]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """With the end id."""
+        cut = [i for i, t in enumerate(texts) if self.by_stretch and not any(name in t for name in self.added)]
+        parts = {i: texts[i].split(" ") for i in cut}
+        self._learn(list(parts.values()))
+        known, out = self.new.__getitem__, {}
+        for i, p in parts.items():
+            ids = list(map(known, p[1:]))
+            if None not in ids and not (len(p) > 1 and p[0] and p[0][-1].isspace()):
+                out[i] = b"".join(ids)
+        heads = self._direct([parts[i][0] for i in out])
+        whole = [i for i in range(len(texts)) if i not in out]
+        done = {i: head + out[i] for i, head in zip(out, heads)}
+        done.update(zip(whole, self._direct([texts[i] for i in whole])))
+        return [done[i] + self.end for i in range(len(texts))]
 
 
 @lru_cache(maxsize=2)
@@ -330,4 +344,5 @@ def read(manifest: DataFrame, location: str, with_ids: bool = True) -> DataFrame
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     placed = manifest.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
     schema = "doc long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return placed.repartition("file").mapInArrow(_read(location, with_ids), schema)
+    files = manifest.count()  # one row a file; as many tasks, for adaptive execution would see tiny rows and take one
+    return placed.repartition(max(1, min(files, MOST_TASKS)), "file").mapInArrow(_read(location, with_ids), schema)
