@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tableferry.llm import decontaminate, line_dedup, neardup, quality, sentencepiece
 from tableferry.llm.queries import tokenizer_file
 from tableferry.llm.stored import written
+from tableferry.llm.text import fresh
 
 SITE_RATIO = 0.05  # of a source's pages; a usual boilerplate line is on about a tenth of them
 
@@ -43,11 +44,12 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ``ids`` and ``n_tokens``; ``restored`` says whether decoding gives the text back."""
-    path = tokenizer_file("piece_bpe_32k.model")
-    ids = sentencepiece.with_ids(docs, path)
-    restored = F.col("decoded") == F.coalesce("text", F.lit(""))
-    both = sentencepiece.with_text(ids, path)
-    return both.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), restored.alias("restored"))
+    name = fresh(docs, "encoded")
+    both = sentencepiece.with_round_trip(docs, tokenizer_file("piece_bpe_32k.model"), out=name)
+    ids = F.col(name)["ids"]
+    return both.select(
+        *docs.columns, ids.alias("ids"), F.size(ids).cast("long").alias("n_tokens"), F.col(name)["restored"].alias("restored")
+    )
 
 
 STAGES = [
