@@ -10,7 +10,7 @@ from ..functions.rates import wait_share
 from ..operators import stage_metrics as m
 from ..operators import summarize
 from ..session import work_dir
-from ..streaming import ingest, live
+from ..streaming import ingest, live, merged
 from ..streaming.seen import UnseenRows
 from . import derived as d
 from .registry import query
@@ -226,10 +226,9 @@ def _log_stream(spark, sf_dir):
 )
 def live_events(spark, sf_dir):
     stream = _log_stream(spark, sf_dir).withColumn("ts", F.timestamp_micros("ts_us"))
-    path = work_dir(spark, "live-events")
-    writer = live.to_changelog(live.windowed_events(stream), path, work_dir(spark, "checkpoint"))
-    keys = ["window_start_us", "component", "event"]
-    return live.run_available(writer, lambda: live.current_state(spark, path, keys))
+    counts = merged.event_counts(spark, work_dir(spark, "live-events"))
+    writer = counts.follow(stream, merged.counted_events, work_dir(spark, "checkpoint"))
+    return live.run_available(writer, counts.now)
 
 
 @query(
@@ -260,10 +259,9 @@ def windowed_load(spark, sf_dir):
     samples = d.queue_samples(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("minute") * 60))
     samples.repartition(2, "minute").write.parquet(source)
     stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    path = work_dir(spark, "load")
-    loads = live.windowed_load(stream, _QUEUES, length="1 hour")
-    writer = live.to_changelog(loads, path, work_dir(spark, "checkpoint"))
-    state = live.run_available(writer, lambda: live.current_state(spark, path, ["window_start_us"]))
+    loads = merged.queue_loads(spark, work_dir(spark, "load"), _QUEUES)
+    writer = loads.follow(stream, lambda b: merged.summed_loads(b, _QUEUES, every_us=3_600_000_000), work_dir(spark, "checkpoint"))
+    state = live.run_available(writer, lambda: merged.mean_loads(loads, _QUEUES))
     return _rounded(state, dict.fromkeys(_QUEUES, 9))
 
 
@@ -294,6 +292,6 @@ def continuous_transfer(spark, sf_dir):
     "count(*) FILTER (component = 'write' AND event = 'push') AS \"bufTransferred\" FROM event_log GROUP BY 1",
 )
 def progress(spark, sf_dir):
-    path = work_dir(spark, "progress")
-    writer = live.to_changelog(live.running_progress(_log_stream(spark, sf_dir)), path, work_dir(spark, "checkpoint"))
-    return live.run_available(writer, lambda: live.current_state(spark, path, ["transfer_id"]))
+    parts = merged.transfer_progress(spark, work_dir(spark, "progress"))
+    writer = parts.follow(_log_stream(spark, sf_dir), merged.progress_parts, work_dir(spark, "checkpoint"))
+    return live.run_available(writer, lambda: merged.progress_now(parts))

@@ -1,10 +1,12 @@
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tableferry import struct_of, work_dir
 from tableferry.operators import stage_metrics as m
-from tableferry.streaming import ingest, live, seen
+from tableferry.streaming import ingest, live, merged, seen
 
 LOG = "transfer_id bigint, component string, thread bigint, event string, ts_us bigint, seq bigint"
 
@@ -108,3 +110,29 @@ def test_changelog_keeps_the_newest_version(spark):
     for batch, value in ((0, 1), (1, 5), (10, 7)):
         spark.createDataFrame([("a", value)], "k string, v int").write.parquet(f"{path}/batch_id={batch}")
     assert [tuple(r) for r in live.current_state(spark, path, ["k"]).collect()] == [("a", 7)]
+
+
+def test_levels_stay_few_over_many_batches(spark):
+    log = merged.transfer_progress(spark, work_dir(spark, "progress"))
+    chance, rows = random.Random(3), []
+    for b in range(21):
+        batch = [(chance.randint(1, 4), "write", 0, chance.choice(["push", "pop"]), chance.randint(0, 10**9), b) for _ in range(15)]
+        rows += batch
+        part = merged.progress_parts(spark.createDataFrame(batch, LOG))
+        for _ in range(1 + (b in (3, 10, 15))):  # some batches are repeated, one of them where levels are merged
+            log.save(part, b)
+        assert len(log.folders()) <= 3 * 3 and len(log._manifests()) <= 2
+    there = [f for f in os.listdir(log.root) if f.startswith("level")]
+    assert len(there) <= 2 * 3 * 3
+    found = sorted(map(tuple, merged.progress_now(log).collect()))
+    assert found == sorted(map(tuple, live.running_progress(spark.createDataFrame(rows, LOG)).collect()))
+
+
+def test_late_rows_count(spark):
+    log = merged.event_counts(spark, work_dir(spark, "events"))
+    for n, seconds in enumerate(([100, 101, 103], [500], [100])):  # the last comes long after its window
+        rows = spark.createDataFrame([("ser", "pop", s) for s in seconds], "component string, event string, s long")
+        log.save(merged.counted_events(rows.withColumn("ts", F.timestamp_seconds("s"))), n)
+    assert {(r.window_start_us // 1_000_000, r.events) for r in log.now().collect()} == {(100, 3), (102, 1), (500, 1)}
+    log.save(merged.counted_events(rows.limit(0).withColumn("ts", F.timestamp_seconds("s"))), 3)
+    assert log.now().count() == 3
