@@ -10,6 +10,7 @@ from ..functions.rates import wait_share
 from ..operators import stage_metrics as m
 from ..operators import summarize
 from ..session import work_dir
+from ..sources import EVENT_FIELDS, read_event_log
 from ..streaming import ingest, live, merged
 from ..streaming.seen import UnseenRows
 from . import derived as d
@@ -136,6 +137,19 @@ _WIDE_SQL = ", ".join(
 _QUEUES = ("free", "compressed", "decompressed", "serialized")
 
 
+@query(
+    "met4_log_without_numbers",
+    WITH_METRICS + f"SELECT {KEYS_SQL}, waiting_ms, processing_ms, overall_ms, blocks FROM thread_metrics",
+)
+def log_without_numbers(spark, sf_dir):
+    """The log as text, in the order it was kept in and without that order's numbers; a record's line is its place."""
+    path = work_dir(spark, "event-log")
+    fields = [f.split()[0] for f in EVENT_FIELDS.split(", ")]
+    ordered = d.event_log(spark, sf_dir).orderBy("seq")
+    ordered.select(F.concat_ws(",", *[F.col(c).cast("string") for c in fields])).write.text(path)
+    return m.combine_summaries(m.chunk_summaries(read_event_log(spark, path, range_bytes=1 << 20)))
+
+
 @query(
     "met9_timing_row",
     f"WITH {COMPONENTS_SQL}, {d.SAMPLES_SQL}, loads AS (SELECT avg(free) AS free_load, avg(compressed) AS decomp_load, "

@@ -1,4 +1,5 @@
 from .arrow_files import ArrowFiles, read_arrow_files
+from .events import EVENT_FIELDS, read_event_log
 from .footers import ParquetFooters, file_sizes, in_file_order, read_footers
 from .lines import split_text_file
 from .runlogs import CLIENT_TIMINGS, GENERAL_STATS, SERVER_TIMINGS, SWEEP_LOG, read_run_log, read_timing_files
@@ -7,6 +8,7 @@ from .tables import jdbc_options, read_csv_table, read_delimited, read_jdbc_tabl
 __all__ = [
     "ArrowFiles",
     "CLIENT_TIMINGS",
+    "EVENT_FIELDS",
     "GENERAL_STATS",
     "ParquetFooters",
     "SERVER_TIMINGS",
@@ -17,6 +19,7 @@ __all__ = [
     "read_arrow_files",
     "read_csv_table",
     "read_delimited",
+    "read_event_log",
     "read_footers",
     "read_jdbc_table",
     "read_parquet_table",

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tableferry.operators import stage_metrics as m
+from tableferry.sources import read_event_log
 
 LOG = "transfer_id bigint, component string, thread bigint, event string, ts_us bigint, seq bigint"
 
@@ -97,3 +98,21 @@ def test_throughput_and_rollup(spark):
     assert loose.waiting_ms == 6 and loose.throughput == pytest.approx(total)
     assert loose.throughput_sd == pytest.approx((((total - total) ** 2 + total**2) / 2) ** 0.5)
     assert strict.throughput_sd == pytest.approx(total / 2)
+
+
+def test_logs_without_numbers(spark, tmp_path):
+    events = [("start", 0), ("pop", 5), ("push", 9), ("pop", 9), ("push", 9), ("end", 41)]  # ties are told by the order
+    rows = [(1, "ser", 0, kind, at * 1000, i) for i, (kind, at) in enumerate(events)]
+    log = spark.createDataFrame(rows, "transfer_id bigint, component string, thread bigint, event string, ts_us bigint, seq bigint")
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.csv").write_text("".join(f"1,ser,0,{kind},{at * 1000}\n" for kind, at in events[:2]))
+    (tmp_path / "t" / "b.csv").write_text("".join(f"1,ser,0,{kind},{at * 1000}\n" for kind, at in events[2:]))
+    log.drop("seq").coalesce(1).write.parquet(str(tmp_path / "p"))
+    for read in (read_event_log(spark, str(tmp_path / "t"), range_bytes=20),
+                 read_event_log(spark, str(tmp_path / "p"), "parquet")):
+        assert sorted(map(tuple, read.select(*log.columns).collect())) == sorted(rows)
+        assert m.combine_summaries(m.chunk_summaries(read)).collect() == m.combine_summaries(m.chunk_summaries(log)).collect()
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "c.csv").write_text("1,ser,zero,pop,5\n")
+    with pytest.raises(Exception):
+        read_event_log(spark, str(tmp_path / "bad")).collect()
