@@ -196,10 +196,6 @@ class Encoder:
         bounds = [0, *(cuts * width).tolist()]
         return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
-    @staticmethod
-    def _spaced(word: str) -> bool:
-        return not word or word[0].isspace() or word[-1].isspace()
-
     def _learn(self, parts: list[list[str]]) -> None:
         """Puts every stretch behind a blank into the cache."""
         wanted = {w for w in set().union(*(p[1:] for p in parts)) if w not in self.new}
@@ -208,9 +204,11 @@ class Encoder:
             wanted = set().union(*(p[1:] for p in parts))
         again = {w: self.old[w] for w in wanted if w in self.old}
         self.new.update(again)
-        missing = [w for w in wanted if w not in again]
-        self.new.update((w, None) for w in missing if self._spaced(w))
-        missing = [w for w in missing if not self._spaced(w)]
+        missing = [w for w in wanted if w not in again] if again else list(wanted)
+        plain = [w for w in missing if w and w == w.strip()]
+        if len(plain) < len(missing):
+            self.new.update(dict.fromkeys(set(missing).difference(plain)))
+            missing = plain
         for at in range(0, len(missing), 2_000):
             own = missing[at : at + 2_000]
             self.new.update(zip(own, self._stretches(own)))
@@ -222,9 +220,12 @@ class Encoder:
         self._learn(list(parts.values()))
         known, out = self.new.__getitem__, {}
         for i, p in parts.items():
-            ids = list(map(known, p[1:]))
-            if None not in ids and not (len(p) > 1 and p[0] and p[0][-1].isspace()):
-                out[i] = b"".join(ids)
+            if len(p) > 1 and p[0][-1:].isspace():
+                continue
+            try:
+                out[i] = b"".join(map(known, p[1:]))
+            except TypeError:  # one of them is None
+                continue
         heads = self._direct([parts[i][0] for i in out])
         whole = [i for i in range(len(texts)) if i not in out]
         done = {i: head + out[i] for i, head in zip(out, heads)}
