@@ -132,13 +132,8 @@ def estimation_error(df: DataFrame, keys: Sequence[str] = (), estimated: str = "
 
 
 def distinct_pairs(df: DataFrame, keys: Sequence[str], pair: Sequence[str]) -> DataFrame:
-    """Per key the sorted set of distinct pairs. Duplicates go before the shuffle."""
-    return (
-        df.select(*keys, *pair)
-        .distinct()
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(*pair))).alias("pairs"))
-    )
+    """Per key the set of distinct pairs, as rows in order: a key may have any number of them."""
+    return df.select(*keys, *pair).distinct().orderBy(*keys, *pair)
 
 
 def non_null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

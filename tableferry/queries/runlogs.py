@@ -271,15 +271,12 @@ def compression_ratios(spark, sf_dir):
 
 @query(
     "agg13_distinct_pairs",
-    STATS + "SELECT server_cpu, client_cpu, network, string_agg(p, ';' ORDER BY p) AS pairs FROM (SELECT DISTINCT "
-    "server_cpu, client_cpu, network, concat(source_system, '>', target_system) AS p FROM run_stats) GROUP BY 1, 2, 3",
+    STATS + "SELECT DISTINCT server_cpu, client_cpu, network, source_system, target_system FROM run_stats",
 )
 def distinct_pairs(spark, sf_dir):
-    sets = summarize.distinct_pairs(
+    return summarize.distinct_pairs(
         d.run_stats(spark, sf_dir), ["server_cpu", "client_cpu", "network"], ["source_system", "target_system"]
     )
-    shown = F.transform("pairs", lambda p: F.concat(p["source_system"], F.lit(">"), p["target_system"]))
-    return sets.withColumn("pairs", F.array_join(shown, ";"))
 
 
 # --- single stages and records ----------------------------------------------------------------
