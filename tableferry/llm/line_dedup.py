@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .stored import sent_if_small, written
 from .text import fresh
 
-RATIO = 0.1
+RATIO = 0.05  # a usual boilerplate line is on about a tenth of a host's pages, other lines on far fewer
 MIN_PAGES = 5
 MARGIN = " \t\r"
 

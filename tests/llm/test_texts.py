@@ -141,6 +141,19 @@ def test_line_dedup(spark):
     assert line_dedup.without_boilerplate(docs.limit(0)).count() == 0
 
 
+def test_a_line_on_some_pages_of_a_host(spark):
+    """On 8% of 100 pages it is boilerplate, on 4% it is not; a very long page and ties change nothing."""
+    rows = []
+    for i in range(100):
+        lines = [f"page {i} is about {i * i}"] + ["Subscribe now"] * (i < 8) + ["Read more"] * (i >= 96) + ["Both"] * (20 <= i < 28)
+        rows.append((i, "a", "\n".join(lines + ([cases.LONG] * 30 if i == 0 else []))))
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = {r.doc_id: r for r in line_dedup.without_boilerplate(docs, dropped_col="n").collect()}
+    for doc, _, text in rows:
+        kept = [x for x in text.split("\n") if x not in ("Subscribe now", "Both")]
+        assert found[doc].text == "\n".join(kept) and found[doc].n == text.count("\n") + 1 - len(kept)
+
+
 ITEMS = [
     (1, cases.SENTENCE), (2, "short item"), (2, "short item"), (3, None), (4, ""), (None, "lazy dog and runs"),
     (10, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"),
