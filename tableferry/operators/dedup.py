@@ -8,14 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _hash(keys: Sequence[str]) -> Column:
+    """One number that stands before many keys: sorts and comparisons then rarely look at the keys themselves."""
+    return F.xxhash64(*[F.col(k) for k in keys])
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the first by ``order``; null keys count as equal, like any other value.
+    """One row per key, the first by ``order`` and then by the other columns; null keys count as equal, like any other value.
 
     A min aggregate, not a numbered window: copies of a hot key shrink before the shuffle.
     """
-    rest = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
-    return df.groupBy(*keys).agg(best).select(*keys, "_first.*").select(*df.columns)
+    ordered = [c for c in order if c not in keys]
+    rest = [*ordered, *[c for c in df.columns if c not in keys and c not in ordered]]
+    best = F.min(F.struct(*rest)).alias("_first")
+    return df.groupBy(_hash(keys).alias("_hash"), *keys).agg(best).select(*keys, "_first.*").select(*df.columns)
 
 
 def _same_keys(keys: Sequence[str]) -> list[Column]:
@@ -28,8 +34,10 @@ def duplicate_members(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     Keys are counted with map-side combining and meet the rows in one semi join: two scans. A hot
     key is one row on the right, so adaptive execution may split its rows on the left.
     """
-    repeated = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
-    return df.alias("l").join(repeated.alias("r"), _same_keys(keys), "left_semi")
+    hashed = df.withColumn("_hash", _hash(keys))
+    repeated = hashed.groupBy("_hash", *keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
+    same = [F.col("l._hash") == F.col("r._hash"), *_same_keys(keys)]
+    return hashed.alias("l").join(repeated.alias("r"), same, "left_semi").drop("_hash")
 
 
 def cleaning_counts(df: DataFrame, kept_predicate, keys: Sequence[str]) -> DataFrame:
