@@ -51,6 +51,7 @@ BASE = 1.02  # spacing of the register values
 RATE = 20.0  # of the exponential hashes
 TOP = (1 << 16) - 2
 HUBS = 16  # members nearest to a cluster's centre that others are compared with
+SALTS = 64  # parts of a cluster whose hubs are found apart
 MARGIN = 5  # standard errors that an estimate may lie below the threshold
 
 
@@ -285,7 +286,8 @@ def _sides(x: DataFrame, y: DataFrame, feature: str | None, percent: int) -> Dat
 
     def side(name: str, own: DataFrame) -> DataFrame:
         columns = [F.col("b").alias(f"{name}_b"), F.col("member").alias(name), F.col("part").alias(f"{name}_part"),
-                   F.col("n").alias(f"{name}_n"), F.size("added").alias(f"{name}_a"), F.size("lacked").alias(f"{name}_d")]
+                   F.col("n").alias(f"{name}_n"), F.size("added").alias(f"{name}_a"), F.size("lacked").alias(f"{name}_d"),
+                   F.col("near").alias(f"{name}_near")]
         return own.select(*columns, *([F.explode(feature).alias(f"{name}_f")] if feature else []))
 
     # differences from the centre that two linked members share at least, and that these two can share
@@ -295,7 +297,8 @@ def _sides(x: DataFrame, y: DataFrame, feature: str | None, percent: int) -> Dat
     meet = (F.col("x_b") == F.col("y_b")) & (F.col("x_part") != F.col("y_part")) & (room >= need - 1e-6)
     meet = meet & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
     if feature:
-        meet = meet & (F.col("x_f") == F.col("y_f"))
+        # x is far from the centre; where y is so too the pair would come twice
+        meet = meet & (F.col("x_f") == F.col("y_f")) & (F.col("y_near") | (F.col("x") < F.col("y")))
     met = side("x", x).join(side("y", y), meet)
     if feature:
         # now the shared ones are counted: of lacks all that the pair has, of additions with all lacks it could have
@@ -308,8 +311,11 @@ def _sides(x: DataFrame, y: DataFrame, feature: str | None, percent: int) -> Dat
 def _residual_pairs(centred: DataFrame, percent: int) -> DataFrame:
     """First what shares a difference with a member far from the centre, and near members with the hubs."""
     far, near = centred.filter(~F.col("near")), centred.filter("near")
-    order = Window.partitionBy("b").orderBy(F.size("added") + F.size("lacked"), "member")
-    hubs = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= HUBS).drop("place")
+    hubs = near.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)))
+    for keys in (["b", "salt"], ["b"]):  # first of each part of a cluster, then of the parts' firsts
+        order = Window.partitionBy(*keys).orderBy(F.size("added") + F.size("lacked"), "member")
+        hubs = hubs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= HUBS).drop("place")
+    hubs = hubs.drop("salt")
     pairs = _sides(far, centred, "added", percent).unionByName(_sides(far, centred, "lacked", percent))
     return pairs.unionByName(_sides(near, hubs, None, percent)).distinct().withColumn("alone", F.lit(True))
 
