@@ -203,6 +203,8 @@ def test_stretches_are_encoded_as_in_the_whole_text():
     own = token_records.Encoder(tokenizer_file("byte_bpe_50k.json"))
     texts = [t.replace("▁", chance) for chance in ("\n", "\u00a0", "'s", " ") for t in _random_texts(2_000, 9)]
     texts += [cases.LONG, "", " ", "  ", " a", "a ", "<|endoftext|> a", "\n b \n\n c", "a <|endoftext|> b", "a<|endoftext|>b c"]
+    texts += ["a word. a word, a word a word.\" (a word) it's. isn't, \u00e9. x\u0301, 1. 2.5) ...) !? a's!'s b'. c.'d word.)]}:;"]
+    texts += ["".join(chance) for chance in zip(*[iter(random.Random(8).choices("ab .,;:!?)]}\"'s\u00e91\n", k=12_000))] * 12)]
     texts += ["\na b", "a\n b", "a b\n", "a \nb", "a\nb c", "<|endoftext|", "x <|endoftext|><|endoftext|> y z"]
     for _ in range(2):  # cold and cached
         found = [np.frombuffer(x, "<u2").tolist() for x in own.encode(texts)]
