@@ -106,8 +106,10 @@ def main() -> None:
     rows = QUERIES["agg1_first_attribute_stats"](spark, folder).first()["totalcnt"]  # also warms the JVM up
     run(spark, "snk1_fixed_csv_line", folder)
     # the same work whatever the code, to tell a slower machine from slower code
-    fixed = spark.range(100_000_000).select(F.xxhash64("id").alias("h")).agg(F.bit_xor("h"))
-    calibration = statistics.median(clocked(fixed.collect) for _ in range(TRIES))
+    def fixed() -> None:
+        spark.range(400_000_000).select(F.xxhash64("id").alias("h")).agg(F.bit_xor("h")).collect()
+
+    calibration = statistics.median(clocked(fixed) for _ in range(TRIES))
     seconds = {name: round(run(spark, name, folder), 3) for name in HEADLINE}
     print(
         json.dumps(

@@ -92,12 +92,12 @@ def _values(counted: DataFrame, brackets: DataFrame) -> DataFrame:
     return near.filter(F.col("_v").between(F.col("lo"), F.col("hi")))
 
 
-def _missed(values: DataFrame, brackets: DataFrame) -> DataFrame:
-    """Groups of which a bracket does not hold its ranks."""
-    held = values.groupBy("_g", "q").agg(F.sum("_c").alias("held"))
+def _judged(values: DataFrame, brackets: DataFrame) -> DataFrame:
+    """Per (group, quantile): how many values its bracket holds, and whether they miss its ranks."""
+    held = values.groupBy("_g", "q").agg(F.sum("_c").alias("held"), F.count("*").alias("kept"))
     both = brackets.join(held, ["_g", "q"], "left")
     wrong = (F.col("below") > F.col("r0")) | (F.col("below") + F.coalesce("held", F.lit(0)) <= F.col("r1"))
-    return both.filter(wrong).select("_g").distinct()
+    return both.select("_g", "q", F.coalesce("kept", F.lit(0)).alias("kept"), wrong.alias("missed"))
 
 
 def _narrowed(values: DataFrame) -> DataFrame:
@@ -133,9 +133,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dic
     counted = _counted(rows, groups, keys, len(probabilities))
     brackets = _brackets(groups, counted, probabilities)
     values = _values(counted, brackets)
-    missed = _missed(values, brackets)
-    if not missed.isEmpty():
-        whole = groups.join(missed.withColumn("_whole", F.lit(True)), "_g", "left")
+    judged = _judged(values, brackets)
+    most, missed = judged.agg(F.max("kept"), F.coalesce(F.max("missed"), F.lit(False))).first()  # two numbers
+    if missed:
+        whole = groups.join(judged.filter("missed").select("_g", F.lit(True).alias("_whole")).distinct(), "_g", "left")
 
         def widened(name: str, end: str) -> Column:
             return F.when(F.col("_whole"), F.transform(name, lambda _: F.col(end))).otherwise(F.col(name)).alias(name)
@@ -143,8 +144,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dic
         groups = _written(whole.select("_g", *keys, "n", "min", "max", widened("lo", "min"), widened("hi", "max")), "quantile-groups")
         counted = _counted(rows, groups, keys, len(probabilities))
         values = _values(counted, _brackets(groups, counted, probabilities))
-    most = _largest(values)
-    while most > KEPT:
+        most = _largest(values)
+    while (most or 0) > KEPT:
         values = _narrowed(values)
         most, before = _largest(values), most
         if most >= before:  # values a histogram cannot part, such as infinite ones
