@@ -77,7 +77,6 @@ OPTIMIZER_ORDER = (
     "expert_etl",
     "expert_pg",
     "bf",
-    "xdbc",
 )
 
 # Optimizer name -> its label in reports.

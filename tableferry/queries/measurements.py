@@ -303,7 +303,7 @@ def custom_order(spark, sf_dir):
     )
 
 
-_OPTIMIZERS = ("expert_iot_analysis", "xdbc", "expert_copy", "other", "bf", "expert_icu_analysis", "expert_pg", "expert_backup", "expert_etl")
+_OPTIMIZERS = ("expert_iot_analysis", "heuristic", "expert_copy", "other", "bf", "expert_icu_analysis", "expert_pg", "expert_backup", "expert_etl")
 _OPTIMIZER_SQL = d.pick("o_custkey % 9", *_OPTIMIZERS)
 _LABEL_SQL = "CASE optimizer " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in OPTIMIZER_LABELS.items()) + " ELSE optimizer END"
 
