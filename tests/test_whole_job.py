@@ -14,3 +14,19 @@ def test_each_environment_has_one_set_of_pairs(spark, small):
     for r in rows:
         wanted.setdefault((r.server_cpu, r.client_cpu, r.network), []).append(f"{r.source_system}>{r.target_system}")
     assert {k: r.pairs for k, r in zip(keys, found)} == {k: ";".join(sorted(v)) for k, v in wanted.items()}
+
+
+def test_blocks_follow_the_wanted_order(spark, small, tmp_path):
+    given = spark.read.parquet(f"{small}/lineitem.parquet")
+    backwards = sorted(given.collect(), reverse=True)
+    stored = spark.createDataFrame(backwards, given.schema).coalesce(1)
+    stored.write.parquet(str(tmp_path / "lineitem.parquet"))
+    keys = [str(r.l_orderkey) for r in reversed(backwards)]
+
+    packed = {r.block: r["keys"].split(",") for r in QUERIES["blk2_column_blocks"](spark, str(tmp_path)).collect()}
+    assert [k for b in sorted(packed) for k in packed[b]] == keys
+    rows = QUERIES["blk3_row_blocks"](spark, str(tmp_path)).orderBy("block", "slot").collect()
+    assert [str(r.l_orderkey) for r in rows] == keys
+    for name in ("blk1_assign_blocks", "aud1_block_manifest", "aud2_manifest_violations"):
+        given_order = QUERIES[name](spark, small).collect()
+        assert sorted(given_order) == sorted(QUERIES[name](spark, str(tmp_path)).collect())
