@@ -46,10 +46,12 @@ def calibration_plan(environments: DataFrame, codecs: Sequence[str] = CODECS, pa
 def sweep_grid(bases: DataFrame, workers: Sequence[int], codecs: Sequence[str] = CODECS) -> DataFrame:
     """Full sweep for each base row: read, deser, comp, decomp, ser and write workers x codecs.
 
-    Pool sizes hold (all workers of the side + 4) blocks of 1024 KiB three times.
+    Pool sizes hold (all workers of the side + 4) blocks of 1024 KiB three times. A base row of some bytes becomes tens of
+    thousands of rows, so base rows are dealt to as many tasks as a shuffle has, however few files hold them.
     """
     swept = ("read_par", "deser_par", "comp_par", "decomp_par", "ser_par", "write_par")
-    grid = with_grid(bases, {**{p: list(workers) for p in swept}, "compression": list(codecs)})
+    dealt = bases.repartition(int(bases.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    grid = with_grid(dealt, {"compression": list(codecs), **{p: list(workers) for p in swept}})
     grid = grid.withColumns({"send_par": F.lit(1), "rcv_par": F.lit(1)})
 
     def pool(stages: Sequence[str]) -> Column:

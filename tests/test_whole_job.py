@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tableferry.plans import calibration
 from tableferry.queries import QUERIES
 
 
@@ -30,3 +33,13 @@ def test_blocks_follow_the_wanted_order(spark, small, tmp_path):
     for name in ("blk1_assign_blocks", "aud1_block_manifest", "aud2_manifest_violations"):
         given_order = QUERIES[name](spark, small).collect()
         assert sorted(given_order) == sorted(QUERIES[name](spark, str(tmp_path)).collect())
+
+
+def test_a_sweep_is_generated_by_all_tasks(spark):
+    bases = spark.range(0, 400, 1, 1)
+    grid = calibration.sweep_grid(bases, (1, 2))
+    per_task = grid.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(per_task) == tasks > 1
+    assert sum(r["count"] for r in per_task) == 400 * 2**6 * 5
+    assert max(r["count"] for r in per_task) <= 1.1 * 400 * 2**6 * 5 / tasks
