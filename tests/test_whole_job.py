@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from tableferry.plans import calibration
 from tableferry.queries import QUERIES
+from tableferry.session import work_dir
+from tableferry.storage import list_files
+from tableferry.streaming import seen
 
 
 def test_each_environment_has_one_set_of_pairs(spark, small):
@@ -43,3 +46,18 @@ def test_a_sweep_is_generated_by_all_tasks(spark):
     assert len(per_task) == tasks > 1
     assert sum(r["count"] for r in per_task) == 400 * 2**6 * 5
     assert max(r["count"] for r in per_task) <= 1.1 * 400 * 2**6 * 5 / tasks
+
+
+def test_a_batch_writes_each_day_once(spark):
+    """Not one file per task and day; and nothing of a task is planned day by day."""
+    schema = spark.createDataFrame([], "transfer_id bigint").schema
+    store = seen.UnseenRows(spark, work_dir(spark, "stored"), schema, "transfer_id")
+    ids = spark.range(0, 40 * 2_000, 1, 4).select((F.col("id") * 43).alias("transfer_id"))  # 40 days of some 2,000 ids
+    store.append(ids, 0)
+    for kind in ("rows", "filters"):
+        names = [f for f, _ in list_files(f"{store.path}/{kind}") if f.endswith(".parquet")]
+        days = {f.split("day=")[1].split("/")[0] for f in names}
+        assert len(days) == 40 and len(names) == 40
+    store.append(ids.filter("transfer_id % 2 = 0").union(ids.selectExpr("transfer_id + 1")), 1)
+    found = [r.transfer_id for r in store.rows().collect()]
+    assert sorted(found) == sorted([43 * i + j for i in range(80_000) for j in (0, 1)])
