@@ -299,9 +299,12 @@ def incremental_append(spark, sf_dir):
 
 @query("str5_continuous_transfer", f"WITH {d.LINES_SQL} SELECT line FROM lines")
 def continuous_transfer(spark, sf_dir):
+    """Three arrivals of a third each, in as many files as the table has splits, so that no task takes a whole arrival."""
     source, target = work_dir(spark, "arriving"), work_dir(spark, "moved")
-    d.lineitem(spark, sf_dir).repartition(3).write.parquet(source)
-    stream = ingest.new_files(spark, source, spark.read.parquet(source).schema, "parquet", per_batch=1)
+    rows = d.lineitem(spark, sf_dir)
+    for n in range(3):
+        rows.filter(F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(3)) == n).write.mode("append").parquet(source)
+    stream = ingest.new_files(spark, source, rows.schema, "parquet", per_batch=_a_third(spark, source))
     writer = ingest.continuous_transfer(stream, d.LINEITEM, "csv", target, work_dir(spark, "checkpoint"))
     return live.run_available(writer, lambda: spark.read.text(target).withColumnRenamed("value", "line"))
 
