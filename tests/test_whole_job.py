@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tableferry import struct_of
 from tableferry.plans import calibration
-from tableferry.queries import QUERIES
+from tableferry.queries import QUERIES, stages
 from tableferry.session import work_dir
-from tableferry.storage import list_files
+from tableferry.sinks import writers
+from tableferry.storage import list_files, qualified
 from tableferry.streaming import seen
 
 
@@ -61,3 +63,38 @@ def test_a_batch_writes_each_day_once(spark):
     store.append(ids.filter("transfer_id % 2 = 0").union(ids.selectExpr("transfer_id + 1")), 1)
     found = [r.transfer_id for r in store.rows().collect()]
     assert sorted(found) == sorted([43 * i + j for i in range(80_000) for j in (0, 1)])
+
+
+def test_arrivals_are_as_many_files_as_the_table_has_splits(spark, small, tmp_path, monkeypatch):
+    rows = spark.read.parquet(f"{small}/lineitem.parquet")
+    rows.repartition(6).write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen_files = []
+    given = stages.ingest.new_files
+
+    def new_files(spark, folder, *args, **options):
+        seen_files.append(len(list_files(qualified(spark, folder))))
+        return given(spark, folder, *args, **options)
+
+    monkeypatch.setattr(stages.ingest, "new_files", new_files)
+    open_cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", str(256 << 20))  # a split a file
+        found = QUERIES["str5_continuous_transfer"](spark, str(tmp_path)).count()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", open_cost)
+    assert found == rows.count() and seen_files == [18]
+
+
+def test_writers_read_packed_shares(spark, tmp_path):
+    schema = struct_of([("k", "INT", 4), ("s", "STRING", 8)])
+    rows = spark.range(40_000).selectExpr("cast(id as int) k", "concat('v', id % 7) s")
+    before = writers.work_dir
+    made = []
+    writers.work_dir = lambda *a: made.append(before(*a)) or made[-1]
+    try:
+        writers.write_csv_lines(rows, str(tmp_path / "csv"), schema, write_par=4)
+    finally:
+        writers.work_dir = before
+    assert len(made) == 1
+    sizes = [r["tuples"] for r in writers.file_manifest(spark, str(tmp_path / "csv"), "csv").collect()]
+    assert len(sizes) == 4 and sum(sizes) == 40_000 and max(sizes) - min(sizes) <= 4
