@@ -13,9 +13,11 @@
    is not as similar to C as the threshold asks, x can be linked with y only if x and y share a
    difference from C, a shingle that C lacks or one that C has. (Were the differences dx, dy disjoint,
    |x ^ y| = |dx| + |dy| would be too large already by dx.) So members far from C are joined with the
-   others on their differences; shared lacks alone suffice only for sets smaller than C, which is part
-   of the join. Members near C are compared with a few hubs, the members nearest to it, and the rare
-   ones that stay unconnected with all others near C. Connected members are never compared again.
+   others on the rarest of their differences, as many as a linked pair can lack and one, and the place
+   of a shared one tells how many more can be shared. Members near C are compared with a few hubs, those
+   with the fewest differences for their size; what can be linked without shared differences is connected then.
+   The rare ones that stay unconnected are joined with the others near C as above. Connected members
+   are never compared again.
 6. Links are closed to components by alternating large-star and small-star rounds.
 
 Nothing is collected: sketches, pairs, links and components are written tables. Texts are shuffled
@@ -245,12 +247,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     )
 
 
+def _slack(percent: int) -> float:
+    """Differences that two linked sets may have at most, as a share of the sum of their sizes."""
+    return (100 - percent) / (100 + percent)
+
+
 def _centred(compared: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Members of the clusters that fell apart, described by how they differ from the cluster's centre.
 
     A cluster is a pivot and all that were compared with it. Its centre is the set of the shingles that
-    more than half of its members have; it need not be a document. ``near``: so similar to the centre
-    as linked documents are to each other.
+    more than half of its members have; it need not be a document. ``excess``: differences beyond those that
+    the own shingles allow for a link. ``near``: so similar to the centre as linked documents are to each other.
     """
     rows = compared.filter(F.col("added").isNotNull()).select(
         F.col("pivot").alias("b"), "member", F.col("pivot_n").alias("b_n"), F.col("member_n").alias("n"), "added", "lacked"
@@ -273,64 +280,120 @@ def _centred(compared: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
         .agg(F.collect_list(F.when(F.col("more"), F.col("f"))).alias("plus"), F.collect_list(F.when(~F.col("more"), F.col("f"))).alias("minus"))
     )
     rows = rows.join(often, "b", "left").withColumns({"plus": F.coalesce("plus", none), "minus": F.coalesce("minus", none)})
-    slack = (100 - percent) / (100 + percent)
-    return rows.select(
+    slack = _slack(percent)
+    centred = rows.select(
         "b", "member", "part", "n", (F.col("b_n") + F.size("plus") - F.size("minus")).alias("centre_n"),
         F.array_union(F.array_except("added", "plus"), F.array_except("minus", "lacked")).alias("added"),
         F.array_union(F.array_except("lacked", "minus"), F.array_except("plus", "added")).alias("lacked"),
-    ).withColumn("near", F.size("added") + F.size("lacked") <= slack * (F.col("n") + F.col("centre_n")) + 1e-6)
+    )
+    excess = F.size("added") + F.size("lacked") - slack * F.col("n")
+    return centred.withColumns({"excess": excess, "near": excess <= slack * F.col("centre_n") + 1e-6})
 
 
-def _sides(x: DataFrame, y: DataFrame, feature: str | None, percent: int) -> DataFrame:
-    """Pairs of unconnected members of a cluster that may be linked; with a feature, only if they share one."""
+def _near_hubs(near: DataFrame, percent: int) -> DataFrame:
+    """Pairs of unconnected members near a centre, one of them a hub.
+
+    The first hub has the smallest excess of all, so it is linked with every member whose excess does not
+    outweigh the own one of any other: links that need no shared difference need no other pair.
+    """
+    hubs = near.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)))
+    for keys in (["b", "salt"], ["b"]):  # first of each part of a cluster, then of the parts' firsts
+        order = Window.partitionBy(*keys).orderBy("excess", "member")
+        hubs = hubs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= HUBS).drop("place")
 
     def side(name: str, own: DataFrame) -> DataFrame:
-        columns = [F.col("b").alias(f"{name}_b"), F.col("member").alias(name), F.col("part").alias(f"{name}_part"),
-                   F.col("n").alias(f"{name}_n"), F.size("added").alias(f"{name}_a"), F.size("lacked").alias(f"{name}_d"),
-                   F.col("near").alias(f"{name}_near")]
-        return own.select(*columns, *([F.explode(feature).alias(f"{name}_f")] if feature else []))
-
-    # differences from the centre that two linked members share at least, and that these two can share
-    slack = (100 - percent) / (100 + percent)
-    need = (F.col("x_a") + F.col("x_d") + F.col("y_a") + F.col("y_d") - slack * (F.col("x_n") + F.col("y_n"))) / 2
-    room = F.least("x_d", "y_d") + (F.lit(0) if feature == "lacked" else F.least("x_a", "y_a"))
-    meet = (F.col("x_b") == F.col("y_b")) & (F.col("x_part") != F.col("y_part")) & (room >= need - 1e-6)
+        return own.select(F.col("b").alias(f"{name}_b"), F.col("member").alias(name), F.col("part").alias(f"{name}_part"),
+                          F.col("n").alias(f"{name}_n"), F.size("added").alias(f"{name}_a"),
+                          F.size("lacked").alias(f"{name}_d"), F.col("excess").alias(f"{name}_excess"))
+
+    room = F.least("x_d", "y_d") + F.least("x_a", "y_a")
+    meet = (F.col("x_b") == F.col("y_b")) & (F.col("x_part") != F.col("y_part"))
+    meet = meet & (room >= (F.col("x_excess") + F.col("y_excess")) / 2 - 1e-6)
     meet = meet & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
-    if feature:
-        # x is far from the centre; where y is so too the pair would come twice
-        meet = meet & (F.col("x_f") == F.col("y_f")) & (F.col("y_near") | (F.col("x") < F.col("y")))
-    met = side("x", x).join(side("y", y), meet)
-    if feature:
-        # now the shared ones are counted: of lacks all that the pair has, of additions with all lacks it could have
-        could = F.least("x_d", "y_d") if feature == "added" else F.lit(0)
-        shared = met.groupBy("x_b", "x", "y").agg(F.count("*").alias("shared"), F.first(need).alias("need"), F.first(could).alias("could"))
-        met = shared.filter(F.col("shared") + F.col("could") >= F.col("need") - 1e-6)
+    met = side("x", near).join(side("y", hubs), meet)
     return met.select(F.least("x", "y").alias("pivot"), F.greatest("x", "y").alias("member")).distinct()
 
 
+def _rare_first(rows: DataFrame) -> DataFrame:
+    """Every difference that members of a cluster share, with its ``place`` among the member's own, the rarest first."""
+    kinds = [F.struct(F.lit(more).alias("more"), F.col(of).alias("of")) for more, of in ((True, "added"), (False, "lacked"))]
+    each = rows.select("b", "member", F.explode(F.array(*kinds)).alias("x")).select("b", "member", "x.more", F.explode("x.of").alias("f"))
+    often = each.groupBy("b", "more", "f").agg(F.count("*").alias("k")).filter("k > 1")
+    shared = each.join(often, ["b", "more", "f"]).groupBy("b", "member", "more").agg(
+        F.array_sort(F.collect_list(F.struct("k", "f"))).alias("shared")
+    )
+    own = rows.select("b", "member", "part", "n", "centre_n", "excess", "first", F.size("added").alias("a"), F.size("lacked").alias("d"))
+    own = own.join(shared, ["b", "member"]).withColumn("all", F.when(F.col("more"), F.col("a")).otherwise(F.col("d")))
+    return own.select("*", F.posexplode("shared").alias("at", "s")).select(
+        *[c for c in own.columns if c not in ("a", "shared")], F.col("s.f").alias("f"),
+        (F.col("all") - F.size("shared") + F.col("at") + 1).alias("place"),  # those of nobody else come first
+    )
+
+
+def _sharing(rows: DataFrame, percent: int, far: bool) -> DataFrame:
+    """Pairs of unconnected members of a cluster, one of them marked ``first``, whose shared differences may suffice for a link.
+
+    Linked members share half the sum of their excesses at least. All differences have one order, the
+    rarest first, so the first one that a pair shares tells how many can follow, and lies early in both:
+    of n shingles a linked set lacks no more than the threshold allows, and its additions come before
+    the centre's shingles. If no addition is shared, lacks alone must suffice, also against the smallest
+    excess the other can have: that of the centre, or, if all that are marked are ``far``, its opposite.
+    """
+    ranked = written(_rare_first(rows), "rare-first")
+    least = -_slack(percent) * F.col("centre_n")
+
+    def side(name: str, own: DataFrame, other) -> DataFrame:
+        lacks = F.greatest(F.ceil((F.col("excess") + other) / 2 - 1e-6), F.lit(1))
+        early = F.when(F.col("more"), F.floor(F.col("n") * (100 - percent) / 100) + 1).otherwise(F.col("all") - lacks + 1)
+        own = own.filter(F.col("place") <= early).drop("centre_n")
+        return own.select(*[F.col(c).alias(f"{name}_{c}") for c in own.columns])
+
+    later = F.least(F.col("x_all") - F.col("x_place"), F.col("y_all") - F.col("y_place"))
+    lacks = F.when(F.col("x_more"), F.least("x_d", "y_d")).otherwise(0)
+    meet = (F.col("x_b") == F.col("y_b")) & (F.col("x_more") == F.col("y_more")) & (F.col("x_f") == F.col("y_f"))
+    meet = meet & (F.col("x_part") != F.col("y_part")) & (~F.col("y_first") | (F.col("x_member") < F.col("y_member")))
+    meet = meet & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
+    meet = meet & (later + 1 + lacks >= (F.col("x_excess") + F.col("y_excess")) / 2 - 1e-6)
+    met = side("x", ranked.filter("first"), least).join(side("y", ranked, -least if far else least), meet)
+    return met.select(F.least("x_member", "y_member").alias("pivot"), F.greatest("x_member", "y_member").alias("member")).distinct()
+
+
 def _residual_pairs(centred: DataFrame, percent: int) -> DataFrame:
-    """First what shares a difference with a member far from the centre, and near members with the hubs."""
-    far, near = centred.filter(~F.col("near")), centred.filter("near")
-    hubs = near.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)))
-    for keys in (["b", "salt"], ["b"]):  # first of each part of a cluster, then of the parts' firsts
-        order = Window.partitionBy(*keys).orderBy(F.size("added") + F.size("lacked"), "member")
-        hubs = hubs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= HUBS).drop("place")
-    hubs = hubs.drop("salt")
-    pairs = _sides(far, centred, "added", percent).unionByName(_sides(far, centred, "lacked", percent))
-    return pairs.unionByName(_sides(near, hubs, None, percent)).distinct().withColumn("alone", F.lit(True))
+    """First what shares differences with a member far from the centre, and near members with the hubs."""
+    pairs = _sharing(centred.withColumn("first", ~F.col("near")), percent, far=True)
+    return pairs.unionByName(_near_hubs(centred.filter("near"), percent)).distinct()
+
+
+def _stray_pairs(centred: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Then near members that not even the hubs have connected, with near members they share differences with."""
+    part = parts.select(F.col("doc").alias("member"), F.col("part").alias("now"))
+    near = centred.filter("near").join(part, "member", "left").withColumn("part", F.coalesce("now", "member")).drop("now")
+    sizes = near.groupBy("b", "part").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("b").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count("*").alias("pieces"))
+    split = near.join(largest.filter("pieces > 1").select("b", "main"), "b").withColumn("first", F.col("part") != F.col("main"))
+    return _sharing(split, percent, far=False)
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every ``u`` has one ``v`` only, and no ``v`` is a ``u``."""
+    ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    seen = ends.groupBy("u").agg(F.sum("up").alias("ups"), F.max("down").alias("down"))
+    return seen.filter("ups > 1 or ups + down > 1").isEmpty()
 
 
 def components(links: DataFrame, purpose: str = "components") -> DataFrame:
     """``doc, part`` (smallest reachable id) of every end of the links (``a``, ``b``).
 
-    Alternates large-star and small-star until nothing changes; each round is two small
+    Alternates large-star and small-star until only stars are left; each round is two small
     aggregates and joins, written to the shared folder.
     """
     edges = written(
         links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         purpose,
     )
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
         # large star: neighbours above a node go to its smallest neighbour
@@ -339,12 +402,7 @@ def components(links: DataFrame, purpose: str = "components") -> DataFrame:
         # small star: a node and its neighbours below go to the smallest of them
         lower = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))).alias("e"))
-        after = written(small.select("e.u", "e.v").filter(F.col("u") != F.col("v")).distinct(), purpose)
-        old = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        new = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = after
-        if tuple(old) == tuple(new):
-            break
+        edges = written(small.select("e.u", "e.v").filter(F.col("u") != F.col("v")).distinct(), purpose)
     roots = edges.select(F.col("v").alias("doc")).distinct().withColumn("part", F.col("doc"))
     return edges.select(F.col("u").alias("doc"), F.col("v").alias("part")).unionByName(roots)
 
@@ -373,17 +431,11 @@ def grouped(
     centred = written(_centred(compared, parts, percent), "centred")
     links = [links]
     for last in (False, True):
-        # the second time: near members that not even the hubs have connected, with all other near members
-        if last:
-            part = parts.select(F.col("doc").alias("member"), F.col("part").alias("now"))
-            near = centred.filter("near").join(part, "member", "left").withColumn("part", F.coalesce("now", "member")).drop("now")
-            largest = near.groupBy("b", "part").agg(F.count("*").alias("k")).groupBy("b").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
-            stray = near.join(largest, "b").filter(F.col("part") != F.col("main")).drop("main")
-            residue = _sides(stray, near, None, percent).withColumn("alone", F.lit(True))
-        else:
-            residue = _residual_pairs(centred, percent)
-        residue = written(residue, "residue")
+        residue = _stray_pairs(centred, parts, percent) if last else _residual_pairs(centred, percent)
+        residue = written(residue.withColumn("alone", F.lit(True)), "residue")
         more = written(confirmed(residue, texts, size, percent).filter("linked").select("pivot", "member"), "residual-links")
+        if more.isEmpty():
+            continue
         links.append(more.select(F.col("pivot").alias("a"), F.col("member").alias("b")))
         parts = written(components(reduce(DataFrame.unionByName, links)), "parts")
     node_of = same.distinct()

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tableferry.llm import neardup, secrets, sentencepiece, token_records, toxicity
+from tableferry.llm import neardup, secrets, sentencepiece, stored, token_records, toxicity
 from tableferry.llm.queries import QUERIES, tokenizer_file
 
 from . import cases
@@ -49,6 +49,37 @@ def test_groups_against_all_pairs(spark, size):
     assert found == cases.groups(rows, size)
 
 
+def _templates(seed=2):
+    """Pages of two templates: one leaves each page so little own text that it is near the centre, and no two are linked."""
+    chance = random.Random(seed)
+    often = [f"v{i}" for i in range(30)]
+    out = []
+    for base, own, count in ((80, 12, 150), (40, 50, 60)):
+        page = [f"p{base}_{i}" for i in range(base)]
+        for k in range(count):
+            tail = [chance.choice(often) if chance.random() < 0.4 else f"u{base}_{k}_{i}" for i in range(own)]
+            out.append(page + tail)
+            if k % 10 == 0:  # a page that is linked with this one only, by what both add to the template
+                out.append(page + tail[:-4] + [f"z{base}_{k}_{i}" for i in range(4)])
+    chance.shuffle(out)
+    return [(i, " ".join(words)) for i, words in enumerate(out)]
+
+
+def test_members_of_a_template_are_not_compared_with_each_other(spark, monkeypatch):
+    rows, counts = _templates(), {}
+
+    def counted(table, purpose, *rest):
+        out = stored.written(table, purpose, *rest)
+        counts.setdefault(purpose, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "written", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc: (r.n, r.part) for r in neardup.grouped(docs, size=4).collect()}
+    assert found == cases.groups(rows, 4)
+    assert sum(counts["residue"]) <= 20 * len(rows)  # the hubs' pairs and few more; all pairs are some 13,000
+
+
 def test_estimates_follow_the_similarity():
     chance = np.random.default_rng(5)
     pool = chance.integers(0, 1 << 63, 2_000, dtype=np.uint64)
