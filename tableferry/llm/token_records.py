@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -196,15 +197,15 @@ class Encoder:
         bounds = [0, *(cuts * width).tolist()]
         return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
 
-    def _learn(self, parts: list[list[str]]) -> None:
-        """Puts every stretch behind a blank into the cache."""
-        wanted = {w for w in set().union(*(p[1:] for p in parts)) if w not in self.new}
+    def _learned(self, words: list[str]) -> list[bytes | None]:
+        """Ids of distinct stretches behind a blank; new ones go into the cache."""
+        wanted = [w for w in words if w not in self.new]
         if len(self.new) + len(wanted) > CACHED:
             self.old, self.new = self.new, {}
-            wanted = set().union(*(p[1:] for p in parts))
+            wanted = words
         again = {w: self.old[w] for w in wanted if w in self.old}
         self.new.update(again)
-        missing = [w for w in wanted if w not in again] if again else list(wanted)
+        missing = [w for w in wanted if w not in again] if again else wanted
         plain = [w for w in missing if w and w == w.strip()]
         if len(plain) < len(missing):
             self.new.update(dict.fromkeys(set(missing).difference(plain)))
@@ -212,23 +213,37 @@ class Encoder:
         for at in range(0, len(missing), 2_000):
             own = missing[at : at + 2_000]
             self.new.update(zip(own, self._stretches(own)))
+        return list(map(self.new.__getitem__, words))
+
+    def _by_stretch(self, texts: list[str]) -> list[bytes | None]:
+        """Without the end id; none for texts that go to the library whole."""
+        parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        offsets, words = parts.offsets.to_numpy(), parts.values
+        behind = np.ones(len(words), bool)
+        behind[offsets[:-1]] = False
+        # every distinct stretch is looked up once; the others are its number, and their ids are copied as arrays
+        coded = words.filter(pa.array(behind)).dictionary_encode()
+        known = self._learned(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        number = coded.indices.to_numpy()
+        firsts = words.take(pa.array(offsets[:-1])).to_pylist()
+        bounds = offsets - offsets[0] - np.arange(len(offsets))
+        odd = np.concatenate([[0], np.cumsum(np.array([ids is None for ids in known], bool)[number])])[bounds]
+        blank = np.array([f[-1:].isspace() for f in firsts]) & (np.diff(bounds) > 0)
+        whole = (np.diff(odd) > 0) | blank
+        raw = np.frombuffer(b"".join([ids or b"" for ids in known]), self.kind)
+        sizes = np.array([len(ids or b"") for ids in known], np.int64) // raw.itemsize
+        starts, own = (np.cumsum(sizes) - sizes)[number], sizes[number]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        ids = raw[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], own)]
+        cuts = ends[bounds].tolist()
+        heads = self._direct(firsts)
+        return [None if w else h + ids[a:b].tobytes() for w, h, a, b in zip(whole, heads, cuts, cuts[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """With the end id."""
         cut = [i for i, t in enumerate(texts) if self.by_stretch and not any(name in t for name in self.added)]
-        parts = {i: texts[i].split(" ") for i in cut}
-        self._learn(list(parts.values()))
-        known, out = self.new.__getitem__, {}
-        for i, p in parts.items():
-            if len(p) > 1 and p[0][-1:].isspace():
-                continue
-            try:
-                out[i] = b"".join(map(known, p[1:]))
-            except TypeError:  # one of them is None
-                continue
-        heads = self._direct([parts[i][0] for i in out])
-        whole = [i for i in range(len(texts)) if i not in out]
-        done = {i: head + out[i] for i, head in zip(out, heads)}
+        done = dict(zip(cut, self._by_stretch([texts[i] for i in cut]))) if cut else {}
+        whole = [i for i in range(len(texts)) if done.get(i) is None]
         done.update(zip(whole, self._direct([texts[i] for i in whole])))
         return [done[i] + self.end for i in range(len(texts))]
 
@@ -282,11 +297,12 @@ def _write(location: str, tokenizer_path: str, end_id: int):
         own, files = _encoder(tokenizer_path, end_id), _Files(location)
         for batch in batches:
             docs, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
+            ids = own.encode([t or "" for t in texts])
             for at in range(0, len(docs), 256):
-                ids = own.encode([t or "" for t in texts[at : at + 256]])
+                part = ids[at : at + 256]
                 files.add(
-                    [payload(d, i, own.wide) for d, i in zip(docs[at : at + 256], ids)],
-                    sum(map(len, ids)) // (4 if own.wide else 2),
+                    [payload(d, i, own.wide) for d, i in zip(docs[at : at + 256], part)],
+                    sum(map(len, part)) // (4 if own.wide else 2),
                 )
         files.close()
         columns = list(zip(*files.rows)) or [[]] * 5
