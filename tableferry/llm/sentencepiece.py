@@ -41,7 +41,7 @@ BLANK = "▁"
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6  # fixed values: kinds of pieces in the file
 UNIGRAM, BPE = 1, 2  # fixed values: kinds of models in the file
 UNKNOWN_COST = 10.0  # fixed value: below the worst score of a piece
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000  # in each of three caches; a worker keeps its caches while others run beside it
 CACHED_PAIRS = 500_000
 LONGEST_CACHED = 48
 

@@ -135,6 +135,15 @@ def test_ids_are_those_of_the_library(pieces, small):
         assert own.decode(ids) == library.decode(ids) == text.replace("▁", " ")
 
 
+def test_kept_words_are_bounded(pieces):
+    own = sentencepiece.Tokenizer(pieces)
+    letters = "etaoinshrdlucm"
+    words = ["".join(letters[k // 14**j % 14] for j in range(5)) for k in range(14**5)]
+    for at in range(0, len(words), 10_000):
+        own.encode_batch([" ".join(words[at : at + 10_000])])
+        assert len(own.words) + len(own.old_words) + len(own.units) <= 600_000  # twice as many before
+
+
 def _remarked(path, target, kind):
     """The same pieces and scores, marked as another kind of model."""
 
