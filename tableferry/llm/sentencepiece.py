@@ -325,9 +325,11 @@ def round_trip(text: Column, path: str) -> Column:
     return run(text)
 
 
-def with_round_trip(docs: DataFrame, path: str, text_col: str = "text", out: str = "encoded") -> DataFrame:
-    """``docs`` and a struct of the ids of its texts and whether they decode to them."""
-    text_batches(docs.sparkSession)
+def with_round_trip(
+    docs: DataFrame, path: str, text_col: str = "text", out: str = "encoded", at_once: int = 1_000
+) -> DataFrame:
+    """``docs`` and a struct of the ids of its texts and whether they decode to them; ``at_once``: texts a batch."""
+    text_batches(docs.sparkSession, at_once)
     return docs.withColumn(fresh(docs, out), round_trip(docs[text_col], path))
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tableferry.llm import neardup, secrets, sentencepiece, stored, token_records, toxicity
+from tableferry.llm import arrow, neardup, secrets, sentencepiece, stored, token_records, toxicity
 from tableferry.llm.queries import QUERIES, tokenizer_file
 
 from . import cases
@@ -375,3 +375,19 @@ def test_pipeline_stages_keep_the_columns(spark, small):
             assert stage(spark, table, small).columns == docs.columns
             stage(spark, table, small).count()
         assert corpus_pipeline.STAGES[-1][1](spark, table, small).count() == table.count()
+
+
+def test_pipeline_stages_bound_the_texts_held_at_once(spark, small):
+    """Every stage, also alone: 128 rows of a file and, for encoding, 250 texts; a lower setting stays."""
+    before = {key: spark.conf.get(key) for key in (arrow.READ, arrow.ROWS, arrow.BYTES)}
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(arrow.READ, "4096")
+            stage(spark, cases.documents(spark), small)
+            assert spark.conf.get(arrow.READ) == "128"
+        assert spark.conf.get(arrow.ROWS) == "250"
+        arrow.text_reads(spark, 256)
+        assert spark.conf.get(arrow.READ) == "128"
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
